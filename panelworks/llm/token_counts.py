@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import slices, table, texts
+from panelworks.llm.common import durable, slices, table, texts
 
 BLOCK = 1024
 _ENCODERS: dict = {}
@@ -52,7 +52,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     ``docs_within`` and ``tokens_within`` up to it; ``truncated_tokens``: tokens left when every document
     is cut at this length; ``quantile``: the share of documents that fit whole.
     """
-    hist = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
+    hist = durable(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")))
     hist = hist.withColumn("tokens", F.col("docs") * F.col("n_tokens")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     inner = Window.partitionBy("block").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.select("*", F.sum("docs").over(inner).alias("d"), F.sum("tokens").over(inner).alias("t"))
