@@ -98,10 +98,9 @@ class CachedTokenizer:
     def encode(self, batch: list[str]) -> list[bytes]:
         split = [(t.encode().lower() if t.isascii() else t.encode()).split() for t in batch]
         wanted = set().union(*split)
-        new = wanted - self.young.keys()
-        for w in new & self.old.keys():
-            self.young[w] = self.old[w]
-        self._learn(list(new - self.old.keys()))
+        new = [w for w in wanted if w not in self.young]
+        self.young.update((w, self.old[w]) for w in new if w in self.old)
+        self._learn([w for w in new if w not in self.young])
         get = self.young.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         if len(self.young) > GENERATION:
