@@ -116,7 +116,7 @@ def media_features(files: DataFrame, column: str = "media", side: int = TILE) ->
     kept = files.drop(*names)
 
     def run(batches):
-        for batch in slices(batches, column, 4 << 20):
+        for batch in slices(batches, column):
             rows = []
             for data in batch.column(batch.schema.get_field_index(column)).to_pylist():
                 try:
@@ -137,7 +137,7 @@ def text_media(docs: DataFrame, width: int = TILE, unit: int = TILE * TILE) -> D
     """Each text's bytes, filled with 255 up to a positive multiple of ``unit``, as a grey PGM file of that width."""
 
     def run(batches):
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             raw = [t.encode() for t in texts(batch)]
             media = []
             for t in raw:
@@ -153,7 +153,7 @@ def payload_digests(files: DataFrame, unit: int = TILE * TILE) -> DataFrame:
     added = "payload_bytes long, payload_sha256 string, tail_crc32 long"
 
     def run(batches):
-        for batch in slices(batches, "media", 4 << 20):
+        for batch in slices(batches, "media"):
             rows = []
             for data in batch.column(batch.schema.get_field_index("media")).to_pylist():
                 payload = decode(data).tobytes()
