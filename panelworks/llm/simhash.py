@@ -30,6 +30,13 @@ SHINGLE = 3
 RADIUS = 2
 SEGMENTS = 2
 SEED = 42
+# The deduplicating stage: five-word shingles, similarity 0.8.
+DEDUP_SHINGLE = 5
+SIMILARITY = 0.8
+DEDUP_SEEDS = (42, 1, 2)
+DEDUP_RADIUS = 5
+DEDUP_SEGMENTS = 3
+BROADCAST_IDS = 1_000_000  # 8 bytes each
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -60,8 +67,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def hamming_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct fingerprints ``fp`` that differ in at most ``radius`` bits."""
+def hamming_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, within: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b), a < b: all pairs of the distinct fingerprints ``fp`` that differ in at most ``radius`` bits.
+
+    ``within`` names columns in which both must agree; they are kept.
+    """
     a, b = divmod(radius, segments)
     edges = [64 * i // segments for i in range(segments + 1)]
 
@@ -84,10 +94,10 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS
         homes.append(F.struct(F.lit(i).alias("segment"), value(i).alias("value")))
         ball = F.array(*(F.lit(m).cast("long") for m in masks(edges[i + 1] - edges[i], most)))
         balls.append(F.transform(ball, at_distance(i)))
-    probes = fps.select(F.col("fp").alias("a"), F.explode(F.concat(*balls)).alias("at")).select("a", "at.segment", "at.value")
-    homes = fps.select(F.col("fp").alias("b"), F.explode(F.array(*homes)).alias("at")).select("b", "at.segment", "at.value")
+    probes = fps.select(*within, F.col("fp").alias("a"), F.explode(F.concat(*balls)).alias("at")).select(*within, "a", "at.segment", "at.value")
+    homes = fps.select(*within, F.col("fp").alias("b"), F.explode(F.array(*homes)).alias("at")).select(*within, "b", "at.segment", "at.value")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return probes.join(homes, ["segment", "value"]).where(near).select("a", "b").distinct()
+    return probes.join(homes, [*within, "segment", "value"]).where(near).select(*within, "a", "b").distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
@@ -102,15 +112,87 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _bits_of_words(words: set[bytes], seed: int) -> int:
+    if not words:
+        return 0
+    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], "<u8")
+    counts = sum(np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(hashes), 65536))
+    return int.from_bytes(np.packbits(2 * counts > len(words), bitorder="little").tobytes(), "little")
+
+
+def _word_prints(docs: DataFrame) -> DataFrame:
+    """(doc_id, same, fps): a 128-bit hash of the text's words, and a fingerprint of its distinct words for each seed."""
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            split = [t.encode().lower().split() for t in texts(batch)]
+            same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in split]
+            fps = [np.array([_bits_of_words(set(w), seed) for seed in DEDUP_SEEDS], np.uint64).view(np.int64).tolist() for w in split]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "same", "fps"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, fps array<long>")
+
+
+def _shingle_set(text: str | None) -> set[bytes]:
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + DEDUP_SHINGLE]) for i in range(max(1, len(words) - DEDUP_SHINGLE + 1))}
+
+
+def _ids_first(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join on doc_id: by broadcast while the ids are counted to be few, else by shuffle."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
+def near_duplicate_links(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) of doc_ids, a < b: different texts with a Jaccard similarity of their five-word shingles of ``similarity`` or more.
+
+    Candidates: texts whose fingerprints of distinct words differ in at most DEDUP_RADIUS bits under one of the seeds
+    (a few changed words turn few of those bits, while they break five shingles each). Texts with one fingerprint
+    are represented by the smallest doc_id. Every candidate is verified on whole texts.
+    """
+    one = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("fps").alias("fps"))
+    each = durable(one.select("doc_id", F.posexplode("fps").alias("seed", "fp")))
+    firsts = durable(each.groupBy("seed", "fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+    star = each.join(firsts.where("first < last").drop("last"), ["seed", "fp"]).where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    near = hamming_links(firsts.select("seed", "fp"), DEDUP_RADIUS, DEDUP_SEGMENTS, ("seed",))
+    for side in ("a", "b"):
+        near = near.join(firsts.select("seed", F.col("fp").alias(side), F.col("first").alias(f"{side}_id")), ["seed", side])
+    near = near.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    pairs = durable(star.unionByName(near).distinct())
+    involved = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    whole = _ids_first(docs.select("doc_id", "text"), involved, "left_semi")
+    whole = whole.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    met = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a")
+    met = met.join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            kept = [(a, b) for a, b, x, y in rows if len((s := _shingle_set(x)) & (t := _shingle_set(y))) >= similarity * len(s | t)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
 def keep_first_of_each(docs: DataFrame) -> DataFrame:
-    """Documents without the near-duplicates: of each component only the document with the smallest doc_id.
+    """Documents without near-duplicates: of each group only the document with the smallest doc_id stays.
 
-    All columns stay. Of repeated rows with that doc_id, one stays. Rows without doc_id are kept.
+    Groups are the components of equal texts and of near_duplicate_links. All columns stay. Of repeated rows with a
+    doc_id one stays; rows without doc_id are kept.
     """
-    found = simhash_components(docs.where("doc_id IS NOT NULL"))
-    gone = found.where("doc_id > component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(docs.columns)
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    known = docs.where("doc_id IS NOT NULL")
+    prints = durable(_word_prints(known))
+    links = durable(near_duplicate_links(known, prints))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = min_labels(links, ends.withColumn("label", F.col("node")))
+    firsts = prints.groupBy("same").agg(F.min("doc_id").alias("node"))
+    owner = firsts.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("stays"))
+    gone = prints.join(owner, "same").where("doc_id > stays").select("doc_id").distinct()
+    kept = _ids_first(known, durable(gone), "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    again = prints.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.head(1):  # repeated rows of one doc_id
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
