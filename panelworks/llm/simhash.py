@@ -67,10 +67,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def hamming_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, within: tuple[str, ...] = ()) -> DataFrame:
+def hamming_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, within: tuple[str, ...] = (), known: str | None = None) -> DataFrame:
     """(a, b), a < b: all pairs of the distinct fingerprints ``fp`` that differ in at most ``radius`` bits.
 
-    ``within`` names columns in which both must agree; they are kept.
+    ``within`` names columns in which both must agree; they are kept. ``known`` names a column of components that are
+    known already: pairs inside one are left out, and the component with most fingerprints in a table cell never
+    meets itself there, so a large group of near copies costs no pairs.
     """
     a, b = divmod(radius, segments)
     edges = [64 * i // segments for i in range(segments + 1)]
@@ -94,10 +96,20 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS
         homes.append(F.struct(F.lit(i).alias("segment"), value(i).alias("value")))
         ball = F.array(*(F.lit(m).cast("long") for m in masks(edges[i + 1] - edges[i], most)))
         balls.append(F.transform(ball, at_distance(i)))
-    probes = fps.select(*within, F.col("fp").alias("a"), F.explode(F.concat(*balls)).alias("at")).select(*within, "a", "at.segment", "at.value")
-    homes = fps.select(*within, F.col("fp").alias("b"), F.explode(F.array(*homes)).alias("at")).select(*within, "b", "at.segment", "at.value")
+    own = [known] if known else []
+    probes = fps.select(*within, *own, F.col("fp").alias("a"), F.explode(F.concat(*balls)).alias("at")).select(*within, *own, "a", "at.segment", "at.value")
+    homes = fps.select(*within, *own, F.col("fp").alias("b"), F.explode(F.array(*homes)).alias("at")).select(*within, *own, "b", "at.segment", "at.value")
+    cell = [*within, "segment", "value"]
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return probes.join(homes, [*within, "segment", "value"]).where(near).select(*within, "a", "b").distinct()
+    if known:
+        crowds = homes.groupBy(*cell, known).count().where("count > 1")
+        crowds = durable(crowds.groupBy(*cell).agg(F.max_by(known, "count").alias("crowd")))
+        crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_IDS else crowds
+        homes = homes.join(crowds, cell, "left").withColumn("side", F.coalesce((F.col(known) == F.col("crowd")).cast("int"), F.lit(0))).drop("crowd")
+        sides = F.when(F.col("crowd") != F.col(known), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        probes = probes.join(crowds, cell, "left").withColumn("side", F.explode(sides)).drop("crowd")
+        homes, cell, near = homes.withColumnRenamed(known, "_other"), [*cell, "side"], near & (F.col(known) != F.col("_other"))
+    return probes.join(homes, cell).where(near).select(*within, "a", "b").distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
@@ -154,11 +166,27 @@ def near_duplicate_links(docs: DataFrame, prints: DataFrame, similarity: float =
     each = durable(one.select("doc_id", F.posexplode("fps").alias("seed", "fp")))
     firsts = durable(each.groupBy("seed", "fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     star = each.join(firsts.where("first < last").drop("last"), ["seed", "fp"]).where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    near = hamming_links(firsts.select("seed", "fp"), DEDUP_RADIUS, DEDUP_SEGMENTS, ("seed",))
+    # First links: to the first text with an equal segment. They join large groups of near copies without pairs.
+    width = 64 // DEDUP_SEGMENTS
+    parts = F.array(*(F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i in range(DEDUP_SEGMENTS)))
+    cells = firsts.select("seed", "fp", "first", F.explode(parts).alias("at")).select("seed", "at.*", "fp", "first")
+    leads = cells.groupBy("seed", "segment", "value").agg(F.min("first").alias("lead"), F.min_by("fp", "first").alias("lead_fp"), F.max("first").alias("last"))
+    led = cells.join(leads.where("lead < last").drop("last"), ["seed", "segment", "value"]).where("lead < first")
+    led = led.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= DEDUP_RADIUS).select(F.col("lead").alias("a"), F.col("first").alias("b"))
+    some = durable(_verified(docs, durable(star.unionByName(led).distinct()), similarity))
+    ends = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    classes = min_labels(some, ends.withColumn("label", F.col("node")))
+    firsts = durable(firsts.join(classes.withColumnRenamed("node", "first"), "first", "left").withColumn("known", F.coalesce("label", "first")))
+    # All other links: between texts of different groups.
+    near = hamming_links(firsts.select("seed", "fp", "known"), DEDUP_RADIUS, DEDUP_SEGMENTS, ("seed",), "known")
     for side in ("a", "b"):
         near = near.join(firsts.select("seed", F.col("fp").alias(side), F.col("first").alias(f"{side}_id")), ["seed", side])
-    near = near.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
-    pairs = durable(star.unionByName(near).distinct())
+    near = near.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+    return some.unionByName(_verified(docs, durable(near), similarity))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole texts are as similar."""
     involved = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     whole = _ids_first(docs.select("doc_id", "text"), involved, "left_semi")
     whole = whole.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
