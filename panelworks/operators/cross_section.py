@@ -56,11 +56,11 @@ def purged_split(rows: DataFrame, boundary: str, as_of: str) -> DataFrame:
     return rows.where("fwd_return IS NOT NULL").withColumn("part", F.coalesce(part, F.lit("purged")))
 
 
-def daily_ic(predictions: DataFrame, least: int = 20) -> DataFrame:
-    """Spearman correlation of score and outcome per horizon and date on complete pairs, where both vary."""
+def daily_ic(predictions: DataFrame, least: int = 20, by: tuple[str, ...] = ("horizon",)) -> DataFrame:
+    """Spearman correlation of score and outcome per group ``by`` and date on complete pairs, where both vary."""
     both = predictions.where("score IS NOT NULL AND fwd_return IS NOT NULL")
-    ranked = both.select("horizon", "date", average_rank(F.col("score"), "horizon", "date").alias("s"), average_rank(F.col("fwd_return"), "horizon", "date").alias("f"))
-    daily = ranked.groupBy("horizon", "date").agg(F.corr("s", "f").alias("rank_ic"), F.count(F.lit(1)).alias("names"), (F.min("s") < F.max("s")).alias("vs"), (F.min("f") < F.max("f")).alias("vf"))
+    ranked = both.select(*by, "date", average_rank(F.col("score"), *by, "date").alias("s"), average_rank(F.col("fwd_return"), *by, "date").alias("f"))
+    daily = ranked.groupBy(*by, "date").agg(F.corr("s", "f").alias("rank_ic"), F.count(F.lit(1)).alias("names"), (F.min("s") < F.max("s")).alias("vs"), (F.min("f") < F.max("f")).alias("vf"))
     return daily.where((F.col("names") >= least) & F.col("vs") & F.col("vf")).drop("vs", "vf")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelworks.functions.windows import at_least, last_n, ratio_to, sessions
 
-HORIZONS = (1, 5, 20)
+HORIZONS = (1, 5, 20, 60)
 ANNUAL = 252**0.5
 
 
@@ -22,15 +22,17 @@ def price_factors(panel: DataFrame) -> DataFrame:
         return at_least(f(column).over(last_n(n)), F.col(column), least, last_n(n))
 
     down = F.when(F.col("log_return").isNotNull(), F.pow(F.least("log_return", F.lit(0.0)), 2))
+    base = base.withColumn("adv20", roll(F.avg, "amount", 20, 12))
     n60 = F.count("return_1").over(last_n(60))
     bias = F.sqrt(n60 * (n60 - 1)) / (n60 - 2)
     out = base.select(
         "security_id", "date", "pos", "quoted", "close", "amount", "volume", "return_1", "log_return",
         F.sum(F.col("quoted").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("history_sessions"),
-        roll(F.avg, "amount", 20, 12).alias("adv20_amount"),
-        *(ratio_to("close", n).alias(f"momentum_{n}") for n in (5, 20, 60)),
+        F.col("adv20").alias("adv20_amount"),
+        *(ratio_to("close", n).alias(f"momentum_{n}") for n in (5, 20, 60, 120, 252)),
+        (F.lag("close", 20).over(w) / F.lag("close", 252).over(w) - 1).alias("momentum_252_skip20"),
         (F.lag("close", 20).over(w) / F.lag("close", 60).over(w) - 1).alias("momentum_60_skip20"),
-        *((roll(F.stddev_samp, "return_1", n, max(12, n // 2)) * ANNUAL).alias(f"volatility_{n}") for n in (20, 60)),
+        *((roll(F.stddev_samp, "return_1", n, max(12, n // 2)) * ANNUAL).alias(f"volatility_{n}") for n in (20, 60, 252)),
         at_least(F.sqrt(F.avg(down).over(last_n(60))) * ANNUAL, F.col("log_return"), 30, last_n(60)).alias("downside_volatility_60"),
         roll(F.max, "return_1", 20, 12).alias("max_return_20"),
         F.when(n60 >= 30, F.skewness("return_1").over(last_n(60)) * bias).alias("return_skew_60"),
@@ -38,6 +40,10 @@ def price_factors(panel: DataFrame) -> DataFrame:
         at_least(p / F.min("close").over(last_n(252)) - 1, p, 60, last_n(252)).alias("near_low_252"),
         *(at_least(p / F.avg("close").over(last_n(n)) - 1, p, n // 2 + (2 if n == 20 else 0), last_n(n)).alias(f"bias_{n}") for n in (20, 60)),
         at_least(F.avg(F.abs(r) / F.col("amount")).over(last_n(20)) * 1e8, r, 12, last_n(20)).alias("amihud_20"),
+        F.when(F.col("adv20") > 0, F.log("adv20")).alias("log_amount_20"),
+        (F.col("adv20") / roll(F.avg, "amount", 120, 60)).alias("amount_ratio_20_120"),
+        *((roll(F.stddev_samp, c, 20, 12) / F.avg(c).over(last_n(20))).alias(f"{c}_cv_20") for c in ("amount", "volume")),
+        F.corr("close", "volume").over(last_n(20)).alias("price_volume_corr_20"),
         ((F.col("high") - F.col("low")) / p).alias("intraday_range"),
         (p / F.col("open") - 1).alias("intraday_return"),
         (F.col("pos") - F.last(F.when(F.col("quoted"), F.col("pos")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("sessions_since_quote"),

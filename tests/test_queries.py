@@ -22,6 +22,8 @@ def con():
 def aligned(df):
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if str(df[c].dtype).startswith("Int"):  # nullable integers, which Spark gives as floats
+            df[c] = df[c].astype("float64" if df[c].isna().any() else "int64")
         if str(df[c].dtype).startswith(("datetime", "object", "str")) and df[c].notna().any() and hasattr(df[c].dropna().iloc[0], "year"):
             df[c] = pd.to_datetime(df[c]).astype("datetime64[us]")
     keys = [c for c in df.columns if df[c].dtype.kind not in "f"]
