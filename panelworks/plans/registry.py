@@ -1,9 +1,9 @@
 """All registered queries of the panel engine and their SQL oracles."""
 
-from panelworks.plans import actions, evaluation, panel, quality, shaping
+from panelworks.plans import actions, books, evaluation, panel, quality, shaping
 
 FLAGSHIP = panel.FLAGSHIP
 QUERIES, ORACLES = {}, {}
-for _plan in (panel, shaping, evaluation, quality, actions):
+for _plan in (panel, shaping, evaluation, quality, actions, books):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
