@@ -35,7 +35,9 @@ def monthly_book(spark, d):
 def book_summary(spark, d):
     factors, selected, intervals = _monthly(spark, d)
     prices = factors.select("security_id", "date", F.last("close", True).over(_along()).alias("close"))  # last known prices
-    return _rounded(bk.summary(bk.monthly_book(bk.interval_returns(selected, prices, intervals)).where("missing = 0")), 6)
+    found = bk.summary(bk.monthly_book(bk.interval_returns(selected, prices, intervals)).where("missing = 0"))
+    growth = found.select("*", F.log1p("total_return").alias("log_growth"), F.log1p("cagr").alias("yearly_log_growth"))  # stand-in returns are huge
+    return _rounded(growth.drop("total_return", "cagr"), 6)
 
 
 def _along():
@@ -80,7 +82,7 @@ ORACLES = {
     "monthly_book": f"WITH {_BOOK}, {_returns('close')} SELECT signal, entry, exit, round(gross_return, 6) AS gross_return, round(hit_rate, 6) AS hit_rate, selected, missing FROM mb",
     "book_summary": f"""WITH {_BOOK}, {_returns("known")}, w AS (SELECT *, sum(ln(0.05 + 0.95 * (1 + gross_return) * 0.9975 / 1.0025::DOUBLE)) OVER (ORDER BY signal) AS l FROM mb WHERE missing = 0),
       pk AS (SELECT *, greatest(0, max(l) OVER (ORDER BY signal)) AS peak FROM w)
-      SELECT 'complete' AS status, count(*) AS months, 0::BIGINT AS missing, round(exp(arg_max(l, signal)) - 1, 6) AS total_return, round(exp(arg_max(l, signal) / ((max(exit) - min(entry)) / 365.25::DOUBLE)) - 1, 6) AS cagr, round(min(exp(l - peak) - 1), 6) AS max_drawdown, round(avg(hit_rate), 6) AS hit_rate FROM pk""",
+      SELECT 'complete' AS status, count(*) AS months, 0::BIGINT AS missing, round(arg_max(l, signal), 6) AS log_growth, round(arg_max(l, signal) / ((max(exit) - min(entry)) / 365.25::DOUBLE), 6) AS yearly_log_growth, round(min(exp(l - peak) - 1), 6) AS max_drawdown, round(avg(hit_rate), 6) AS hit_rate FROM pk""",
     "book_turnover": f"""WITH {_BOOK}, dd AS (SELECT date, lag(date) OVER (ORDER BY date) AS before FROM (SELECT DISTINCT date FROM sel))
       SELECT s.date, round(CASE WHEN max(before) IS NOT NULL THEN 1 - count(w.security_id) / count(*)::DOUBLE END, 8) AS turnover FROM sel s JOIN dd USING (date) LEFT JOIN sel w ON w.date = before AND w.security_id = s.security_id GROUP BY 1""",
     "trading_capacity": f"""WITH {_BOOK}, a AS (SELECT f.security_id, f.date, adv20_amount, lead(f.date) OVER w AS trade_date, lead(amount) OVER w AS day_amount FROM f JOIN panel USING (security_id, date) WINDOW w AS (PARTITION BY f.security_id ORDER BY f.pos))
