@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from panelworks.llm.common import durable, slices, table, texts
 from panelworks.llm.components import min_labels
+from panelworks.llm.passages import rolling, word_hashes
 
 SHINGLE = 3
 RADIUS = 2
@@ -36,7 +37,11 @@ SIMILARITY = 0.8
 DEDUP_SEEDS = (42, 1, 2)
 DEDUP_RADIUS = 5
 DEDUP_SEGMENTS = 3
+# Two texts with a similarity of 0.8 differ in 51 of these bits on average, with a standard deviation of 7.
+SKETCH_BITS = 512
+SKETCH_RADIUS = 76
 BROADCAST_IDS = 1_000_000  # 8 bytes each
+_FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, SKETCH_BITS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -67,49 +72,35 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def hamming_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, within: tuple[str, ...] = (), known: str | None = None) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct fingerprints ``fp`` that differ in at most ``radius`` bits.
-
-    ``within`` names columns in which both must agree; they are kept. ``known`` names a column of components that are
-    known already: pairs inside one are left out, and the component with most fingerprints in a table cell never
-    meets itself there, so a large group of near copies costs no pairs.
-    """
+def _segments(radius: int, segments: int) -> list[tuple[int, int, int]]:
+    """(first bit, width, most differing bits) of each segment that is looked up."""
     a, b = divmod(radius, segments)
     edges = [64 * i // segments for i in range(segments + 1)]
+    return [(edges[i], edges[i + 1] - edges[i], most) for i in range(segments) if (most := a if i <= b else a - 1) >= 0]
+
+
+def _value(fp, start: int, width: int):
+    return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _cells(fps: DataFrame, parts: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``fps`` once for each (segment, value) of the small Hamming balls around ``fp``, and once for each of its own."""
+
+    def ball(i: int, start: int, width: int, most: int):
+        masks = [sum(1 << p for p in at) for r in range(most + 1) for at in combinations(range(width), r)]
+        own = _value("fp", start, width)
+        return F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.struct(F.lit(i).alias("segment"), own.bitwiseXOR(m).alias("value")))
+
+    balls = F.concat(*(ball(i, *part) for i, part in enumerate(parts)))
+    homes = F.array(*(F.struct(F.lit(i).alias("segment"), _value("fp", start, width).alias("value")) for i, (start, width, _) in enumerate(parts)))
+    return tuple(fps.select("*", F.explode(at).alias("at")).select(*fps.columns, "at.segment", "at.value") for at in (balls, homes))
 
-    def masks(width: int, most: int) -> list[int]:
-        return [sum(1 << p for p in at) for r in range(most + 1) for at in combinations(range(width), r)]
-
-    def value(i: int):
-        width = edges[i + 1] - edges[i]
-        return F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << width) - 1))
-
-    def at_distance(i: int):
-        own = value(i)
-        return lambda mask: F.struct(F.lit(i).alias("segment"), own.bitwiseXOR(mask).alias("value"))
-
-    balls, homes = [], []
-    for i in range(segments):
-        most = a if i <= b else a - 1
-        if most < 0:
-            continue
-        homes.append(F.struct(F.lit(i).alias("segment"), value(i).alias("value")))
-        ball = F.array(*(F.lit(m).cast("long") for m in masks(edges[i + 1] - edges[i], most)))
-        balls.append(F.transform(ball, at_distance(i)))
-    own = [known] if known else []
-    probes = fps.select(*within, *own, F.col("fp").alias("a"), F.explode(F.concat(*balls)).alias("at")).select(*within, *own, "a", "at.segment", "at.value")
-    homes = fps.select(*within, *own, F.col("fp").alias("b"), F.explode(F.array(*homes)).alias("at")).select(*within, *own, "b", "at.segment", "at.value")
-    cell = [*within, "segment", "value"]
+
+def hamming_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """(a, b), a < b: all pairs of the distinct fingerprints ``fp`` that differ in at most ``radius`` bits."""
+    probes, homes = _cells(fps.select("fp"), _segments(radius, segments))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    if known:
-        crowds = homes.groupBy(*cell, known).count().where("count > 1")
-        crowds = durable(crowds.groupBy(*cell).agg(F.max_by(known, "count").alias("crowd")))
-        crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_IDS else crowds
-        homes = homes.join(crowds, cell, "left").withColumn("side", F.coalesce((F.col(known) == F.col("crowd")).cast("int"), F.lit(0))).drop("crowd")
-        sides = F.when(F.col("crowd") != F.col(known), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        probes = probes.join(crowds, cell, "left").withColumn("side", F.explode(sides)).drop("crowd")
-        homes, cell, near = homes.withColumnRenamed(known, "_other"), [*cell, "side"], near & (F.col(known) != F.col("_other"))
-    return probes.join(homes, cell).where(near).select(*within, "a", "b").distinct()
+    return probes.withColumnRenamed("fp", "a").join(homes.withColumnRenamed("fp", "b"), ["segment", "value"]).where(near).select("a", "b").distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
@@ -132,17 +123,30 @@ def _bits_of_words(words: set[bytes], seed: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(words), bitorder="little").tobytes(), "little")
 
 
+def _sketch(text: str) -> np.ndarray:
+    """One bit of each of SKETCH_BITS min-hashes of the text's set of five-word shingles, as signed 64-bit integers."""
+    words = word_hashes(text)
+    shingles = rolling(words, min(DEDUP_SHINGLE, len(words))) if len(words) else np.zeros(1, np.uint64)
+    least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 1024):
+        np.minimum(least, np.multiply.outer(_FACTORS, shingles[i : i + 1024]).min(axis=1), out=least)
+    return np.packbits((least >> np.uint64(24)).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
 def _word_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, fps): a 128-bit hash of the text's words, and a fingerprint of its distinct words for each seed."""
+    """(doc_id, same, fps, sketch): a 128-bit hash of the text's words, a fingerprint of its distinct words for each seed, a min-hash sketch."""
 
     def run(batches):
         for batch in slices(batches, "text"):
-            split = [t.encode().lower().split() for t in texts(batch)]
+            found = texts(batch)
+            split = [t.encode().lower().split() for t in found]
             same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in split]
             fps = [np.array([_bits_of_words(set(w), seed) for seed in DEDUP_SEEDS], np.uint64).view(np.int64).tolist() for w in split]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "same", "fps"])
+            longs = pa.list_(pa.int64())
+            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(fps, longs), pa.array([_sketch(t).tolist() for t in found], longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "fps", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, fps array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, fps array<long>, sketch array<long>")
 
 
 def _shingle_set(text: str | None) -> set[bytes]:
@@ -159,12 +163,13 @@ def near_duplicate_links(docs: DataFrame, prints: DataFrame, similarity: float =
     """(a, b) of doc_ids, a < b: different texts with a Jaccard similarity of their five-word shingles of ``similarity`` or more.
 
     Candidates: texts whose fingerprints of distinct words differ in at most DEDUP_RADIUS bits under one of the seeds
-    (a few changed words turn few of those bits, while they break five shingles each). Texts with one fingerprint
-    are represented by the smallest doc_id. Every candidate is verified on whole texts.
+    (a few changed words turn few of those bits, while they break five shingles each), and whose min-hash sketches
+    differ in at most SKETCH_RADIUS bits. Texts with one fingerprint are represented by the smallest doc_id. Every
+    candidate is verified on whole texts.
     """
-    one = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("fps").alias("fps"))
-    each = durable(one.select("doc_id", F.posexplode("fps").alias("seed", "fp")))
-    firsts = durable(each.groupBy("seed", "fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+    one = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("fps").alias("fps"), F.min("sketch").alias("sketch"))
+    each = durable(one.select("doc_id", "sketch", F.posexplode("fps").alias("seed", "fp")))
+    firsts = durable(each.groupBy("seed", "fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("sketch", "doc_id").alias("sketch")))
     star = each.join(firsts.where("first < last").drop("last"), ["seed", "fp"]).where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     # First links: to the first text with an equal segment. They join large groups of near copies without pairs.
     width = 64 // DEDUP_SEGMENTS
@@ -178,11 +183,49 @@ def near_duplicate_links(docs: DataFrame, prints: DataFrame, similarity: float =
     classes = min_labels(some, ends.withColumn("label", F.col("node")))
     firsts = durable(firsts.join(classes.withColumnRenamed("node", "first"), "first", "left").withColumn("known", F.coalesce("label", "first")))
     # All other links: between texts of different groups.
-    near = hamming_links(firsts.select("seed", "fp", "known"), DEDUP_RADIUS, DEDUP_SEGMENTS, ("seed",), "known")
-    for side in ("a", "b"):
-        near = near.join(firsts.select("seed", F.col("fp").alias(side), F.col("first").alias(f"{side}_id")), ["seed", side])
-    near = near.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
-    return some.unionByName(_verified(docs, durable(near), similarity))
+    return some.unionByName(_verified(docs, durable(_near_texts(firsts)), similarity))
+
+
+def _near_texts(firsts: DataFrame) -> DataFrame:
+    """(a, b) of ``first``, a < b: candidates between different groups ``known``.
+
+    A lookup carries its cell, the bits of the next segment as a tag, and its text. It drops out where the cell
+    holds only its own group or nothing, or one tag that is too far; the fingerprints and sketches are brought to the
+    others. The group with most fingerprints in a cell never meets itself there, and a pair is made in the first
+    segment in which it meets only, so a large group of near copies costs no pairs that the sketches can tell apart.
+    """
+    parts = _segments(DEDUP_RADIUS, DEDUP_SEGMENTS)
+    n, wide = len(parts), max(width for _, width, _ in parts)
+    tag = F.lit(None).cast("long")
+    for i in range(n):
+        start, width, _ = parts[(i + 1) % n]
+        tag = F.when(F.col("segment") == i, _value("fp", start, width)).otherwise(tag)
+    own = [F.shiftleft((F.col("seed") * n + F.col("segment")).cast("long"), wide).bitwiseOR(F.col("value")).alias("cell"), tag.cast("int").alias("tag"), "first"]
+    probes, _ = _cells(firsts.select("seed", "fp", "first", "known"), parts)
+    _, homes = _cells(firsts.select("seed", "fp", "first", "known", "sketch"), parts)
+    homes = homes.select(*own, "fp", "known", "sketch")
+    held = homes.groupBy("cell", "known").agg(F.count(F.lit(1)).alias("n"), F.min("tag").alias("tag_low"), F.max("tag").alias("tag_high"))
+    crowd = F.max_by("known", F.when(F.col("n") > 1, F.col("n")))
+    held = held.groupBy("cell").agg(F.min("known").alias("low"), F.max("known").alias("high"), crowd.alias("crowd"), F.min("tag_low").alias("tag_low"), F.max("tag_high").alias("tag_high"))
+    held = durable(held)
+    homes = homes.join(held.select("cell", "crowd"), "cell").withColumn("side", F.coalesce(F.col("known") == F.col("crowd"), F.lit(False)).cast("int"))
+    homes = homes.select("cell", "side", F.col("fp").alias("fp_b"), F.col("first").alias("b"), F.col("known").alias("known_b"), F.col("sketch").alias("sketch_b"))
+    sides = F.when(F.col("crowd") != F.col("known"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    probes = probes.select(*own, F.when(F.col("known") != F.col("first"), F.col("known")).alias("group"))
+    probes = probes.join(held, "cell").withColumn("known", F.coalesce("group", "first"))
+    far = (F.col("tag_low") == F.col("tag_high")) & (F.bit_count(F.col("tag").bitwiseXOR(F.col("tag_low"))) > DEDUP_RADIUS)
+    probes = probes.where((F.col("low") != F.col("known")) | (F.col("high") != F.col("known"))).where(~far)
+    place = F.shiftright("cell", wide)
+    probes = probes.select("cell", "first", "known", (place / n).cast("int").alias("seed"), (place % n).alias("segment"), F.explode(sides).alias("side"))
+    probes = probes.join(firsts.select("seed", "first", "fp", "sketch"), ["seed", "first"])
+    odd = F.col("fp").bitwiseXOR(F.col("fp_b"))
+    earlier = F.lit(False)
+    for i, (start, width, most) in enumerate(parts):
+        earlier |= (F.col("segment") > i) & (F.bit_count(_value(odd, start, width)) <= most)
+    differing = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_BITS // 64))
+    near = (F.col("fp") < F.col("fp_b")) & (F.bit_count(odd) <= DEDUP_RADIUS) & (F.col("known") != F.col("known_b")) & ~earlier & (differing <= SKETCH_RADIUS)
+    met = probes.join(homes, ["cell", "side"]).where(near)
+    return met.select(F.least("first", "b").alias("a"), F.greatest("first", "b").alias("b")).distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:

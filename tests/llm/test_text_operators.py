@@ -267,3 +267,40 @@ def test_empty_tables(spark, empty):
     assert simhash.simhash_components(empty).count() == 0 and simhash.keep_first_of_each(empty).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_records(warc.write_bundles(warc.with_record_types(pages))).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    rng = random.Random(5)
+    words = prose(rng, 300).split()
+    for changed in (0, 6, 30, 120):
+        other = words.copy()
+        for i in rng.sample(range(300), changed):
+            other[i] = "changed%d" % i
+        s, t = (simhash._shingle_set(" ".join(w)) for w in (words, other))
+        a, b = (simhash._sketch(" ".join(w)) for w in (words, other))
+        alike = 1 - 2 * int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) / simhash.SKETCH_BITS
+        assert abs(alike - len(s & t) / len(s | t)) < 0.17
+    assert len(simhash._sketch("")) == len(simhash._sketch("one")) == simhash.SKETCH_BITS // 64
+
+
+def test_candidates_of_near_texts_match_brute_force(spark):
+    """The last links: groups known already, a crowd, lone texts, cells that one group holds."""
+    rng = random.Random(9)
+    seeds = [rng.getrandbits(63) for _ in range(6)]
+    flat, far = [0] * 8, [-1] * 8
+    rows, number = [], 0
+    for s in seeds:
+        for k in range(30):
+            fp = s
+            for bit in rng.sample(range(63), k % 5):
+                fp ^= 1 << bit
+            rows.append((k % 3, fp, number, number if k % 4 else seeds.index(s) * 30, far if k % 7 == 6 else flat))
+            number += 1
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    want = set()
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            if x[0] == y[0] and x[3] != y[3] and (x[1] ^ y[1]).bit_count() <= simhash.DEDUP_RADIUS and x[4] == y[4]:
+                want.add((min(x[2], y[2]), max(x[2], y[2])))
+    frame = spark.createDataFrame(rows, "seed int, fp long, first long, known long, sketch array<long>")
+    assert len(want) > 100 and {tuple(r) for r in simhash._near_texts(frame).collect()} == want
