@@ -61,7 +61,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
 
@@ -74,7 +74,7 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for i in range(width):
         out = out * np.uint64(0x9E3779B97F4A7C15) + values[i : i + n]
-    return _mix(out)
+    return mix(out)
 
 
 def compact_windows(values: np.ndarray, least: int, thin: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,12 +131,12 @@ def batch_windows(batch: list[str | None]) -> tuple[np.ndarray, ...]:
     half = rolling(shingles, HALF)
     parts = []
     for i in range(HASHES):
-        values = _mix(shingles * np.uint64(2 * (0x632BE59BD9B4E019 * (i + 1) % (1 << 62)) + 1))
+        values = mix(shingles * np.uint64(2 * (0x632BE59BD9B4E019 * (i + 1) % (1 << 62)) + 1))
         values = np.where(inside, values | np.uint64(1), np.uint64(0))
         anchor, left, right = compact_windows(values, MIN_SHINGLES, THIN)
         keep = inside[anchor]
         anchor, left, right = anchor[keep], left[keep], right[keep]
-        key, text = _mix(values[anchor] + np.uint64(2 * i)).view(np.int64), owner[anchor]
+        key, text = mix(values[anchor] + np.uint64(2 * i)).view(np.int64), owner[anchor]
         first, last = starts[text], starts[text + 1] - SHINGLE
         from_left, to_right = anchor - HALF + 1 >= first, anchor + HALF - 1 <= last
         left_half = np.where(from_left, half[np.where(from_left, anchor - HALF + 1, 0)], np.uint64(0)) if len(half) else np.zeros(len(anchor), np.uint64)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from panelworks.llm.common import durable, slices, table, texts
 from panelworks.llm.components import min_labels
-from panelworks.llm.passages import rolling, word_hashes
+from panelworks.llm.passages import mix, rolling, word_hashes
 
 SHINGLE = 3
 RADIUS = 2
@@ -34,7 +34,8 @@ SEED = 42
 # The deduplicating stage: five-word shingles, similarity 0.8.
 DEDUP_SHINGLE = 5
 SIMILARITY = 0.8
-DEDUP_SEEDS = (42, 1, 2)
+BANDS = 20  # of BAND_ROWS min-hashes: a pair at 0.8 shares a band in 1 - (1 - 0.8 ** 5) ** 20 = 0.9996 of cases
+BAND_ROWS = 5
 DEDUP_RADIUS = 5
 DEDUP_SEGMENTS = 3
 # Two texts with a similarity of 0.8 differ in 51 of these bits on average, with a standard deviation of 7.
@@ -115,38 +116,46 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _bits_of_words(words: set[bytes], seed: int) -> int:
-    if not words:
-        return 0
-    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], "<u8")
-    counts = sum(np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(hashes), 65536))
-    return int.from_bytes(np.packbits(2 * counts > len(words), bitorder="little").tobytes(), "little")
-
-
-def _sketch(text: str) -> np.ndarray:
-    """One bit of each of SKETCH_BITS min-hashes of the text's set of five-word shingles, as signed 64-bit integers."""
+def _minima(text: str) -> np.ndarray:
+    """SKETCH_BITS min-hashes of the text's set of five-word shingles."""
     words = word_hashes(text)
     shingles = rolling(words, min(DEDUP_SHINGLE, len(words))) if len(words) else np.zeros(1, np.uint64)
     least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 1024):
         np.minimum(least, np.multiply.outer(_FACTORS, shingles[i : i + 1024]).min(axis=1), out=least)
+    return least
+
+
+def _signs(least: np.ndarray) -> np.ndarray:
+    """One bit of each min-hash, as signed 64-bit integers."""
     return np.packbits((least >> np.uint64(24)).astype(np.uint8) & 1, bitorder="little").view(np.int64)
 
 
+def _sketch(text: str) -> np.ndarray:
+    return _signs(_minima(text))
+
+
+def _bands(least: np.ndarray) -> np.ndarray:
+    """A hash of each band's number and min-hashes."""
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).T:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out.view(np.int64)
+
+
 def _word_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, fps, sketch): a 128-bit hash of the text's words, a fingerprint of its distinct words for each seed, a min-hash sketch."""
+    """(doc_id, same, bands, sketch): a 128-bit hash of the text's words, its min-hash bands, its min-hash sketch."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             found = texts(batch)
-            split = [t.encode().lower().split() for t in found]
-            same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in split]
-            fps = [np.array([_bits_of_words(set(w), seed) for seed in DEDUP_SEEDS], np.uint64).view(np.int64).tolist() for w in split]
+            same = [xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split())) for t in found]
+            minima = [_minima(t) for t in found]
             longs = pa.list_(pa.int64())
-            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(fps, longs), pa.array([_sketch(t).tolist() for t in found], longs)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "fps", "sketch"])
+            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array([_bands(m).tolist() for m in minima], longs), pa.array([_signs(m).tolist() for m in minima], longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, fps array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, bands array<long>, sketch array<long>")
 
 
 def _shingle_set(text: str | None) -> set[bytes]:
@@ -162,34 +171,51 @@ def _ids_first(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def near_duplicate_links(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) of doc_ids, a < b: different texts with a Jaccard similarity of their five-word shingles of ``similarity`` or more.
 
-    Candidates: texts whose fingerprints of distinct words differ in at most DEDUP_RADIUS bits under one of the seeds
-    (a few changed words turn few of those bits, while they break five shingles each), and whose min-hash sketches
-    differ in at most SKETCH_RADIUS bits. Texts with one fingerprint are represented by the smallest doc_id. Every
-    candidate is verified on whole texts.
+    Candidates: texts that share one of BANDS bands of min-hashes, and whose min-hash sketches differ in at most
+    SKETCH_RADIUS bits; both depend on the similarity alone, not on where the texts differ. Every candidate is verified
+    on whole texts. First each text meets the first text of its bands, which joins large groups of near copies; then all
+    texts that share a band meet unless links join them already, so the links give the components of all pairs.
     """
-    one = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("fps").alias("fps"), F.min("sketch").alias("sketch"))
-    each = durable(one.select("doc_id", "sketch", F.posexplode("fps").alias("seed", "fp")))
-    firsts = durable(each.groupBy("seed", "fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("sketch", "doc_id").alias("sketch")))
-    star = each.join(firsts.where("first < last").drop("last"), ["seed", "fp"]).where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    # First links: to the first text with an equal segment. They join large groups of near copies without pairs.
-    width = 64 // DEDUP_SEGMENTS
-    parts = F.array(*(F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i in range(DEDUP_SEGMENTS)))
-    cells = firsts.select("seed", "fp", "first", F.explode(parts).alias("at")).select("seed", "at.*", "fp", "first")
-    leads = cells.groupBy("seed", "segment", "value").agg(F.min("first").alias("lead"), F.min_by("fp", "first").alias("lead_fp"), F.max("first").alias("last"))
-    led = cells.join(leads.where("lead < last").drop("last"), ["seed", "segment", "value"]).where("lead < first")
-    led = led.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= DEDUP_RADIUS).select(F.col("lead").alias("a"), F.col("first").alias("b"))
-    some = durable(_verified(docs, durable(star.unionByName(led).distinct()), similarity))
+    one = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
+    one = durable(one.drop("same"))
+    sketches = one.select("doc_id", "sketch")
+    cells = one.select("doc_id", F.explode("bands").alias("cell"))
+    leads = cells.groupBy("cell").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last")
+    cells = durable(cells.join(leads, "cell"))
+    star = cells.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = star.join(sketches.toDF("a", "sketch"), "a").join(sketches.toDF("b", "sketch_b"), "b").where(_differing() <= SKETCH_RADIUS)
+    some = durable(_verified(docs, durable(star.select("a", "b").distinct()), similarity))
     ends = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     classes = min_labels(some, ends.withColumn("label", F.col("node")))
-    firsts = durable(firsts.join(classes.withColumnRenamed("node", "first"), "first", "left").withColumn("known", F.coalesce("label", "first")))
-    # All other links: between texts of different groups.
-    return some.unionByName(_verified(docs, durable(_near_texts(firsts)), similarity))
+    cells = cells.drop("lead").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    cells = durable(cells.select("cell", "doc_id", F.coalesce("label", "doc_id").alias("known")))
+    return some.unionByName(_verified(docs, durable(_band_mates(cells, sketches)), similarity))
+
+
+def _differing():
+    return sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_BITS // 64))
+
+
+def _band_mates(cells: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b), a < b: texts of different groups ``known`` that share a cell and have near sketches.
+
+    The group with most texts in a cell never meets itself there.
+    """
+    held = cells.groupBy("cell", "known").agg(F.count(F.lit(1)).alias("n"))
+    held = held.groupBy("cell").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.max_by("known", "n").alias("crowd"))
+    rows = cells.join(held.where("low < high").select("cell", "crowd"), "cell").join(sketches, "doc_id")
+    rows = durable(rows.select("cell", "doc_id", "known", "sketch", (F.col("known") == F.col("crowd")).cast("int").alias("side")))
+    probes = rows.where("side = 0").select("cell", F.col("doc_id").alias("a"), "known", "sketch")
+    homes = rows.select("cell", F.col("doc_id").alias("b"), F.col("known").alias("known_b"), F.col("sketch").alias("sketch_b"), "side")
+    once = (F.col("side") == 1) | (F.col("a") < F.col("b"))
+    met = probes.join(homes, "cell").where(once & (F.col("known") != F.col("known_b")) & (_differing() <= SKETCH_RADIUS))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
 def _near_texts(firsts: DataFrame) -> DataFrame:
-    """(a, b) of ``first``, a < b: candidates between different groups ``known``.
+    """(a, b) of ``first``, a < b: texts of different groups ``known`` with near fingerprints ``fp`` and sketches.
 
-    A lookup carries its cell, the bits of the next segment as a tag, and its text. It drops out where the cell
+    near_duplicate_links does without it, since fingerprints miss block edits. A lookup carries its cell, the bits of the next segment as a tag, and its text. It drops out where the cell
     holds only its own group or nothing, or one tag that is too far; the fingerprints and sketches are brought to the
     others. The group with most fingerprints in a cell never meets itself there, and a pair is made in the first
     segment in which it meets only, so a large group of near copies costs no pairs that the sketches can tell apart.
@@ -222,8 +248,7 @@ def _near_texts(firsts: DataFrame) -> DataFrame:
     earlier = F.lit(False)
     for i, (start, width, most) in enumerate(parts):
         earlier |= (F.col("segment") > i) & (F.bit_count(_value(odd, start, width)) <= most)
-    differing = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_BITS // 64))
-    near = (F.col("fp") < F.col("fp_b")) & (F.bit_count(odd) <= DEDUP_RADIUS) & (F.col("known") != F.col("known_b")) & ~earlier & (differing <= SKETCH_RADIUS)
+    near = (F.col("fp") < F.col("fp_b")) & (F.bit_count(odd) <= DEDUP_RADIUS) & (F.col("known") != F.col("known_b")) & ~earlier & (_differing() <= SKETCH_RADIUS)
     met = probes.join(homes, ["cell", "side"]).where(near)
     return met.select(F.least("first", "b").alias("a"), F.greatest("first", "b").alias("b")).distinct()
 

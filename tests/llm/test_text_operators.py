@@ -304,3 +304,19 @@ def test_candidates_of_near_texts_match_brute_force(spark):
                 want.add((min(x[2], y[2]), max(x[2], y[2])))
     frame = spark.createDataFrame(rows, "seed int, fp long, first long, known long, sketch array<long>")
     assert len(want) > 100 and {tuple(r) for r in simhash._near_texts(frame).collect()} == want
+
+
+def test_near_duplicates_with_block_edits_go(spark):
+    """A header, a footer, a cut or a replaced paragraph: 0.8 or more alike, with many other words."""
+    rng = random.Random(11)
+    texts, copies = [], []
+    for i in range(40):
+        w = prose(rng, 200).split()
+        block = prose(rng, 40).split()
+        copy = [block + w, w + block, w[36:], w[:80] + block[:16] + w[96:]][i % 4]
+        s, t = (simhash._shingle_set(" ".join(x)) for x in (w, copy))
+        assert len(s & t) >= 0.8 * len(s | t)
+        texts += [" ".join(w), " ".join(copy)]
+        copies.append(2 * i + 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_first_of_each(docs).collect()} == set(range(80)) - set(copies)
