@@ -320,3 +320,13 @@ def test_near_duplicates_with_block_edits_go(spark):
         copies.append(2 * i + 1)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_first_of_each(docs).collect()} == set(range(80)) - set(copies)
+
+
+def test_texts_of_the_same_words_in_another_order_are_all_compared(spark):
+    """An unlike text with the smallest doc_id and the same distinct words hides no pair."""
+    rng = random.Random(12)
+    words = sorted(set(prose(rng, 300).split()))[:200]
+    orders = [rng.sample(words, 200) for _ in range(3)]
+    texts = [" ".join(w) for w in (*orders, orders[1][90:] + orders[1][:90], orders[2][5:] + orders[2][:5])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_first_of_each(docs).collect()} == {0, 1, 2}
