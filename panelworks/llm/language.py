@@ -31,7 +31,9 @@ PER_LANG = 256
 SALTS = 32
 LANDMARKS = 128
 RIDGE = 1e-3
-LEAST_SCORE = 0.3
+# Without evidence all sums are near 0, so the score is 0.5 and the best two differ little.
+LEAST_SCORE = 0.525
+LEAST_MARGIN = 0.25
 PIECE = 1 << 20
 
 _TABLES: dict = {}
@@ -122,28 +124,35 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
     return langs, weights
 
 
-def identify(docs: DataFrame, langs: list[str], weights: np.ndarray) -> DataFrame:
-    """All columns of docs with lang_pred and score (present ones are replaced)."""
-    kept = docs.drop("lang_pred", "score")
+def identify(docs: DataFrame, langs: list[str], weights: np.ndarray, margin: bool = False) -> DataFrame:
+    """All columns of docs with lang_pred and score (present ones are replaced).
+
+    With ``margin`` also lang_margin, the best language's sum less the next one's (less 0 if there is one language).
+    """
+    added = [("lang_pred", "string"), ("score", "double"), *([("lang_margin", "double")] if margin else [])]
+    kept = docs.drop(*(name for name, _ in added))
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** BITS rows
 
     def run(batches):
         table_ = shared.value
         for batch in slices(batches, "text"):
-            preds, scores = [], []
+            preds, scores, margins = [], [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
                 found = grams(text or "")
                 if not len(found) or not langs:
                     preds.append("und")
                     scores.append(0.0)
+                    margins.append(0.0)
                     continue
                 sums = sum(table_[found[i : i + PIECE]].sum(axis=0, dtype=np.float64) for i in range(0, len(found), PIECE)) / math.sqrt(len(found))
                 best = int(np.argmax(sums))
                 preds.append(langs[best])
                 scores.append(float(min(1.0, max(0.0, (sums[best] + 1) / 2))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                margins.append(float(sums[best] - np.delete(sums, best).max(initial=0.0 if len(langs) == 1 else -np.inf)))
+            new = [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())][: len(added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *(name for name, _ in added)])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), *(f"{name} {kind}" for name, kind in added)])
     return kept.mapInArrow(run, schema)
 
 
@@ -151,12 +160,16 @@ def identify_language(docs: DataFrame) -> DataFrame:
     return identify(docs, *fit(training_grams(docs)))
 
 
-def known_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """Documents whose language is known; what is und or scores less goes. The columns of docs stay."""
+def known_language(docs: DataFrame, least_score: float = LEAST_SCORE, least_margin: float = LEAST_MARGIN) -> DataFrame:
+    """Documents whose language is known. The columns of docs stay.
+
+    What is und goes, and what has neither the score nor the margin of a learned language: other scripts and noise.
+    """
     names = [f"`{c}`" for c in docs.columns]
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "lang", "text")
-    found = identify(rows.select("row", "text"), *fit(training_grams(docs)))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*").select(*names)
+    found = identify(rows.select("row", "text"), *fit(training_grams(docs)), margin=True)
+    known = (F.col("lang_pred") != "und") & ((F.col("score") >= least_score) | (F.col("lang_margin") >= least_margin))
+    return found.where(known).select("row.*").select(*names)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,3 +330,15 @@ def test_texts_of_the_same_words_in_another_order_are_all_compared(spark):
     texts = [" ".join(w) for w in (*orders, orders[1][90:] + orders[1][:90], orders[2][5:] + orders[2][:5])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_first_of_each(docs).collect()} == {0, 1, 2}
+
+
+def test_texts_of_no_learned_language_go(spark):
+    rng = random.Random(6)
+
+    def text(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+
+    rows = [(i, text("abcde" if i % 2 else "cdefg", rng.randint(5, 60)), "p" if i % 2 else "q", None, None, None, None) for i in range(400)]
+    odd = [(1000 + i, text("бвгдежз" if i % 2 else "漢字仮名交文章", 5 + 10 * i), None, None, None, None, None) for i in range(20)]
+    left = {r.doc_id for r in language.known_language(spark.createDataFrame([*rows, *odd], SCHEMA)).collect()}
+    assert not left & {r[0] for r in odd} and len(left) >= 396
