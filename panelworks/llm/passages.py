@@ -221,30 +221,77 @@ def _similar(a: np.ndarray, b: np.ndarray) -> float:
     return len(x & y) / len(x | y) if x | y else 0.0
 
 
-def verify(a: np.ndarray, b: np.ndarray, b0: int, hulls: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
-    """(start, words, rep start, rep words, similarity) of the verified passages, ordered by start."""
-    runs, chains = _runs(a, b, b0, hulls), []
+def _chains(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """The runs, ordered by start, in chains: each follows the open chain with the nearest diagonal, then the smallest gap."""
+    chains, ends = [], {}  # diagonal -> the open chains that end there
     for x, y, n in runs:
-        for chain in reversed(chains[-4:]):
-            (px, py, pn) = chain[-1]
-            gap_a, gap_b = x - px - pn, y - py - pn
-            if -SHINGLE <= gap_a <= SLACK and -SHINGLE <= gap_b <= SLACK:
-                chain.append((x, y, n))
-                break
+        best = None
+        for d in range(x - y - SLACK - SHINGLE, x - y + SLACK + SHINGLE + 1):
+            if d not in ends:
+                continue
+            ends[d] = [c for c in ends[d] if x - c[-1][0] - c[-1][2] <= SLACK]
+            for chain in ends[d]:
+                px, py, pn = chain[-1]
+                gap_a, gap_b = x - px - pn, y - py - pn
+                if -SHINGLE <= gap_a and -SHINGLE <= gap_b <= SLACK:
+                    best = min((abs(gap_a - gap_b), gap_a, d, chain), best or (SLACK * 4,), key=lambda c: c[:3])
+        if best:
+            ends[best[2]] = [c for c in ends[best[2]] if c is not best[3]]
+            best[3].append((x, y, n))
         else:
             chains.append([(x, y, n)])
-    out = []
-    for chain in chains:
-        spans = [chain] if len(chain) == 1 else [chain, *([r] for r in chain)]
-        for span in spans:
-            x0, y0, x1, y1 = span[0][0], span[0][1], span[-1][0] + span[-1][2], span[-1][1] + span[-1][2]
-            if x1 - x0 < MIN_WORDS or y1 - y0 < MIN_WORDS:
-                continue
-            s = 1.0 if len(span) == 1 else _similar(a[x0:x1], b[y0 - b0 : y1 - b0])
+        ends.setdefault(x - y, []).append(best[3] if best else chains[-1])
+    return chains
+
+
+def _span(runs: list[tuple[int, int, int]]) -> tuple[int, int, int, int]:
+    return runs[0][0], runs[0][1], runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2]
+
+
+def _long(runs: list[tuple[int, int, int]]) -> bool:
+    x0, y0, x1, y1 = _span(runs)
+    return x1 - x0 >= MIN_WORDS and y1 - y0 >= MIN_WORDS
+
+
+def _stretches(chain: list[tuple[int, int, int]], similar) -> list[tuple[list[tuple[int, int, int]], float]]:
+    """The maximal stretches of a chain's runs that are long and similar enough, with their similarity.
+
+    By matched shingles M of A and B, a stretch is similar where M - SIMILARITY (A + B - M) >= 0, a difference of two sums
+    over the chain; ``similar`` then decides on sets of shingles.
+    """
+    ends, begins, matched = [], [], 0.0
+    for x, y, n in chain:
+        begins.append((1 + SIMILARITY) * matched - SIMILARITY * (x + y + 2 * (SHINGLE - 1)))
+        matched += n - SHINGLE + 1
+        ends.append((1 + SIMILARITY) * matched - SIMILARITY * (x + y + 2 * n))
+    out, done, ends = [], -1, np.array(ends)
+    for i, begin in enumerate(begins):
+        for j in (done + 1 + np.flatnonzero(ends[done + 1 :] >= begin - 1e-9))[::-1].tolist():
+            if j < i or not _long(chain[i : j + 1]):
+                break
+            s = 1.0 if i == j else similar(chain[i : j + 1])
             if s >= SIMILARITY:
-                out.append((x0, x1 - x0, y0, y1 - y0, s))
-                if span is chain:
-                    break
+                out.append((chain[i : j + 1], s))
+                done = j
+                break
+    return out
+
+
+def verify(a: np.ndarray, b: np.ndarray, b0: int, hulls: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
+    """(start, words, rep start, rep words, similarity) of the verified passages, ordered by start."""
+
+    def similar(runs):
+        x0, y0, x1, y1 = _span(runs)
+        return _similar(a[x0:x1], b[y0 - b0 : y1 - b0])
+
+    out = []
+    for chain in _chains(_runs(a, b, b0, hulls)):
+        if not _long(chain):
+            continue
+        s = 1.0 if len(chain) == 1 else similar(chain)
+        for runs, s in [(chain, s)] if s >= SIMILARITY else _stretches(chain, similar):
+            x0, y0, x1, y1 = _span(runs)
+            out.append((x0, x1 - x0, y0, y1 - y0, s))
     return sorted(out)
 
 

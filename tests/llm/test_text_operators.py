@@ -342,3 +342,19 @@ def test_texts_of_no_learned_language_go(spark):
     odd = [(1000 + i, text("бвгдежз" if i % 2 else "漢字仮名交文章", 5 + 10 * i), None, None, None, None, None) for i in range(20)]
     left = {r.doc_id for r in language.known_language(spark.createDataFrame([*rows, *odd], SCHEMA)).collect()}
     assert not left & {r[0] for r in odd} and len(left) >= 396
+
+
+def test_a_near_passage_beside_heavy_edits_is_verified():
+    """96 words with one edit, then an edit in every seventh word: the whole is unlike, the 96 words are not."""
+    a = np.arange(1000, 1400, dtype=np.uint32)
+    b = a.copy()
+    b[48] = 1
+    b[96::7] = np.arange(2, 2 + len(b[96::7]))
+    found = passages.verify(a, b, 0, [(0, 0, 90)])
+    assert any(x == 0 and x + n >= 96 and s >= 0.8 for x, n, _, _, s in found)
+    assert not passages.verify(a[96:], b[96:], 0, [(0, 0, 90)])
+
+
+def test_runs_find_their_chain_among_many_open_ones():
+    runs = [(0, 0, 30), *((31, 5000 + 100 * k, 6) for k in range(6)), (38, 38, 30)]
+    assert [(0, 0, 30), (38, 38, 30)] in passages._chains(runs)
