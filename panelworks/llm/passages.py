@@ -7,9 +7,10 @@
    since the ancestors of an anchor are anchors themselves. There are about 2 / (MIN_SHINGLES + 1) a shingle.
 2. Windows are grouped by signature (function, min-hash). A groupBy with map-side combine gives the signatures that
    occur in more than one document, with their first document; the windows with these are joined to it.
-3. Within a signature no pairs are listed: each window is linked to the signature's first document. Where neither
-   half passage around the anchor equals the first's, that document may own the shingle by chance, so such windows
-   are also grouped by (signature, half passage) and linked to the first of those.
+3. Within a signature no pairs are listed: each window is linked to all places of the signature's first document.
+   Where a half passage around the anchor is not among the first's, that document may hold only a part of the passage or
+   own the shingle by chance, so such windows are also grouped by (signature, half passage) and linked to the first of
+   those. Documents that fail against both firsts are not compared with further ones.
 4. Links are joined as intervals: those of one document pair on one diagonal become the hull of their windows. Pairs
    with at least ``MIN_LINKS`` links are candidates. The other document's word hashes inside the intervals are fetched
    in blocks and every candidate is verified: runs of equal words on the diagonals are chained when a few words
@@ -25,6 +26,7 @@ handled in bounded pieces by the same code; extra columns are carried along.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import durable, slices, table
+from panelworks.llm.common import durable, shared_folder, slices, table
 
 SHINGLE = 5
 MIN_WORDS = 50
@@ -159,24 +161,38 @@ def windows(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, doc_id long, at long, halves int")
 
 
-def _first(rows: DataFrame, key: str) -> DataFrame:
-    """Keys of more than one document, and their first document's window."""
-    by = rows.groupBy(key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("rep_at"), F.min_by("halves", "doc_id").alias("rep_halves"))
-    return by.where("rep < last").drop("last")
+def _stored(rows: DataFrame) -> DataFrame:
+    """Written to the shared folder as Parquet, which is a fraction of a checkpoint's size."""
+    folder = f"{shared_folder(rows.sparkSession)}/windows-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
+def _repeated(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key occurs in more than one document, with the first of these documents as ``rep``."""
+    by = rows.groupBy(key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    return durable(rows.join(by.where("rep < last").drop("last"), key))
+
+
+def _to_first(rows: DataFrame, key: str) -> DataFrame:
+    """The other documents' rows, once for each place of the first document; places in equal surroundings count once."""
+    places = rows.where("doc_id = rep").groupBy(key, F.col("halves").alias("rep_halves")).agg(F.min("at").alias("rep_at"))
+    return rows.where("doc_id > rep").join(places, key)
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, rep, rep_at): windows with a repeated signature, linked to the first document that has it."""
-    rows = windows(docs)
-    met = durable(rows.join(_first(rows, "key"), "key").where("doc_id > rep"))
+    """(doc_id, at, rep, rep_at): windows with a repeated signature, linked to the first document that has it, and to the
+    first that has it with an equal half passage where the first's differs or is absent."""
+    rows = _stored(windows(docs))
+    met = _repeated(rows, "key")
     high, low = F.shiftrightunsigned("halves", 16), F.col("halves").bitwiseAND(F.lit(0xFFFF))
-    apart = (high != F.shiftrightunsigned("rep_halves", 16)) & (low != F.col("rep_halves").bitwiseAND(F.lit(0xFFFF)))
-    ways = F.array(F.struct(F.lit(1).alias("way"), high.alias("half")), F.struct(F.lit(2).alias("way"), low.alias("half")))
-    odd = met.where(apart).select("key", "doc_id", "at", "halves", F.explode(ways).alias("g")).where("g.half != 0")
+    firsts = met.where("doc_id = rep").groupBy("key").agg(F.collect_set(high).alias("highs"), F.collect_set(low).alias("lows"))
+    odd_high, odd_low = ~F.array_contains("highs", high) & (high != 0), ~F.array_contains("lows", low) & (low != 0)
+    ways = F.array(F.struct(F.lit(1).alias("way"), high.alias("half"), odd_high.alias("odd")), F.struct(F.lit(2).alias("way"), low.alias("half"), odd_low.alias("odd")))
+    odd = met.where("doc_id > rep").join(firsts, "key").select("key", "doc_id", "at", "halves", F.explode(ways).alias("g")).where("g.odd")
     odd = odd.select(F.xxhash64("key", "g.way", "g.half").alias("group"), "doc_id", "at", "halves")
-    again = odd.join(_first(odd, "group"), "group").where("doc_id > rep")
     names = ["doc_id", "at", "rep", "rep_at"]
-    return met.select(names).unionByName(again.select(names))
+    return _to_first(met, "key").select(names).unionByName(_to_first(_repeated(odd, "group"), "group").select(names))
 
 
 def interval_candidates(found: DataFrame) -> DataFrame:

@@ -358,3 +358,26 @@ def test_a_near_passage_beside_heavy_edits_is_verified():
 def test_runs_find_their_chain_among_many_open_ones():
     runs = [(0, 0, 30), *((31, 5000 + 100 * k, 6) for k in range(6)), (38, 38, 30)]
     assert [(0, 0, 30), (38, 38, 30)] in passages._chains(runs)
+
+
+def test_passages_that_the_first_document_holds_in_part_are_found(spark):
+    """D0 has 30 words of a passage that D1 and D2 share whole: D2 is found by D1."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(30):
+        passage = prose(rng, 80).split()
+        texts += [prose(rng, 60).split() + part + prose(rng, 60).split() for part in (passage[25:55], passage, passage)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id for r in passages.repeated_passages(docs).where("n_words >= 80").collect()}
+    assert found == set(range(2, 90, 3))
+
+
+def test_windows_link_to_every_place_of_the_first_document(spark):
+    rng = random.Random(23)
+    texts = []
+    for _ in range(20):
+        common = prose(rng, 40)
+        texts += [" ".join((prose(rng, 60), common, prose(rng, 60), common, prose(rng, 60))), " ".join((prose(rng, 60), common, prose(rng, 60)))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = passages.links(docs).groupBy("doc_id", "at").agg(F.countDistinct("rep_at").alias("places")).collect()
+    assert sum(r.places == 2 for r in found) >= 20
