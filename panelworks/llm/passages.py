@@ -40,7 +40,7 @@ SHINGLE = 5
 MIN_WORDS = 50
 MIN_SHINGLES = MIN_WORDS - SHINGLE + 1
 HASHES = 3
-MIN_LINKS = 2
+MIN_LINKS = 1  # every candidate is verified; 999 of 1000 passages of 50 to 56 words with one edit are found, 988 with two links
 SIMILARITY = 0.8
 BLOCK = 256
 SLACK = 12  # words between chained runs

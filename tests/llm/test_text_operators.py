@@ -381,3 +381,18 @@ def test_windows_link_to_every_place_of_the_first_document(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = passages.links(docs).groupBy("doc_id", "at").agg(F.countDistinct("rep_at").alias("places")).collect()
     assert sum(r.places == 2 for r in found) >= 20
+
+
+def test_recall_of_near_passages_at_the_threshold(spark):
+    """50 to 56 words with one edit (similarity 0.80 to 0.83) in unlike surroundings: 399 of 400 or more are found."""
+    rng = random.Random(22)
+    texts = []
+    for i in range(400):
+        a = prose(rng, 50 + i % 7).split()
+        b = a.copy()
+        b[rng.randrange(10, 40)] = "changed"
+        assert passages._similar(*(np.array([xxhash.xxh3_64_intdigest(w) for w in x], np.uint64) for x in (a, b))) >= 0.8
+        texts += [prose(rng, 60).split() + x + prose(rng, 60).split() for x in (a, b)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id for r in passages.repeated_passages(docs).collect()}
+    assert found <= set(range(1, 800, 2)) and len(found) >= 399
