@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; only on a local master (tests, a laptop) a temporary folder where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -28,6 +32,25 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage as ``durable`` does, by a Parquet table in the shared folder: smaller than a checkpoint, and removable."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(table_: DataFrame) -> None:
+    """Removes a table of ``stored`` that nothing reads any more."""
+    folders = {f.rsplit("/", 1)[0] for f in table_.inputFiles()}
+    for folder in folders:
+        remove_folder(table_.sparkSession, folder)
+
+
 def slices(batches, column: str, budget: int = 1 << 20):
     """Zero-copy pieces of record batches in which ``column`` holds about ``budget`` bytes, or one row if that alone is longer."""
     for batch in batches:

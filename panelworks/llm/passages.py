@@ -7,12 +7,15 @@
    since the ancestors of an anchor are anchors themselves. There are about 2 / (MIN_SHINGLES + 1) a shingle.
 2. Windows are grouped by signature (function, min-hash). A groupBy with map-side combine gives the signatures that
    occur in more than one document, with their first document; the windows with these are joined to it.
-3. Within a signature no pairs are listed: each window is linked to all places of the signature's first document.
-   Where a half passage around the anchor is not among the first's, that document may hold only a part of the passage or
-   own the shingle by chance, so such windows are also grouped by (signature, half passage) and linked to the first of
-   those. Documents that fail against both firsts are not compared with further ones.
-4. Links are joined as intervals: those of one document pair on one diagonal become the hull of their windows. Pairs
-   with at least ``MIN_LINKS`` links are candidates. The other document's word hashes inside the intervals are fetched
+3. Within a signature no pairs are listed: each window is linked to the signature's first document. That document may
+   hold only a part of the passage or own the shingle by chance, so each window also carries hashes of its surroundings,
+   ``LEVELS`` shingles wide to the left and to the right. A window that differs from the first is grouped again by
+   (signature, side, surroundings up to the narrowest level that differs) and linked to the first window there, and so
+   on, level by level, until it agrees with a first on that side or is alone. So each window is linked, on either side, to
+   the first window that shares its surroundings as far as any does, up to the step between levels.
+   A link whose windows differ within ``LEVELS[0]`` shingles on both sides is no candidate.
+4. Links are joined as intervals: those of one document pair on one diagonal become the hull of their windows. One
+   link makes a candidate. The other document's word hashes inside the intervals are fetched
    in blocks and every candidate is verified: runs of equal words on the diagonals are chained when a few words
    apart, and a chain counts if it has at least ``MIN_WORDS`` words on both sides and its shingle sets have a Jaccard
    similarity of at least ``SIMILARITY``.
@@ -26,7 +29,6 @@ handled in bounded pieces by the same code; extra columns are carried along.
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +36,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import durable, shared_folder, slices, table
+from panelworks.llm.common import discard, slices, stored, table
 
 SHINGLE = 5
 MIN_WORDS = 50
 MIN_SHINGLES = MIN_WORDS - SHINGLE + 1
 HASHES = 3
-MIN_LINKS = 1  # every candidate is verified; 999 of 1000 passages of 50 to 56 words with one edit are found, 988 with two links
 SIMILARITY = 0.8
 BLOCK = 256
 SLACK = 12  # words between chained runs
 DRIFT = 6  # words put in or left out at one place
-THIN = 12
-HALF = MIN_SHINGLES // 2
+THIN = 12  # of a shingle that comes again and again, one anchor in so many places; any two of them align the run
+LEVELS = (6, 16, 26, 36, 46)
+LEVEL_BITS = 6
 REACH = MIN_SHINGLES + SLACK  # words beyond a hull in which a passage can go on
 
 _WORDS: dict = {}
@@ -55,7 +57,7 @@ _WORDS: dict = {}
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash per word."""
     words = (text or "").encode().lower().split()
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     for w in set(words):
         if w not in _WORDS:
@@ -79,10 +81,10 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def compact_windows(values: np.ndarray, least: int, thin: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(values: np.ndarray, least: int, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, left, right), bounds included, of all compact windows of at least ``least`` values; leftmost minimum wins.
 
-    Of equal neighbours in ``thin`` places, only the first and the series' last are kept.
+    Of equal neighbours in one ``block``, only the first and the series' last are kept.
     """
     n = len(values)
     if n < least:
@@ -97,10 +99,10 @@ def compact_windows(values: np.ndarray, least: int, thin: int = 1) -> tuple[np.n
         width += step
     anchor = place[np.concatenate(([True], place[1:] != place[:-1]))]
     own = values[anchor]
-    # A value that comes again and again (a repeated line) need not be an anchor at every place.
-    inner = (own[1:-1] == own[:-2]) & (own[1:-1] == own[2:]) & (anchor[1:-1] // thin == anchor[:-2] // thin)
-    anchor = anchor[np.concatenate(([True], ~inner, [True]))[: len(anchor)]] if len(anchor) > 2 else anchor
-    own = values[anchor]
+    if block is not None and len(anchor) > 2:
+        inner = (own[1:-1] == own[:-2]) & (own[1:-1] == own[2:]) & (block[anchor[1:-1]] == block[anchor[:-2]])
+        anchor = anchor[np.concatenate(([True], ~inner, [True]))]
+        own = values[anchor]
     m = len(anchor)
     before, after = np.arange(m) - 1, np.arange(m) + 1
     todo = np.arange(m)
@@ -117,8 +119,28 @@ def compact_windows(values: np.ndarray, least: int, thin: int = 1) -> tuple[np.n
     return anchor[long], left[long], right[long]
 
 
+def _surroundings(shingles: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """LEVEL_BITS of a hash of the LEVELS shingles up to each anchor, narrowest level first, then the same from it on.
+
+    A level that reaches beyond the text (its shingles are first to last) is 0, others are not.
+    """
+    base = np.uint64(0x9E3779B97F4A7C15)
+    power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(shingles), base))))
+    back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(shingles), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))))))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(shingles * power[:-1])))
+    out = np.zeros(len(anchor), np.uint64)
+    for side in (0, 1):
+        for width in LEVELS:
+            start = anchor if side else anchor - width + 1
+            there = (start >= first) & (start + width - 1 <= last)
+            at = np.where(there, start, 0)
+            hashed = mix((sums[np.where(there, at + width, 0)] - sums[at]) * back[at]) >> np.uint64(64 - LEVEL_BITS)
+            out = out << np.uint64(LEVEL_BITS) | np.where(there, np.maximum(hashed, np.uint64(1)), np.uint64(0))
+    return out
+
+
 def batch_windows(batch: list[str | None]) -> tuple[np.ndarray, ...]:
-    """(text's number, key, anchor, reach to the left, reach to the right, left half, right half) of many texts at once.
+    """(text's number, key, anchor, reach to the left, reach to the right, surroundings) of many texts at once.
 
     The texts' shingles stand in one array; those that would span two texts get the least value, and so bound
     every window. Reaches beyond MIN_SHINGLES are cut there: no run of that length that holds the anchor goes further.
@@ -130,79 +152,98 @@ def batch_windows(batch: list[str | None]) -> tuple[np.ndarray, ...]:
     place = np.arange(len(shingles))
     owner = np.minimum(np.searchsorted(starts, place, "right") - 1, len(batch) - 1)
     inside = place + SHINGLE <= starts[owner + 1]
-    half = rolling(shingles, HALF)
+    block = (place - starts[owner]) // THIN
     parts = []
     for i in range(HASHES):
         values = mix(shingles * np.uint64(2 * (0x632BE59BD9B4E019 * (i + 1) % (1 << 62)) + 1))
         values = np.where(inside, values | np.uint64(1), np.uint64(0))
-        anchor, left, right = compact_windows(values, MIN_SHINGLES, THIN)
+        anchor, left, right = compact_windows(values, MIN_SHINGLES, block)
         keep = inside[anchor]
         anchor, left, right = anchor[keep], left[keep], right[keep]
         key, text = mix(values[anchor] + np.uint64(2 * i)).view(np.int64), owner[anchor]
         first, last = starts[text], starts[text + 1] - SHINGLE
-        from_left, to_right = anchor - HALF + 1 >= first, anchor + HALF - 1 <= last
-        left_half = np.where(from_left, half[np.where(from_left, anchor - HALF + 1, 0)], np.uint64(0)) if len(half) else np.zeros(len(anchor), np.uint64)
-        right_half = np.where(to_right, half[np.where(to_right, anchor, 0)], np.uint64(0)) if len(half) else np.zeros(len(anchor), np.uint64)
-        parts.append((text, key, anchor - first, np.minimum(anchor - left, MIN_SHINGLES), np.minimum(right - anchor, MIN_SHINGLES), left_half, right_half))
+        around = _surroundings(shingles, anchor, first, last).view(np.int64)
+        parts.append((text, key, anchor - first, np.minimum(anchor - left, MIN_SHINGLES), np.minimum(right - anchor, MIN_SHINGLES), around))
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, at, halves) per compact window; ``at`` packs the anchor and its reaches, ``halves`` 16 bits of each half."""
+    """(key, doc_id, at, around) per compact window; ``at`` packs the anchor and its reaches."""
 
     def run(batches):
         for batch in slices(batches, "text"):
-            text, key, anchor, left, right, lh, rh = batch_windows(batch.column(1).to_pylist())
+            text, key, anchor, left, right, around = batch_windows(batch.column(1).to_pylist())
             ids = batch.column(0).to_numpy(zero_copy_only=False)[text]
-            halves = ((lh >> np.uint64(48) << np.uint64(16)) | rh >> np.uint64(48)).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids, pa.int64()), pa.array(anchor << 16 | left << 8 | right), pa.array(halves)], ["key", "doc_id", "at", "halves"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids, pa.int64()), pa.array(anchor << 16 | left << 8 | right), pa.array(around)], ["key", "doc_id", "at", "around"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    return rows.mapInArrow(run, "key long, doc_id long, at long, halves int")
+    return rows.mapInArrow(run, "key long, doc_id long, at long, around long")
 
 
-def _stored(rows: DataFrame) -> DataFrame:
-    """Written to the shared folder as Parquet, which is a fraction of a checkpoint's size."""
-    folder = f"{shared_folder(rows.sparkSession)}/windows-{uuid.uuid4().hex}"
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.parquet(folder)
+def _side(column: str, side: int):
+    """The surroundings on one side, narrowest level in the highest bits."""
+    bits = LEVEL_BITS * len(LEVELS)
+    return F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) if side else F.shiftrightunsigned(column, bits)
 
 
-def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key occurs in more than one document, with the first of these documents as ``rep``."""
-    by = rows.groupBy(key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    return durable(rows.join(by.where("rep < last").drop("last"), key))
+def _odd(side: int):
+    """The group in which a window goes on where it differs from the first window on this side, else null."""
+    own, group = _side("around", side), F.lit(None).cast("long")
+    odd = own.bitwiseXOR(_side("rep_around", side))
+    for level in range(len(LEVELS), 0, -1):
+        rest = LEVEL_BITS * (len(LEVELS) - level)
+        group = F.when(F.shiftrightunsigned(odd, rest) != 0, F.xxhash64("key", F.lit(side), F.lit(level), F.shiftrightunsigned(own, rest))).otherwise(group)
+    return group
 
 
-def _to_first(rows: DataFrame, key: str) -> DataFrame:
-    """The other documents' rows, once for each place of the first document; places in equal surroundings count once."""
-    places = rows.where("doc_id = rep").groupBy(key, F.col("halves").alias("rep_halves")).agg(F.min("at").alias("rep_at"))
-    return rows.where("doc_id > rep").join(places, key)
+def _met(rows: DataFrame, sides, gate: bool) -> DataFrame:
+    """A row (doc_id, at, rep, rep_at) per link of a window to the first window of its key, if documents differ, and a row
+    (side, key, doc_id, at, around) per side on which a window goes on in another group. Keys of one document drop out.
+
+    The first documents are stored before the join, so Spark can split a key with many windows there.
+    """
+    by = stored(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last"), "keys")
+    met = stored(rows.join(by, "key"), "repeated")
+    firsts = met.where("doc_id = rep").groupBy("key").agg(F.min("at").alias("rep_at"), F.min_by("around", "at").alias("rep_around"))
+    firsts = stored(firsts, "firsts")
+    near = F.lit(False)
+    for side in (0, 1):
+        near |= F.shiftrightunsigned(_side("around", side).bitwiseXOR(_side("rep_around", side)), LEVEL_BITS * (len(LEVELS) - 1)) == 0
+    link = F.struct(F.lit(None).cast("int").alias("side"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("around"), "rep", "rep_at")
+    ways = [F.when((F.col("doc_id") > F.col("rep")) & (near if gate else F.lit(True)), link)]
+    for side in (0, 1):
+        group = F.struct(F.lit(side).alias("side"), _odd(side).alias("key"), "around", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("rep_at"))
+        ways.append(F.when(sides(side) & _odd(side).isNotNull(), group))
+    told = met.join(firsts, "key").select("doc_id", "at", F.explode(F.filter(F.array(*ways), lambda x: x.isNotNull())).alias("w"))
+    out = stored(told.select("doc_id", "at", "w.*"), "links")
+    for table_ in (by, met, firsts):
+        discard(table_)
+    return out
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, rep, rep_at): windows with a repeated signature, linked to the first document that has it, and to the
-    first that has it with an equal half passage where the first's differs or is absent."""
-    rows = _stored(windows(docs))
-    met = _repeated(rows, "key")
-    high, low = F.shiftrightunsigned("halves", 16), F.col("halves").bitwiseAND(F.lit(0xFFFF))
-    firsts = met.where("doc_id = rep").groupBy("key").agg(F.collect_set(high).alias("highs"), F.collect_set(low).alias("lows"))
-    odd_high, odd_low = ~F.array_contains("highs", high) & (high != 0), ~F.array_contains("lows", low) & (low != 0)
-    ways = F.array(F.struct(F.lit(1).alias("way"), high.alias("half"), odd_high.alias("odd")), F.struct(F.lit(2).alias("way"), low.alias("half"), odd_low.alias("odd")))
-    odd = met.where("doc_id > rep").join(firsts, "key").select("key", "doc_id", "at", "halves", F.explode(ways).alias("g")).where("g.odd")
-    odd = odd.select(F.xxhash64("key", "g.way", "g.half").alias("group"), "doc_id", "at", "halves")
-    names = ["doc_id", "at", "rep", "rep_at"]
-    return _to_first(met, "key").select(names).unionByName(_to_first(_repeated(odd, "group"), "group").select(names))
+    """(doc_id, at, rep, rep_at): windows of repeated signatures, linked to the first window of the signature and to the
+    first of each group of surroundings in which they go on."""
+    rows, out = stored(windows(docs), "windows"), None
+    for level in range(len(LEVELS) + 1):
+        found = _met(rows, lambda side, level=level: F.lit(True) if level == 0 else F.col("side") == side, level == 0)
+        told = found.where("side IS NULL").select("doc_id", "at", "rep", "rep_at")
+        out = out.unionByName(told) if out else told
+        if level == 0:
+            discard(rows)
+        rows = found.where("side IS NOT NULL").select("side", "key", "doc_id", "at", "around")
+        if not rows.head(1):
+            break
+    return out
 
 
 def interval_candidates(found: DataFrame) -> DataFrame:
-    """(doc_id, rep, hulls): document pairs with enough links, and the hull of the linked windows on each diagonal."""
+    """(doc_id, rep, hulls): linked document pairs, and the hull of the linked windows on each diagonal."""
     anchor, rep_anchor = F.shiftright("at", 16), F.shiftright("rep_at", 16)
     left, right = F.shiftright("at", 8).bitwiseAND(F.lit(255)), F.col("at").bitwiseAND(F.lit(255))
     rows = found.select("doc_id", "rep", (anchor - rep_anchor).alias("diagonal"), (anchor - left).alias("low"), (anchor + right + SHINGLE).alias("high"))
-    hulls = rows.groupBy("doc_id", "rep", "diagonal").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("links"))
-    pairs = hulls.groupBy("doc_id", "rep").agg(F.sum("links").alias("links"), F.collect_list(F.struct("diagonal", "low", "high")).alias("hulls"))
-    return pairs.where(F.col("links") >= MIN_LINKS).drop("links")
+    hulls = rows.groupBy("doc_id", "rep", "diagonal").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return hulls.groupBy("doc_id", "rep").agg(F.collect_list(F.struct("diagonal", "low", "high")).alias("hulls"))
 
 
 def _runs(a: np.ndarray, b: np.ndarray, b0: int, hulls: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -329,7 +370,7 @@ def _blocks_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
 def _with_candidates(docs: DataFrame, how: str) -> DataFrame:
     """docs joined with ``_reps``: per matched document its hulls and the blocks under them."""
-    pairs = durable(interval_candidates(links(docs)))
+    pairs = stored(interval_candidates(links(docs)), "pairs")
     flat = pairs.select("doc_id", "rep", F.explode("hulls").alias("x")).select("doc_id", "rep", "x.*")
     low = F.greatest(F.lit(0), F.floor((F.col("low") - F.col("diagonal") - REACH) / BLOCK))
     high = F.greatest(low, F.floor((F.col("high") - F.col("diagonal") + REACH) / BLOCK))
@@ -341,28 +382,34 @@ def _with_candidates(docs: DataFrame, how: str) -> DataFrame:
 
 
 def _passages(text: str | None, reps: list[dict] | None) -> list[tuple[int, int, int, int, int, float]]:
-    """(start, words, rep, rep start, rep words, similarity) of one document."""
+    """(start, words, rep, rep start, rep words, similarity) of one document; none lies inside another with the same rep."""
     if not reps:
         return []
     a, out = word_hashes(text).astype(np.uint32), []
     for rep in reps:
         blocks = sorted((b["block"], b["hashes"]) for b in rep["blocks"])
-        hulls, i = [(x["diagonal"], x["low"], x["high"]) for x in rep["hulls"]], 0
+        hulls, found, i = [(x["diagonal"], x["low"], x["high"]) for x in rep["hulls"]], [], 0
         while i < len(blocks):  # stretches of adjacent blocks
             j = i + 1
             while j < len(blocks) and blocks[j][0] == blocks[j - 1][0] + 1:
                 j += 1
             b0 = blocks[i][0] * BLOCK
             b = np.frombuffer(b"".join(h for _, h in blocks[i:j]), np.uint32)
-            out += [(x, n, rep["rep"], y, m, s) for x, n, y, m, s in verify(a, b, b0, hulls)]
+            found += verify(a, b, b0, hulls)
             i = j
-    return sorted(set(out))
+        end = 0
+        for x, n, y, m, s in sorted(set(found), key=lambda p: (p[0], -p[1], -p[4], p[2])):
+            if x + n > end:
+                out.append((x, n, rep["rep"], y, m, s))
+                end = x + n
+    return sorted(out)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """A row per verified passage: doc_id, start_word, n_words, match_doc_id, match_start_word, match_words, similarity.
 
-    match_doc_id is a smaller doc_id that has the passage too.
+    match_doc_id is a smaller doc_id that has the passage too. Of the passages that two documents share, those whose words
+    (start_word, n_words) lie inside another's are left out.
     """
     schema = "doc_id long, start_word long, n_words long, match_doc_id long, match_start_word long, match_words long, similarity double"
     kinds = [pa.int64()] * 6 + [pa.float64()]

@@ -372,15 +372,43 @@ def test_passages_that_the_first_document_holds_in_part_are_found(spark):
     assert found == set(range(2, 90, 3))
 
 
-def test_windows_link_to_every_place_of_the_first_document(spark):
+def test_passages_are_found_whatever_part_of_them_earlier_documents_hold(spark):
+    """55 equal words in two documents, and an earlier document with 12 to 49 of them; all texts are unlike otherwise."""
+    rng = random.Random(25)
+    texts = []
+    for i in range(200):
+        passage, n = prose(rng, 55).split(), (12, 25, 34, 40, 45, 49)[i % 6]
+        start = rng.randrange(0, 55 - n + 1)
+        texts += [prose(rng, 60).split() + part + prose(rng, 60).split() for part in (passage[start : start + n], passage, passage)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {(r.doc_id, r.match_doc_id) for r in passages.repeated_passages(docs).where("n_words >= 55").collect()}
+    assert found == {(i + 2, i + 1) for i in range(0, 600, 3)}
+
+
+def test_a_passage_at_two_places_of_a_document_is_found_at_both(spark):
     rng = random.Random(23)
+    texts, want = [], set()
+    for i in range(20):
+        common = prose(rng, 60)
+        texts += [" ".join((prose(rng, 60), common, prose(rng, 60))), " ".join((prose(rng, 60), common, prose(rng, 60), common, prose(rng, 60)))]
+        want |= {(2 * i + 1, 60, 60), (2 * i + 1, 180, 60)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.start_word, r.n_words) for r in passages.repeated_passages(docs).collect()} == want
+
+
+def test_repeated_lines_are_found_whole(spark):
+    """One line again and again, of any period, in documents of different lengths."""
+    rng = random.Random(24)
     texts = []
-    for _ in range(20):
-        common = prose(rng, 40)
-        texts += [" ".join((prose(rng, 60), common, prose(rng, 60), common, prose(rng, 60))), " ".join((prose(rng, 60), common, prose(rng, 60)))]
+    for period in (1, 2, 7, 11, 13, 30):
+        line = prose(rng, period)
+        texts += [prose(rng, 60) + " " + " ".join([line] * (90 // period)) + " " + prose(rng, 60), prose(rng, 70) + " " + " ".join([line] * (400 // period))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = passages.links(docs).groupBy("doc_id", "at").agg(F.countDistinct("rep_at").alias("places")).collect()
-    assert sum(r.places == 2 for r in found) >= 20
+    covered = {}
+    for r in passages.repeated_passages(docs).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.start_word + r.n_words))
+    for i in range(1, len(texts), 2):
+        assert covered[i] >= set(range(70, len(texts[i].split())))
 
 
 def test_recall_of_near_passages_at_the_threshold(spark):
