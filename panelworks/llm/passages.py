@@ -28,11 +28,11 @@ handled in bounded pieces by the same code; extra columns are carried along.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,18 +51,36 @@ LEVELS = (6, 16, 26, 36, 46)
 LEVEL_BITS = 6
 REACH = MIN_SHINGLES + SLACK  # words beyond a hull in which a passage can go on
 
-_WORDS: dict = {}
+BASE = 0x9E3779B97F4A7C15
+PIECE = 1 << 20  # bytes of one text hashed at a time
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_POWERS: dict = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse, by which a hash of any run is a difference of two running sums."""
+    if len(_POWERS.get("up", ())) < n:
+        size = max(n, 1 << 16)
+        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            _POWERS[name] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, np.uint64(base)))))
+    return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash per word."""
-    words = (text or "").encode().lower().split()
-    if len(_WORDS) > 200_000:
-        _WORDS.clear()
-    for w in set(words):
-        if w not in _WORDS:
-            _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    raw, out, at = (text or "").encode().lower(), [], 0
+    while at < len(raw):
+        stop = min(len(raw), at + PIECE)
+        while stop < len(raw) and not _BLANK[raw[stop]]:  # pieces end between words
+            stop += 1
+        data = np.frombuffer(raw, np.uint8, stop - at, at)
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[data], [True])).astype(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        up, down = _powers(len(data))
+        sums = np.concatenate(([np.uint64(0)], np.cumsum((data + np.uint64(1)) * up)))
+        out.append(mix((sums[ends] - sums[starts]) * down[starts]))
+        at = stop
+    return out[0] if len(out) == 1 else np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -77,7 +95,7 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for i in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + values[i : i + n]
+        out = out * np.uint64(BASE) + values[i : i + n]
     return mix(out)
 
 
@@ -124,17 +142,15 @@ def _surroundings(shingles: np.ndarray, anchor: np.ndarray, first: np.ndarray, l
 
     A level that reaches beyond the text (its shingles are first to last) is 0, others are not.
     """
-    base = np.uint64(0x9E3779B97F4A7C15)
-    power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(shingles), base))))
-    back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(shingles), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))))))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(shingles * power[:-1])))
+    up, down = _powers(len(shingles))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(shingles * up)))
     out = np.zeros(len(anchor), np.uint64)
     for side in (0, 1):
         for width in LEVELS:
             start = anchor if side else anchor - width + 1
             there = (start >= first) & (start + width - 1 <= last)
             at = np.where(there, start, 0)
-            hashed = mix((sums[np.where(there, at + width, 0)] - sums[at]) * back[at]) >> np.uint64(64 - LEVEL_BITS)
+            hashed = mix((sums[np.where(there, at + width, 0)] - sums[at]) * down[at]) >> np.uint64(64 - LEVEL_BITS)
             out = out << np.uint64(LEVEL_BITS) | np.where(there, np.maximum(hashed, np.uint64(1)), np.uint64(0))
     return out
 
@@ -246,31 +262,61 @@ def interval_candidates(found: DataFrame) -> DataFrame:
     return hulls.groupBy("doc_id", "rep").agg(F.collect_list(F.struct("diagonal", "low", "high")).alias("hulls"))
 
 
-def _runs(a: np.ndarray, b: np.ndarray, b0: int, hulls: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs of at least SHINGLE equal words (start in a, start in b, length) on the hulls' diagonals; b holds the words from b0 on."""
-    out = set()
+def _merged(diagonal: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of places (first to stop) on diagonals, in order, those that meet on one diagonal put together."""
+    keep = stop - first >= SHINGLE
+    begin, end = (diagonal[keep] << 40) + first[keep], (diagonal[keep] << 40) + stop[keep]
+    order = np.argsort(begin)
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1])))[: len(begin)]
+    last = np.concatenate((new[1:], [len(begin)])) - 1 if len(new) else new
+    diagonal = begin[new] >> 40
+    return diagonal, begin[new] - (diagonal << 40), end[last] - (diagonal << 40)
+
+
+def _equal(a: np.ndarray, b: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(diagonal, start in a, length) of the runs of at least SHINGLE equal words on merged spans."""
+    diagonal, first, stop = spans
+    if not len(first):
+        return spans
+    sizes = stop - first + 1  # the last place of each parts it from the next
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    x = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first, sizes)
+    y = x - np.repeat(diagonal, sizes)
+    same = np.zeros(offsets[-1] + 1, bool)
+    same[1:] = a[np.minimum(x, len(a) - 1)] == b[np.minimum(y, len(b) - 1)]
+    same[offsets[1:]] = False
+    edges = np.flatnonzero(same[1:] != same[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    keep = ends - starts >= SHINGLE
+    starts, ends = starts[keep], ends[keep]
+    own = np.searchsorted(offsets, starts, "right") - 1
+    return diagonal[own], starts - offsets[own] + first[own], ends - starts
+
+
+def _runs(a: np.ndarray, b: np.ndarray, hulls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start in a, start in b, length) of runs of at least SHINGLE equal words on the hulls' diagonals.
+
+    The columns of ``hulls`` are a diagonal (place in a less place in b), the bounds in a, and the bounds of b's part to
+    search. Where no one run covers a hull, words may have been put in or left out, which moves the rest to a diagonal nearby.
+    """
+    diagonal, low, high, b_first, b_stop = hulls.T
 
-    def along(diagonal: int, low: int, high: int) -> bool:
-        """Adds the diagonal's runs; whether one run covers the whole hull."""
-        first = max(0, low - REACH, b0 + diagonal)
-        stop = min(len(a), high + REACH, b0 + len(b) + diagonal)
-        if stop - first < SHINGLE:
-            return True
-        same = np.zeros(stop - first + 2, np.int8)
-        same[1:-1] = a[first:stop] == b[first - diagonal - b0 : stop - diagonal - b0]
-        edges = np.flatnonzero(np.diff(same))
-        starts, ends = edges[::2], edges[1::2]
-        keep = ends - starts >= SHINGLE
-        starts, ends = (starts[keep] + first).tolist(), (ends[keep] + first).tolist()
-        out.update((x, x - diagonal, y - x) for x, y in zip(starts, ends))
-        return any(x <= max(low, first) and y >= min(high, stop) for x, y in zip(starts, ends))
-
-    for diagonal, low, high in hulls:
-        if not along(diagonal, low, high):
-            for drift in range(1, DRIFT + 1):  # words put in or left out move the rest to a diagonal nearby
-                along(diagonal - drift, low, high)
-                along(diagonal + drift, low, high)
-    return sorted(out)
+    def span(diagonal, low, high, b_first, b_stop):
+        return diagonal, np.maximum(np.maximum(0, low - REACH), b_first + diagonal), np.minimum(np.minimum(len(a), high + REACH), b_stop + diagonal)
+
+    own = span(*hulls.T)
+    d, x, n = _equal(a, b, _merged(*own))
+    short = own[2] - own[1] < SHINGLE
+    begin = np.maximum(low, own[1])
+    at = np.searchsorted((d << 40) + x, (diagonal << 40) + begin, "right") - 1
+    whole = (at >= 0) & (d[at] == diagonal) & (x[at] + n[at] >= np.minimum(high, own[2])) if len(d) else np.zeros(len(short), bool)
+    odd = ~(whole | short)
+    if odd.any():
+        drift = np.concatenate((np.arange(-DRIFT, 0), np.arange(1, DRIFT + 1)))
+        near = span((diagonal[odd][:, None] + drift).ravel(), *(np.repeat(c[odd], len(drift)) for c in (low, high, b_first, b_stop)))
+        d, x, n = _equal(a, b, _merged(*(np.concatenate(c) for c in zip(own, near))))
+    return x, x - d, n
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> float:
@@ -280,13 +326,19 @@ def _similar(a: np.ndarray, b: np.ndarray) -> float:
 
 def _chains(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
     """The runs, ordered by start, in chains: each follows the open chain with the nearest diagonal, then the smallest gap."""
+    if len(runs) == 1:
+        return [runs]
     chains, ends = [], {}  # diagonal -> the open chains that end there
     for x, y, n in runs:
-        best = None
-        for d in range(x - y - SLACK - SHINGLE, x - y + SLACK + SHINGLE + 1):
+        best, reach = None, SLACK + SHINGLE
+        near = range(x - y - reach, x - y + reach + 1)
+        for d in [d for d in ends if abs(x - y - d) <= reach] if len(ends) < len(near) else near:
             if d not in ends:
                 continue
             ends[d] = [c for c in ends[d] if x - c[-1][0] - c[-1][2] <= SLACK]
+            if not ends[d]:
+                del ends[d]
+                continue
             for chain in ends[d]:
                 px, py, pn = chain[-1]
                 gap_a, gap_b = x - px - pn, y - py - pn
@@ -334,22 +386,22 @@ def _stretches(chain: list[tuple[int, int, int]], similar) -> list[tuple[list[tu
     return out
 
 
-def verify(a: np.ndarray, b: np.ndarray, b0: int, hulls: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
-    """(start, words, rep start, rep words, similarity) of the verified passages, ordered by start."""
+def verify(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
+    """(start in a, words, start in b, words, similarity) of the passages that chains of runs make."""
 
     def similar(runs):
         x0, y0, x1, y1 = _span(runs)
-        return _similar(a[x0:x1], b[y0 - b0 : y1 - b0])
+        return _similar(a[x0:x1], b[y0:y1])
 
     out = []
-    for chain in _chains(_runs(a, b, b0, hulls)):
+    for chain in _chains(runs):
         if not _long(chain):
             continue
         s = 1.0 if len(chain) == 1 else similar(chain)
         for runs, s in [(chain, s)] if s >= SIMILARITY else _stretches(chain, similar):
             x0, y0, x1, y1 = _span(runs)
             out.append((x0, x1 - x0, y0, y1 - y0, s))
-    return sorted(out)
+    return out
 
 
 def _blocks_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -385,20 +437,39 @@ def _passages(text: str | None, reps: list[dict] | None) -> list[tuple[int, int,
     """(start, words, rep, rep start, rep words, similarity) of one document; none lies inside another with the same rep."""
     if not reps:
         return []
-    a, out = word_hashes(text).astype(np.uint32), []
-    for rep in reps:
-        blocks = sorted((b["block"], b["hashes"]) for b in rep["blocks"])
-        hulls, found, i = [(x["diagonal"], x["low"], x["high"]) for x in rep["hulls"]], [], 0
-        while i < len(blocks):  # stretches of adjacent blocks
-            j = i + 1
-            while j < len(blocks) and blocks[j][0] == blocks[j - 1][0] + 1:
-                j += 1
-            b0 = blocks[i][0] * BLOCK
-            b = np.frombuffer(b"".join(h for _, h in blocks[i:j]), np.uint32)
-            found += verify(a, b, b0, hulls)
-            i = j
+    a = word_hashes(text).astype(np.uint32)
+    parts, at, hulls, owners = [], 0, [], []  # stretches of adjacent blocks, one word apart, in one array
+    for k, rep in enumerate(reps):
+        blocks, starts = sorted((x["block"], x["hashes"]) for x in rep["blocks"]), []
+        for i, (block, raw) in enumerate(blocks):
+            if not i or block != blocks[i - 1][0] + 1:
+                at += bool(parts)
+                parts.append(b"\0" * 4 * bool(parts))
+                owners.append((at, k, block * BLOCK))
+                starts.append([block, at, at])
+            parts.append(raw)
+            at += len(raw) // 4
+            starts[-1][2] = at
+        for x in rep["hulls"]:
+            first = max(0, x["low"] - x["diagonal"] - REACH) // BLOCK
+            block, begin, end = starts[bisect.bisect_right(starts, first, key=lambda s: s[0]) - 1]
+            hulls.append((x["diagonal"] + block * BLOCK - begin, x["low"], x["high"], begin, end))
+    b = np.frombuffer(b"".join(parts), np.uint32)
+    x, y, n = _runs(a, b, np.array(hulls, np.int64))
+    order = np.lexsort((y, x))
+    x, y, n = x[order], y[order], n[order]
+    part = np.searchsorted([o[0] for o in owners], y, "right") - 1
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(len(owners) + 1))
+    runs = np.stack((x, y, n), axis=1)[order]
+    found = [[] for _ in reps]
+    for (begin, k, b0), i, j in zip(owners, edges, edges[1:]):
+        if j > i and (j - i > 1 or runs[i, 2] >= MIN_WORDS):
+            found[k] += [(x, n, y - begin + b0, m, s) for x, n, y, m, s in verify(a, b, list(map(tuple, runs[i:j].tolist())))]
+    out = []
+    for rep, passages in zip(reps, found):
         end = 0
-        for x, n, y, m, s in sorted(set(found), key=lambda p: (p[0], -p[1], -p[4], p[2])):
+        for x, n, y, m, s in sorted(set(passages), key=lambda p: (p[0], -p[1], -p[4], p[2])):
             if x + n > end:
                 out.append((x, n, rep["rep"], y, m, s))
                 end = x + n

@@ -106,6 +106,19 @@ def test_entropy_bins_match_counting():
         assert abs(got - 1000 * -(p * np.log2(p)).sum() / 6) <= 1.01
 
 
+def test_word_hashes_agree_wherever_a_word_stands():
+    rng = random.Random(3)
+    for text in (prose(rng, 400), "A b\x0bB\ta  ünï\u00a0x \r\n z", "", " ", "x" * 3000 + " y", None):
+        words = (text or "").encode().lower().split()
+        got = passages.word_hashes(text).tolist()
+        assert got == [passages.word_hashes(w.decode())[0] for w in words] and len(set(got)) == len(set(words))
+    whole, passages.PIECE = passages.word_hashes(prose(random.Random(3), 400)).tolist(), 64
+    try:
+        assert passages.word_hashes(prose(random.Random(3), 400)).tolist() == whole
+    finally:
+        passages.PIECE = 1 << 20
+
+
 def test_compact_windows_match_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -350,9 +363,13 @@ def test_a_near_passage_beside_heavy_edits_is_verified():
     b = a.copy()
     b[48] = 1
     b[96::7] = np.arange(2, 2 + len(b[96::7]))
-    found = passages.verify(a, b, 0, [(0, 0, 90)])
-    assert any(x == 0 and x + n >= 96 and s >= 0.8 for x, n, _, _, s in found)
-    assert not passages.verify(a[96:], b[96:], 0, [(0, 0, 90)])
+
+    def found(a, b):
+        runs = np.stack(passages._runs(a, b, np.array([(0, 0, 90, 0, len(b))])), axis=1)
+        return passages.verify(a, b, sorted(map(tuple, runs.tolist())))
+
+    assert any(x == 0 and x + n >= 96 and s >= 0.8 for x, n, _, _, s in found(a, b))
+    assert not found(a[96:], b[96:])
 
 
 def test_runs_find_their_chain_among_many_open_ones():
@@ -419,7 +436,7 @@ def test_recall_of_near_passages_at_the_threshold(spark):
         a = prose(rng, 50 + i % 7).split()
         b = a.copy()
         b[rng.randrange(10, 40)] = "changed"
-        assert passages._similar(*(np.array([xxhash.xxh3_64_intdigest(w) for w in x], np.uint64) for x in (a, b))) >= 0.8
+        assert passages._similar(*(passages.word_hashes(" ".join(x)) for x in (a, b))) >= 0.8
         texts += [prose(rng, 60).split() + x + prose(rng, 60).split() for x in (a, b)]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     found = {r.doc_id for r in passages.repeated_passages(docs).collect()}
