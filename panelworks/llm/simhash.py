@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import durable, slices, table, texts
+from panelworks.llm.common import durable, slices, stored, table, texts
 from panelworks.llm.components import min_labels
 from panelworks.llm.passages import mix, rolling, word_hashes
 
@@ -36,12 +36,11 @@ DEDUP_SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 20  # of BAND_ROWS min-hashes: a pair at 0.8 shares a band in 1 - (1 - 0.8 ** 5) ** 20 = 0.9996 of cases
 BAND_ROWS = 5
-DEDUP_RADIUS = 5
-DEDUP_SEGMENTS = 3
 # Two texts with a similarity of 0.8 differ in 51 of these bits on average, with a standard deviation of 7.
 SKETCH_BITS = 512
 SKETCH_RADIUS = 76
 BROADCAST_IDS = 1_000_000  # 8 bytes each
+TILE = 128
 _FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, SKETCH_BITS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -169,7 +168,7 @@ def _ids_first(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def near_duplicate_links(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) of doc_ids, a < b: different texts with a Jaccard similarity of their five-word shingles of ``similarity`` or more.
+    """(a, b) of doc_ids: different texts with a Jaccard similarity of their five-word shingles of ``similarity`` or more.
 
     Candidates: texts that share one of BANDS bands of min-hashes, and whose min-hash sketches differ in at most
     SKETCH_RADIUS bits; both depend on the similarity alone, not on where the texts differ. Every candidate is verified
@@ -179,102 +178,78 @@ def near_duplicate_links(docs: DataFrame, prints: DataFrame, similarity: float =
     one = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
     one = durable(one.drop("same"))
     sketches = one.select("doc_id", "sketch")
-    cells = one.select("doc_id", F.explode("bands").alias("cell"))
+    cells = one.select("doc_id", F.posexplode("bands").alias("band", "cell"))
     leads = cells.groupBy("cell").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last")
     cells = durable(cells.join(leads, "cell"))
-    star = cells.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = cells.where("lead < doc_id").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     star = star.join(sketches.toDF("a", "sketch"), "a").join(sketches.toDF("b", "sketch_b"), "b").where(_differing() <= SKETCH_RADIUS)
-    some = durable(_verified(docs, durable(star.select("a", "b").distinct()), similarity))
+    some = durable(_verified(docs, star.select("a", "b", F.col("b").alias("g")), similarity))
     ends = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     classes = min_labels(some, ends.withColumn("label", F.col("node")))
     cells = cells.drop("lead").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    cells = durable(cells.select("cell", "doc_id", F.coalesce("label", "doc_id").alias("known")))
-    return some.unionByName(_verified(docs, durable(_band_mates(cells, sketches)), similarity))
+    cells = durable(cells.select("cell", "band", "doc_id", F.coalesce("label", "doc_id").alias("known")))
+    return some.unionByName(_verified(docs, _band_mates(cells, one), similarity))
 
 
 def _differing():
     return sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_BITS // 64))
 
 
-def _band_mates(cells: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b), a < b: texts of different groups ``known`` that share a cell and have near sketches.
+def _band_mates(cells: DataFrame, one: DataFrame) -> DataFrame:
+    """(a, b, g): texts of different groups ``known`` that share a cell and have near sketches; g is b's group.
 
-    The group with most texts in a cell never meets itself there.
+    The group with most texts in a cell never meets itself there, and two texts meet in the first band they share only.
     """
     held = cells.groupBy("cell", "known").agg(F.count(F.lit(1)).alias("n"))
     held = held.groupBy("cell").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.max_by("known", "n").alias("crowd"))
-    rows = cells.join(held.where("low < high").select("cell", "crowd"), "cell").join(sketches, "doc_id")
-    rows = durable(rows.select("cell", "doc_id", "known", "sketch", (F.col("known") == F.col("crowd")).cast("int").alias("side")))
-    probes = rows.where("side = 0").select("cell", F.col("doc_id").alias("a"), "known", "sketch")
-    homes = rows.select("cell", F.col("doc_id").alias("b"), F.col("known").alias("known_b"), F.col("sketch").alias("sketch_b"), "side")
+    rows = cells.join(held.where("low < high").select("cell", "crowd"), "cell").join(one, "doc_id")
+    rows = durable(rows.select("cell", "band", "doc_id", "known", "sketch", "bands", (F.col("known") == F.col("crowd")).cast("int").alias("side")))
+    probes = rows.where("side = 0").select("cell", "band", F.col("doc_id").alias("a"), "known", "sketch", "bands")
+    homes = rows.select("cell", F.col("doc_id").alias("b"), F.col("known").alias("known_b"), F.col("sketch").alias("sketch_b"), F.col("bands").alias("bands_b"), "side")
     once = (F.col("side") == 1) | (F.col("a") < F.col("b"))
-    met = probes.join(homes, "cell").where(once & (F.col("known") != F.col("known_b")) & (_differing() <= SKETCH_RADIUS))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-
-
-def _near_texts(firsts: DataFrame) -> DataFrame:
-    """(a, b) of ``first``, a < b: texts of different groups ``known`` with near fingerprints ``fp`` and sketches.
-
-    near_duplicate_links does without it, since fingerprints miss block edits. A lookup carries its cell, the bits of the next segment as a tag, and its text. It drops out where the cell
-    holds only its own group or nothing, or one tag that is too far; the fingerprints and sketches are brought to the
-    others. The group with most fingerprints in a cell never meets itself there, and a pair is made in the first
-    segment in which it meets only, so a large group of near copies costs no pairs that the sketches can tell apart.
-    """
-    parts = _segments(DEDUP_RADIUS, DEDUP_SEGMENTS)
-    n, wide = len(parts), max(width for _, width, _ in parts)
-    tag = F.lit(None).cast("long")
-    for i in range(n):
-        start, width, _ = parts[(i + 1) % n]
-        tag = F.when(F.col("segment") == i, _value("fp", start, width)).otherwise(tag)
-    own = [F.shiftleft((F.col("seed") * n + F.col("segment")).cast("long"), wide).bitwiseOR(F.col("value")).alias("cell"), tag.cast("int").alias("tag"), "first"]
-    probes, _ = _cells(firsts.select("seed", "fp", "first", "known"), parts)
-    _, homes = _cells(firsts.select("seed", "fp", "first", "known", "sketch"), parts)
-    homes = homes.select(*own, "fp", "known", "sketch")
-    held = homes.groupBy("cell", "known").agg(F.count(F.lit(1)).alias("n"), F.min("tag").alias("tag_low"), F.max("tag").alias("tag_high"))
-    crowd = F.max_by("known", F.when(F.col("n") > 1, F.col("n")))
-    held = held.groupBy("cell").agg(F.min("known").alias("low"), F.max("known").alias("high"), crowd.alias("crowd"), F.min("tag_low").alias("tag_low"), F.max("tag_high").alias("tag_high"))
-    held = durable(held)
-    homes = homes.join(held.select("cell", "crowd"), "cell").withColumn("side", F.coalesce(F.col("known") == F.col("crowd"), F.lit(False)).cast("int"))
-    homes = homes.select("cell", "side", F.col("fp").alias("fp_b"), F.col("first").alias("b"), F.col("known").alias("known_b"), F.col("sketch").alias("sketch_b"))
-    sides = F.when(F.col("crowd") != F.col("known"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    probes = probes.select(*own, F.when(F.col("known") != F.col("first"), F.col("known")).alias("group"))
-    probes = probes.join(held, "cell").withColumn("known", F.coalesce("group", "first"))
-    far = (F.col("tag_low") == F.col("tag_high")) & (F.bit_count(F.col("tag").bitwiseXOR(F.col("tag_low"))) > DEDUP_RADIUS)
-    probes = probes.where((F.col("low") != F.col("known")) | (F.col("high") != F.col("known"))).where(~far)
-    place = F.shiftright("cell", wide)
-    probes = probes.select("cell", "first", "known", (place / n).cast("int").alias("seed"), (place % n).alias("segment"), F.explode(sides).alias("side"))
-    probes = probes.join(firsts.select("seed", "first", "fp", "sketch"), ["seed", "first"])
-    odd = F.col("fp").bitwiseXOR(F.col("fp_b"))
     earlier = F.lit(False)
-    for i, (start, width, most) in enumerate(parts):
-        earlier |= (F.col("segment") > i) & (F.bit_count(_value(odd, start, width)) <= most)
-    near = (F.col("fp") < F.col("fp_b")) & (F.bit_count(odd) <= DEDUP_RADIUS) & (F.col("known") != F.col("known_b")) & ~earlier & (_differing() <= SKETCH_RADIUS)
-    met = probes.join(homes, ["cell", "side"]).where(near)
-    return met.select(F.least("first", "b").alias("a"), F.greatest("first", "b").alias("b")).distinct()
+    for i in range(BANDS - 1):
+        earlier |= (F.col("band") > i) & (F.col("bands")[i] == F.col("bands_b")[i])
+    met = probes.join(homes, "cell").where(once & (F.col("known") != F.col("known_b")) & (_differing() <= SKETCH_RADIUS) & ~earlier)
+    return met.select("a", "b", F.col("known_b").alias("g"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts are as similar."""
-    involved = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    whole = _ids_first(docs.select("doc_id", "text"), involved, "left_semi")
-    whole = whole.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    met = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a")
-    met = met.join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
+    """The pairs (a, b) whose whole texts are as similar.
+
+    The pairs of a group ``g`` are cut into tiles of about TILE by TILE texts, so a text is sent once a tile and not
+    once a pair, and a task holds one tile at a time.
+    """
+    pairs = stored(pairs.distinct(), "pairs")
+    parts = [pairs.select("g", c).distinct().groupBy("g").agg(F.ceil(F.count(F.lit(1)) / TILE).alias(f"{c}_tiles")) for c in ("a", "b")]
+    tile = F.xxhash64("g", F.pmod(F.xxhash64("a"), "a_tiles"), F.pmod(F.xxhash64("b"), "b_tiles"))
+    tiled = stored(pairs.join(parts[0], "g").join(parts[1], "g").select(tile.alias("tile"), "a", "b"), "tiles")
+    members = stored(tiled.select("tile", F.col("a").alias("doc_id")).distinct().unionByName(tiled.select("tile", F.col("b").alias("doc_id")).distinct()).distinct(), "members")
+    whole = _ids_first(docs.select("doc_id", "text"), members.select("doc_id").distinct(), "left_semi")
+    held = members.join(whole, "doc_id").select("tile", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = held.unionByName(tiled.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
 
     def run(batches):
+        at, sets = None, {}
         for batch in slices(batches, "text"):
-            rows = zip(*(c.to_pylist() for c in batch.columns))
-            kept = [(a, b) for a, b, x, y in rows if len((s := _shingle_set(x)) & (t := _shingle_set(y))) >= similarity * len(s | t)]
+            kept = []
+            for tile, kind, a, b, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if tile != at:
+                    at, sets = tile, {}
+                if kind == 0:
+                    sets.setdefault(a, []).append(_shingle_set(text))
+                elif any(len(s & t) >= similarity * (len(s) + len(t) - len(s & t)) for s in sets.get(a, ()) for t in sets.get(b, ())):
+                    kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(run, "a long, b long").distinct()
 
 
 def keep_first_of_each(docs: DataFrame) -> DataFrame:
     """Documents without near-duplicates: of each group only the document with the smallest doc_id stays.
 
-    Groups are the components of equal texts and of near_duplicate_links. All columns stay. Of repeated rows with a
-    doc_id one stays; rows without doc_id are kept.
+    Groups are the components of equal texts and of near_duplicate_links. All columns stay. Of rows with equal
+    doc_id and text the least stays, by its columns in order; rows without doc_id are kept.
     """
     known = docs.where("doc_id IS NOT NULL")
     prints = durable(_word_prints(known))
@@ -287,7 +262,7 @@ def keep_first_of_each(docs: DataFrame) -> DataFrame:
     kept = _ids_first(known, durable(gone), "left_anti").select(*(f"`{c}`" for c in docs.columns))
     again = prints.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.head(1):  # repeated rows of one doc_id
-        kept = kept.dropDuplicates(["doc_id"])
+        kept = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*(f"`{c}`" for c in docs.columns))).alias("row")).select("row.*")
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

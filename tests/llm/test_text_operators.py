@@ -296,27 +296,32 @@ def test_sketches_estimate_similarity():
     assert len(simhash._sketch("")) == len(simhash._sketch("one")) == simhash.SKETCH_BITS // 64
 
 
-def test_candidates_of_near_texts_match_brute_force(spark):
-    """The last links: groups known already, a crowd, lone texts, cells that one group holds."""
+def test_components_of_near_texts_match_brute_force(spark):
+    """A crowd of near copies of one text, some further off, its exact copies, and unlike texts: against all pairs."""
     rng = random.Random(9)
-    seeds = [rng.getrandbits(63) for _ in range(6)]
-    flat, far = [0] * 8, [-1] * 8
-    rows, number = [], 0
-    for s in seeds:
-        for k in range(30):
-            fp = s
-            for bit in rng.sample(range(63), k % 5):
-                fp ^= 1 << bit
-            rows.append((k % 3, fp, number, number if k % 4 else seeds.index(s) * 30, far if k % 7 == 6 else flat))
-            number += 1
-    rows = list({(r[0], r[1]): r for r in rows}.values())
-    want = set()
-    for i, x in enumerate(rows):
-        for y in rows[i + 1 :]:
-            if x[0] == y[0] and x[3] != y[3] and (x[1] ^ y[1]).bit_count() <= simhash.DEDUP_RADIUS and x[4] == y[4]:
-                want.add((min(x[2], y[2]), max(x[2], y[2])))
-    frame = spark.createDataFrame(rows, "seed int, fp long, first long, known long, sketch array<long>")
-    assert len(want) > 100 and {tuple(r) for r in simhash._near_texts(frame).collect()} == want
+    base, texts = prose(rng, 150).split(), []
+    for k in range(240):
+        w = base.copy()
+        for _ in range(k % 7):
+            w[rng.randrange(len(w))] = prose(rng, 1)
+        texts.append(" ".join(w))
+    texts += [prose(rng, 150) for _ in range(40)] + texts[5:8]
+    sets = [simhash._shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                label[y] = x
+    want = {i for i in range(len(texts)) if find(i) == i}
+    got = {r.doc_id for r in simhash.keep_first_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert 40 < len(want) < 200 and got == want
 
 
 def test_near_duplicates_with_block_edits_go(spark):
