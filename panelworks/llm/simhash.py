@@ -222,8 +222,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     """
     pairs = stored(pairs.distinct(), "pairs")
     parts = [pairs.select("g", c).distinct().groupBy("g").agg(F.ceil(F.count(F.lit(1)) / TILE).alias(f"{c}_tiles")) for c in ("a", "b")]
+    sizes = stored(parts[0].join(parts[1], "g"), "sizes")  # a row a group
     tile = F.xxhash64("g", F.pmod(F.xxhash64("a"), "a_tiles"), F.pmod(F.xxhash64("b"), "b_tiles"))
-    tiled = stored(pairs.join(parts[0], "g").join(parts[1], "g").select(tile.alias("tile"), "a", "b"), "tiles")
+    tiled = stored(pairs.join(sizes, "g").select(tile.alias("tile"), "a", "b"), "tiles")
     members = stored(tiled.select("tile", F.col("a").alias("doc_id")).distinct().unionByName(tiled.select("tile", F.col("b").alias("doc_id")).distinct()).distinct(), "members")
     whole = _ids_first(docs.select("doc_id", "text"), members.select("doc_id").distinct(), "left_semi")
     held = members.join(whole, "doc_id").select("tile", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), F.coalesce("text", F.lit("")).alias("text"))
