@@ -1,8 +1,12 @@
-"""Rolling factors and forward labels on the dense panel: one shuffle by security serves all windows."""
+"""Rolling factors and forward labels on the dense panel: one shuffle by security serves all windows.
+
+Prices count where ``data_valid`` holds, amount and volume where ``quote_present`` does; nothing is filled. A division by
+zero is missing, not infinite.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.windows import at_least, last_n, ratio_to, sessions
@@ -11,10 +15,29 @@ HORIZONS = (1, 5, 20, 60)
 ANNUAL = 252**0.5
 
 
-def price_factors(panel: DataFrame) -> DataFrame:
-    """Returns, momentum, volatility, extremes, liquidity and eligibility; float rounding is left to the caller."""
+def _change(a: Column, b: Column) -> Column:
+    return F.try_divide(a, b) - 1
+
+
+def label_ends(days: DataFrame) -> DataFrame:
+    """(pos, label_end_h...): the session h places on in the calendar (a row per session meets in the window)."""
+    return days.select("pos", *(F.lead("date", h).over(Window.orderBy("pos")).alias(f"label_end_{h}") for h in HORIZONS))
+
+
+def price_factors(panel: DataFrame, days: DataFrame, least_adv: float = 0.0) -> DataFrame:
+    """Returns, momentum, volatility, extremes, liquidity, labels and eligibility; float rounding is left to the caller.
+
+    ``panel`` is dense; ``days`` (date, pos) is the whole calendar, by which labels end also after a name's last bar.
+    ``status``, the last that applies: ok, insufficient_history (under 60 quotes), below_liquidity_floor (mean amount under
+    ``least_adv``), no_trade_quote, data_issue (price missing or not valid).
+    """
     w = sessions()
-    base = panel.withColumn("return_1", ratio_to("close", 1))
+    quoted, valid = F.coalesce("quote_present", F.lit(False)), F.coalesce("data_valid", F.lit(False))
+    base = panel.select(
+        "security_id", "date", "pos", "open", "high", "low", F.col("close").alias("raw"), quoted.alias("quoted"), valid.alias("valid"),
+        F.when(valid, F.col("close")).alias("close"), F.when(quoted, F.col("amount")).alias("amount"), F.when(quoted, F.col("volume")).alias("volume"),
+    )
+    base = base.withColumn("return_1", ratio_to("close", 1)).withColumn("local", F.row_number().over(w) - 1)
     base = base.withColumn("log_return", F.when(F.col("return_1") > -1, F.log1p("return_1")))
     r, p = F.col("return_1"), F.col("close")
 
@@ -22,52 +45,88 @@ def price_factors(panel: DataFrame) -> DataFrame:
         return at_least(f(column).over(last_n(n)), F.col(column), least, last_n(n))
 
     down = F.when(F.col("log_return").isNotNull(), F.pow(F.least("log_return", F.lit(0.0)), 2))
-    base = base.withColumn("adv20", roll(F.avg, "amount", 20, 12))
+    illiquid = F.try_divide(F.abs(r), F.col("amount"))
+    base = base.withColumns({"adv20": roll(F.avg, "amount", 20, 12), "illiquid": illiquid, "both": F.when(p.isNotNull(), F.col("volume"))})
     n60 = F.count("return_1").over(last_n(60))
-    bias = F.sqrt(n60 * (n60 - 1)) / (n60 - 2)
+    bias = F.try_divide(F.sqrt(n60 * (n60 - 1)), (n60 - 2).cast("double"))
+    spread = F.stddev_pop("close").over(last_n(20)) * F.stddev_pop("both").over(last_n(20))  # read only where all 20 pairs are there
+    last_quote = F.last(F.when(F.col("quoted"), F.col("local")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = base.select(
-        "security_id", "date", "pos", "quoted", "close", "amount", "volume", "return_1", "log_return",
+        "security_id", "date", "pos", "quoted", "valid", "close", "amount", "volume", "return_1", "log_return",
         F.sum(F.col("quoted").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("history_sessions"),
         F.col("adv20").alias("adv20_amount"),
         *(ratio_to("close", n).alias(f"momentum_{n}") for n in (5, 20, 60, 120, 252)),
-        (F.lag("close", 20).over(w) / F.lag("close", 252).over(w) - 1).alias("momentum_252_skip20"),
-        (F.lag("close", 20).over(w) / F.lag("close", 60).over(w) - 1).alias("momentum_60_skip20"),
-        *((roll(F.stddev_samp, "return_1", n, max(12, n // 2)) * ANNUAL).alias(f"volatility_{n}") for n in (20, 60, 252)),
+        _change(F.lag("close", 20).over(w), F.lag("close", 252).over(w)).alias("momentum_252_skip20"),
+        _change(F.lag("close", 20).over(w), F.lag("close", 60).over(w)).alias("momentum_60_skip20"),
+        *((roll(F.stddev_samp, "log_return", n, max(12, n // 2)) * ANNUAL).alias(f"volatility_{n}") for n in (20, 60, 252)),
         at_least(F.sqrt(F.avg(down).over(last_n(60))) * ANNUAL, F.col("log_return"), 30, last_n(60)).alias("downside_volatility_60"),
         roll(F.max, "return_1", 20, 12).alias("max_return_20"),
         F.when(n60 >= 30, F.skewness("return_1").over(last_n(60)) * bias).alias("return_skew_60"),
-        at_least(p / F.max("close").over(last_n(252)) - 1, p, 60, last_n(252)).alias("near_high_252"),
-        at_least(p / F.min("close").over(last_n(252)) - 1, p, 60, last_n(252)).alias("near_low_252"),
-        *(at_least(p / F.avg("close").over(last_n(n)) - 1, p, n // 2 + (2 if n == 20 else 0), last_n(n)).alias(f"bias_{n}") for n in (20, 60)),
-        at_least(F.avg(F.abs(r) / F.col("amount")).over(last_n(20)) * 1e8, r, 12, last_n(20)).alias("amihud_20"),
+        at_least(_change(p, F.max("close").over(last_n(252))), p, 60, last_n(252)).alias("near_high_252"),
+        at_least(_change(p, F.min("close").over(last_n(252))), p, 60, last_n(252)).alias("near_low_252"),
+        *(at_least(_change(p, F.avg("close").over(last_n(n))), p, max(12, n // 2), last_n(n)).alias(f"bias_{n}") for n in (20, 60)),
+        (roll(F.avg, "illiquid", 20, 12) * 1e8).alias("amihud_20"),
         F.when(F.col("adv20") > 0, F.log("adv20")).alias("log_amount_20"),
-        (F.col("adv20") / roll(F.avg, "amount", 120, 60)).alias("amount_ratio_20_120"),
-        *((roll(F.stddev_samp, c, 20, 12) / F.avg(c).over(last_n(20))).alias(f"{c}_cv_20") for c in ("amount", "volume")),
-        F.corr("close", "volume").over(last_n(20)).alias("price_volume_corr_20"),
-        ((F.col("high") - F.col("low")) / p).alias("intraday_range"),
-        (p / F.col("open") - 1).alias("intraday_return"),
-        (F.col("pos") - F.last(F.when(F.col("quoted"), F.col("pos")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("sessions_since_quote"),
-        *((F.lead("close", h).over(w) / p - 1).alias(f"fwd_return_{h}") for h in HORIZONS),
-        *(F.lead("date", h).over(w).alias(f"label_end_{h}") for h in HORIZONS),
+        F.try_divide(F.col("adv20"), roll(F.avg, "amount", 120, 60)).alias("amount_ratio_20_120"),
+        *(F.try_divide(roll(F.stddev_samp, c, 20, 12), F.avg(c).over(last_n(20))).alias(f"{c}_cv_20") for c in ("amount", "volume")),
+        at_least(F.try_divide(F.covar_pop("close", "both").over(last_n(20)), spread), F.col("both"), 20, last_n(20)).alias("price_volume_corr_20"),
+        F.try_divide(F.col("high") - F.col("low"), F.col("raw")).alias("intraday_range"),
+        _change(F.col("raw"), F.col("open")).alias("intraday_return"),
+        (F.col("local") - F.coalesce(last_quote, F.lit(-1))).alias("sessions_since_quote"),
+        *(_change(F.lead("close", h).over(w), p).alias(f"fwd_return_{h}") for h in HORIZONS),
     )
-    return out.withColumn("status", F.when(~F.col("quoted"), "no_trade_quote").when(F.col("history_sessions") < 60, "insufficient_history").otherwise("ok"))
+    status = F.when(~F.col("valid") | F.col("close").isNull(), "data_issue").when(~F.col("quoted"), "no_trade_quote")
+    status = status.when(F.col("adv20_amount") < least_adv, "below_liquidity_floor").when(F.col("history_sessions") < 60, "insufficient_history").otherwise("ok")
+    return out.withColumn("status", status).drop("valid").join(label_ends(days), "pos")
 
 
-def market_context(factors: DataFrame) -> DataFrame:
-    """Per date: median return of the cross-section, breadth, names."""
-    return factors.where("return_1 IS NOT NULL").groupBy("date").agg(
-        F.median("return_1").alias("market_return"), F.avg((F.col("return_1") > 0).cast("double")).alias("breadth"), F.count(F.lit(1)).alias("names")
+def market_returns(factors: DataFrame, days: DataFrame) -> DataFrame:
+    """(date, pos, market_return, market_breadth_60, names) for every session: the median return of quoted names, and the
+    share of them above their 60-session mean."""
+    known = factors.where("quoted").groupBy("date").agg(
+        F.median("return_1").alias("market_return"), F.avg(F.when(F.col("bias_60").isNotNull(), (F.col("bias_60") > 0).cast("double"))).alias("market_breadth_60"), F.count("return_1").alias("names")
     )
+    return days.select("date", "pos").join(known, "date", "left")
 
 
-def single_factor_risk(factors: DataFrame, least: int = 60) -> DataFrame:
-    """Beta and residual variance (n - 2) against the cross-section's median return."""
-    both = factors.join(market_context(factors), "date").where("return_1 IS NOT NULL")
-    sums = both.groupBy("security_id").agg(
-        F.regr_count("return_1", "market_return").alias("n"),
-        F.regr_slope("return_1", "market_return").alias("beta"),
-        F.regr_syy("return_1", "market_return").alias("syy"),
-        F.regr_sxx("return_1", "market_return").alias("sxx"),
-        F.regr_sxy("return_1", "market_return").alias("sxy"),
-    )
-    return sums.where(F.col("n") >= least).select("security_id", "n", "beta", ((F.col("syy") - F.col("sxy") ** 2 / F.col("sxx")) / (F.col("n") - 2)).alias("residual_variance"))
+def market_context(factors: DataFrame, days: DataFrame) -> DataFrame:
+    """Momentum of the compounded median return over 20, 60 and 252 sessions (null unless all are known), its volatility over
+    60 (30 at least), breadth and names. A row per session meets in the windows."""
+    along = Window.orderBy("pos")
+    line = market_returns(factors, days).withColumn("_log", F.log1p("market_return"))
+
+    def last(n):
+        return along.rowsBetween(-(n - 1), 0)
+
+    return line.select(
+        "date", "market_return", "market_breadth_60", "names",
+        *(F.when(F.count("_log").over(last(n)) == n, F.expm1(F.sum("_log").over(last(n)))).alias(f"market_momentum_{n}") for n in (20, 60, 252)),
+        F.when(F.count("market_return").over(last(60)) >= 30, F.stddev_samp("market_return").over(last(60)) * ANNUAL).alias("market_volatility_60"),
+    )
+
+
+def single_factor_risk(factors: DataFrame, days: DataFrame, dates: DataFrame, window: int = 252, least: int = 60) -> DataFrame:
+    """Beta, daily intercept and yearly residual variance (n - 2) against the market's median return, per name and date of ``dates``.
+
+    They come from the ``window`` sessions before the date, with ``least`` pairs; a date on which the market has fewer
+    returns, or no variance, has no rows.
+    """
+    along = Window.orderBy("pos").rangeBetween(-window, -1)
+    market = market_returns(factors, days).select("date", "pos", "market_return")
+    market = market.select("*", F.count("market_return").over(along).alias("_n"), F.var_samp("market_return").over(along).alias("_var"))
+    held = factors.select("date", "security_id", "return_1").join(market, "date")
+    w = Window.partitionBy("security_id").orderBy("pos").rangeBetween(-window, -1)
+    pair = (F.col("return_1"), F.col("market_return"))
+    sums = {"n": F.regr_count, "beta": F.regr_slope, "intercept": F.regr_intercept, "_syy": F.regr_syy, "_sxx": F.regr_sxx, "_sxy": F.regr_sxy}
+    found = held.select("date", "security_id", "_n", "_var", *(f(*pair).over(w).alias(c) for c, f in sums.items())).join(dates, "date")
+    found = found.where((F.col("n") >= least) & (F.col("_n") >= least) & (F.col("_var") > 0) & (F.col("_sxx") > 0))
+    variance = (F.col("_syy") - F.col("_sxy") ** 2 / F.col("_sxx")) / (F.col("n") - 2) * 252
+    return found.select("date", "security_id", "n", "beta", "intercept", variance.alias("residual_variance"))
+
+
+def coverage(factors: DataFrame, columns: list[str], least: float = 0.2) -> DataFrame:
+    """(feature, known, rows, share, kept): how often each column is known; kept where the share is at least ``least``."""
+    counts = factors.agg(F.count(F.lit(1)).alias("rows"), *(F.count(c).alias(c) for c in columns))
+    long = counts.select("rows", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("known")) for c in columns))).alias("x"))
+    share = F.try_divide(F.col("x.known"), F.col("rows"))
+    return long.select("x.feature", "x.known", "rows", share.alias("share"), F.coalesce(share >= least, F.lit(False)).alias("kept"))

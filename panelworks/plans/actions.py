@@ -8,12 +8,13 @@ from panelworks.functions.windows import sessions
 from panelworks.operators import actions as ac
 from panelworks.plans.panel import _PANEL, _rounded
 from panelworks.sources import tables as src
+from panelworks.sources.store import materialised
 
 _FEE_PERIODS = [("1992-01-01", "1996-08-28", 0.001, 0.00002), ("1996-08-28", "1999-04-29", 0.0005, 0.00002), ("1999-04-29", None, 0.0005, 0.00001)]
 
 
 def _panel(spark, d):
-    return src.dense_panel(src.weekly_bars(spark, d))
+    return materialised(spark, d, "panel", lambda: src.dense_panel(src.weekly_bars(spark, d)))
 
 
 def forward_adjusted(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelworks.operators import books as bk
 from panelworks.operators import cross_section as xs
 from panelworks.operators import shaping as sh
-from panelworks.plans.panel import _FACTORS, _RANKS, _factors, _rounded
+from panelworks.plans.panel import _FACTORS, _RANKS, _days, _factors, _rounded
 from panelworks.sources import tables as src
 
 _NAMES = 5
@@ -15,7 +15,7 @@ _NAMES = 5
 
 def _monthly(spark, d):
     factors = _factors(spark, d)
-    calendar = src.calendar(src.weekly_bars(spark, d))
+    calendar = _days(spark, d)
     ends = sh.month_ends(calendar)
     scores = xs.factor_score(xs.ranks(factors.join(F.broadcast(ends), "date"))).select("date", "security_id", F.round("score", 9).alias("score"))  # one row a month
     return factors, xs.top_n(scores, _NAMES), bk.signal_intervals(ends, calendar)
@@ -85,7 +85,7 @@ ORACLES = {
       SELECT 'complete' AS status, count(*) AS months, 0::BIGINT AS missing, round(arg_max(l, signal), 6) AS log_growth, round(arg_max(l, signal) / ((max(exit) - min(entry)) / 365.25::DOUBLE), 6) AS yearly_log_growth, round(min(exp(l - peak) - 1), 6) AS max_drawdown, round(avg(hit_rate), 6) AS hit_rate FROM pk""",
     "book_turnover": f"""WITH {_BOOK}, dd AS (SELECT date, lag(date) OVER (ORDER BY date) AS before FROM (SELECT DISTINCT date FROM sel))
       SELECT s.date, round(CASE WHEN max(before) IS NOT NULL THEN 1 - count(w.security_id) / count(*)::DOUBLE END, 8) AS turnover FROM sel s JOIN dd USING (date) LEFT JOIN sel w ON w.date = before AND w.security_id = s.security_id GROUP BY 1""",
-    "trading_capacity": f"""WITH {_BOOK}, a AS (SELECT f.security_id, f.date, adv20_amount, lead(f.date) OVER w AS trade_date, lead(amount) OVER w AS day_amount FROM f JOIN panel USING (security_id, date) WINDOW w AS (PARTITION BY f.security_id ORDER BY f.pos))
+    "trading_capacity": f"""WITH {_BOOK}, a AS (SELECT f.security_id, f.date, adv20_amount, lead(f.date) OVER w AS trade_date, lead(f.amount) OVER w AS day_amount FROM f WINDOW w AS (PARTITION BY f.security_id ORDER BY f.pos))
       SELECT date, security_id, trade_date, round(CASE WHEN adv20_amount IS NOT NULL AND day_amount IS NOT NULL THEN 0.05::DOUBLE * least(adv20_amount, day_amount) END, 4) AS capacity FROM sel JOIN a USING (security_id, date)""",
     "order_ledger": """WITH t AS (SELECT l_suppkey AS account, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS tie, sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS quantity, max(floor(l_extendedprice / l_quantity))::BIGINT AS price FROM lineitem GROUP BY 1, 2, 3)
       SELECT *, round(-sum(quantity * price) OVER w, 2) AS cash, round(sum(quantity) OVER w, 2) AS held FROM t WINDOW w AS (PARTITION BY account ORDER BY ts, tie)""",

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from panelworks.operators import dated as dt
 from panelworks.plans.panel import _PANEL, _rounded, _versions
 from panelworks.sources import tables as src
+from panelworks.sources.store import materialised
 
 _KNOWN_FROM = "1994-01-01"
 
 
 def _panel(spark, d):
-    return src.dense_panel(src.weekly_bars(spark, d))
+    return materialised(spark, d, "panel", lambda: src.dense_panel(src.weekly_bars(spark, d)))
 
 
 def daily_versions(spark, d):

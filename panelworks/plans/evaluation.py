@@ -7,36 +7,42 @@ from pyspark.sql import functions as F
 from panelworks.operators import cross_section as xs
 from panelworks.operators import evaluation as ev
 from panelworks.operators import models as md
-from panelworks.plans.panel import _EXAMPLES, _FACTORS, _RANKS, _factors, _rank, _rounded
+from panelworks.plans.panel import _EXAMPLES, _FACTORS, _RANKS, _factors, _rank, _rounded, _squashed
+from panelworks.sources.store import materialised
 
 _WEIGHTS = {"momentum_60": 0.25, "momentum_5": -0.25, "volatility_20": -0.25, "adv20_amount": 0.25}
 _SPLIT, _AS_OF = "1998-01-05", "2000-01-03"
 _KINDS = {"score": 0, "momentum_60": 1, "near_high_252": 2}
 
 
-def _squashed(column):
-    """x / (1 + |x|): keeps order; the stand-in prices swing so widely that plain sums would compare noise."""
-    return F.col(column) / (1 + F.abs(column))
+def _scored(spark, d):
+    """Scored examples, written once per session and input folder."""
 
+    def make():
+        factors = _factors(spark, d)
+        scores = xs.factor_score(xs.ranks(factors)).where("score IS NOT NULL").select("date", "security_id", F.round("score", 9).alias("score"))
+        scale = factors.select("date", "security_id", (F.col("volatility_20") / 252**0.5).alias("sigma"))
+        rows = xs.examples(factors).join(scores, ["date", "security_id"]).join(scale, ["date", "security_id"])
+        return rows.where("fwd_return IS NOT NULL AND sigma > 0").withColumn("scale", F.col("sigma") * F.sqrt("horizon"))
 
-def _scored(spark, d):
-    factors = _factors(spark, d)
-    scores = xs.factor_score(xs.ranks(factors)).where("score IS NOT NULL").select("date", "security_id", F.round("score", 9).alias("score"))
-    scale = factors.select("date", "security_id", (F.col("volatility_20") / 252**0.5).alias("sigma"))
-    rows = xs.examples(factors).join(scores, ["date", "security_id"]).join(scale, ["date", "security_id"])
-    return rows.where("fwd_return IS NOT NULL AND sigma > 0").withColumn("scale", F.col("sigma") * F.sqrt("horizon"))
+    return materialised(spark, d, "scored", make)
 
 
 def _forecasts(spark, d):
-    rows = _scored(spark, d)
-    train = rows.where(f"label_end < DATE '{_SPLIT}'").withColumn("weight", F.lit(1.0))
-    fits = md.affine(train, "horizon")
-    base = train.groupBy("horizon").agg(F.avg((F.col("fwd_return") > 0).cast("double")).alias("baseline_probability"))
-    point = rows.join(F.broadcast(fits), "horizon").join(F.broadcast(base), "horizon")  # one row a horizon each
-    point = point.withColumn("expected_return", F.col("intercept") + F.col("slope") * F.col("score")).withColumn("probability_up", F.round(1 / (1 + F.exp(-F.col("score"))), 9))
-    point = point.withColumn("residual", md.log_residual(F.col("fwd_return"), F.col("expected_return"), F.col("scale")))
-    quantiles = md.residual_quantiles(point.where(f"label_end < DATE '{_SPLIT}'"))
-    return md.intervals(point.where(f"date >= DATE '{_SPLIT}'").drop("slope", "intercept", "residual"), quantiles)
+    """Forecasts after the split date, written once per session and input folder."""
+
+    def make():
+        rows = _scored(spark, d)
+        train = rows.where(f"label_end < DATE '{_SPLIT}'").withColumn("weight", F.lit(1.0))
+        fits = md.affine(train, "horizon")
+        base = train.groupBy("horizon").agg(F.avg((F.col("fwd_return") > 0).cast("double")).alias("baseline_probability"))
+        point = rows.join(F.broadcast(fits), "horizon").join(F.broadcast(base), "horizon")  # one row a horizon each
+        point = point.withColumn("expected_return", F.col("intercept") + F.col("slope") * F.col("score")).withColumn("probability_up", F.round(1 / (1 + F.exp(-F.col("score"))), 9))
+        point = point.withColumn("residual", md.log_residual(F.col("fwd_return"), F.col("expected_return"), F.col("scale")))
+        quantiles = md.residual_quantiles(point.where(f"label_end < DATE '{_SPLIT}'"))
+        return md.intervals(point.where(f"date >= DATE '{_SPLIT}'").drop("slope", "intercept", "residual"), quantiles)
+
+    return materialised(spark, d, "forecasts", make)
 
 
 def _candidates(spark, d):
@@ -127,18 +133,18 @@ def status_coverage(spark, d):
 QUERIES = {f.__name__: f for f in (affine_fit, forecasts, task_statuses, contributions, walk_forward, ridge_scores, probability_skill, calibration_equal, calibration_error, interval_quality, bootstrap_ic, candidate_table, paired_ic, nested_selection, release_gates, status_coverage)}
 
 _SCORED = f"""{_RANKS}, e AS ({_EXAMPLES}),
-x AS (SELECT e.date, e.security_id, e.horizon, e.fwd_return, e.label_end, round(score, 9) AS score, f.volatility_20 / sqrt(252::DOUBLE) * sqrt(e.horizon) AS scale
+x AS MATERIALIZED (SELECT e.date, e.security_id, e.horizon, e.fwd_return, e.label_end, round(score, 9) AS score, f.volatility_20 / sqrt(252::DOUBLE) * sqrt(e.horizon) AS scale
   FROM e JOIN scored USING (date, security_id) JOIN f USING (date, security_id) WHERE score IS NOT NULL AND e.fwd_return IS NOT NULL AND f.volatility_20 > 0)"""
 _FIT = f"""fit AS (SELECT horizon, greatest(0, regr_slope(fwd_return, score)) AS slope, avg(fwd_return) AS my, avg(score) AS mx, avg((fwd_return > 0)::INT) AS baseline_probability FROM x WHERE label_end < DATE '{_SPLIT}' GROUP BY 1)"""
 _FORECAST = f"""{_SCORED}, {_FIT},
-pt AS (SELECT x.*, baseline_probability, my + slope * (score - mx) AS expected_return, round(1 / (1 + exp(-score)), 9) AS probability_up FROM x JOIN fit USING (horizon)),
+pt AS MATERIALIZED (SELECT x.*, baseline_probability, my + slope * (score - mx) AS expected_return, round(1 / (1 + exp(-score)), 9) AS probability_up FROM x JOIN fit USING (horizon)),
 rs AS (SELECT horizon, (ln(1 + fwd_return) - ln(1 + expected_return)) / scale AS r FROM pt WHERE label_end < DATE '{_SPLIT}' AND fwd_return > -1 AND expected_return > -1),
 rn AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY r) AS i, count(*) OVER (PARTITION BY horizon) AS n FROM rs),
 rq AS (SELECT horizon, {", ".join(f"max(r) FILTER (i = ceil({q}::DOUBLE * n)) AS r{round(q * 100)}" for q in md.LEVELS)} FROM rn WHERE n >= 30 GROUP BY 1),
-p AS (SELECT pt.*, {", ".join(f"(1 + expected_return) * exp(scale * r{q}) - 1 AS q{q}" for q in (10, 50, 90))} FROM pt LEFT JOIN rq USING (horizon) WHERE date >= DATE '{_SPLIT}')"""
+p AS MATERIALIZED (SELECT pt.*, {", ".join(f"(1 + expected_return) * exp(scale * r{q}) - 1 AS q{q}" for q in (10, 50, 90))} FROM pt LEFT JOIN rq USING (horizon) WHERE date >= DATE '{_SPLIT}')"""
 _CAND = f"""{_RANKS}, e AS ({_EXAMPLES}),
 wide AS (SELECT date, security_id, round(scored.score, 9) AS score, round(f.momentum_60, 9) AS momentum_60, round(near_high_252, 9) AS near_high_252 FROM f JOIN scored USING (date, security_id)),
-cs AS (SELECT e.horizon, e.date, e.security_id, e.fwd_return, k.kind, CASE k.kind WHEN 'score' THEN score WHEN 'momentum_60' THEN momentum_60 ELSE near_high_252 END AS score
+cs AS MATERIALIZED (SELECT e.horizon, e.date, e.security_id, e.fwd_return, k.kind, CASE k.kind WHEN 'score' THEN score WHEN 'momentum_60' THEN momentum_60 ELSE near_high_252 END AS score
   FROM e JOIN wide USING (date, security_id), (SELECT unnest(['score', 'momentum_60', 'near_high_252']) AS kind) k
   WHERE e.fwd_return IS NOT NULL AND score IS NOT NULL AND momentum_60 IS NOT NULL AND near_high_252 IS NOT NULL),
 cr AS (SELECT kind, horizon, date, {_rank("score", "kind", "horizon", "date")} AS s, {_rank("fwd_return", "kind", "horizon", "date")} AS t FROM cs),

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from panelworks.operators import cross_section as xs
 from panelworks.operators import features as fe
 from panelworks.operators import pointintime as pit
+from panelworks.operators import shaping as sh
 from panelworks.sources import tables as src
+from panelworks.sources.store import materialised
 
 FLAGSHIP = "factor_ranks"
 
@@ -18,8 +20,30 @@ def _rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+_LEAST_ADV = 30_000.0
+
+
+def _squashed(column):
+    """x / (1 + |x|): keeps order; the stand-in prices swing so widely that plain sums would compare noise."""
+    return F.col(column) / (1 + F.abs(column))
+
+
+def _days(spark, d):
+    return materialised(spark, d, "days", lambda: src.calendar(src.weekly_bars(spark, d)))
+
+
+def _panel(spark, d):
+    """The dense panel; stand-in flags: some bars are no quote, some are not valid."""
+    flags = {
+        "quote_present": F.col("quoted") & ((F.col("security_id") * 5 + F.col("pos")) % 89 != 0),
+        "data_valid": F.when(F.col("quoted"), (F.col("security_id") * 7 + F.col("pos")) % 97 != 0),
+    }
+    return src.dense_panel(src.weekly_bars(spark, d)).withColumns(flags)
+
+
 def _factors(spark, d):
-    return fe.price_factors(src.dense_panel(src.weekly_bars(spark, d)))
+    """Factors are read by most queries, so they are written once per session and input folder."""
+    return materialised(spark, d, "factors", lambda: fe.price_factors(_panel(spark, d), _days(spark, d), _LEAST_ADV))
 
 
 def _predictions(spark, d):
@@ -37,15 +61,21 @@ def dense_panel(spark, d):
 
 
 def price_factors(spark, d):
-    return _rounded(_factors(spark, d).drop("close", "amount", "volume", "quoted", "label_end_1", "label_end_5", "label_end_60", "price_volume_corr_20"), 6)
+    return _rounded(_factors(spark, d).drop("close", "amount", "volume", "quoted"), 6)
 
 
 def market_context(spark, d):
-    return _rounded(fe.market_context(_factors(spark, d)))
+    found = fe.market_context(_factors(spark, d), _days(spark, d))
+    return _rounded(found.withColumns({f"market_momentum_{n}": _squashed(f"market_momentum_{n}") for n in (20, 60, 252)}), 6)
 
 
 def single_factor_risk(spark, d):
-    return _rounded(fe.single_factor_risk(_factors(spark, d)), 6)
+    days = _days(spark, d)
+    return _rounded(fe.single_factor_risk(_factors(spark, d), days, sh.month_ends(days)), 6)
+
+
+def feature_coverage(spark, d):
+    return _rounded(fe.coverage(_factors(spark, d), _ROUNDED))
 
 
 def factor_ranks(spark, d):
@@ -101,7 +131,7 @@ def daily_from_ticks(spark, d):
     return _rounded(pit.daily_from_ticks(ticks), 4)
 
 
-QUERIES = {f.__name__: f for f in (weekly_bars, dense_panel, price_factors, market_context, single_factor_risk, factor_ranks, winsorised_momentum, rank_targets, purged_split, daily_ic, ic_summary, book_curve, versions_asof, missing_sessions, daily_from_ticks)}
+QUERIES = {f.__name__: f for f in (weekly_bars, dense_panel, price_factors, market_context, single_factor_risk, feature_coverage, factor_ranks, winsorised_momentum, rank_targets, purged_split, daily_ic, ic_summary, book_curve, versions_asof, missing_sessions, daily_from_ticks)}
 
 _BARS = """bars AS (
   SELECT l_suppkey AS security_id, date_trunc('week', l_shipdate)::DATE AS date,
@@ -113,7 +143,8 @@ _PANEL = f"""{_BARS},
 days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM bars)),
 spans AS (SELECT security_id, min(date) AS a, max(date) AS b FROM bars GROUP BY 1),
 panel AS (
-  SELECT s.security_id, d.date, d.pos, open, close, high, low, volume, amount, close IS NOT NULL AS quoted
+  SELECT s.security_id, d.date, d.pos, open, close, high, low, volume, amount, close IS NOT NULL AS quoted,
+    close IS NOT NULL AND (s.security_id * 5 + d.pos) % 89 <> 0 AS quote_present, CASE WHEN close IS NOT NULL THEN (s.security_id * 7 + d.pos) % 97 <> 0 END AS data_valid
   FROM spans s JOIN days d ON d.date BETWEEN s.a AND s.b LEFT JOIN bars USING (security_id, date))"""
 
 
@@ -126,30 +157,36 @@ def _roll(n):
 
 
 _ROOT = "sqrt(252::DOUBLE)"
+_MEAN20, _MEAN120 = (f"CASE WHEN count(amount) {_roll(n)} >= {m} THEN avg(amount) {_roll(n)} END" for n, m in ((20, 12), (120, 60)))
 _FACTORS = f"""{_PANEL},
-r1 AS (SELECT *, CASE WHEN lag(close) OVER w <> 0 THEN close / lag(close) OVER w - 1 END AS return_1 FROM panel WINDOW w AS (PARTITION BY security_id ORDER BY pos)),
-r2 AS (SELECT *, CASE WHEN return_1 > -1 THEN ln(1 + return_1) END AS log_return FROM r1),
-f1 AS (SELECT security_id, date, pos, quoted, close, return_1, log_return,
+r0 AS (SELECT security_id, date, pos, open, high, low, close AS raw, quote_present AS quoted, coalesce(data_valid, false) AS valid, CASE WHEN data_valid THEN close END AS close,
+  CASE WHEN quote_present THEN amount END AS amount, CASE WHEN quote_present THEN volume END AS volume, row_number() OVER (PARTITION BY security_id ORDER BY pos) - 1 AS local FROM panel),
+r1 AS (SELECT *, CASE WHEN lag(close) OVER w <> 0 THEN close / lag(close) OVER w - 1 END AS return_1 FROM r0 WINDOW w AS (PARTITION BY security_id ORDER BY pos)),
+r2 AS (SELECT *, CASE WHEN return_1 > -1 THEN ln(1 + return_1) END AS log_return, abs(return_1) / nullif(amount, 0) AS illiquid, CASE WHEN close IS NOT NULL THEN volume END AS both_v FROM r1),
+f1 AS (SELECT security_id, date, pos, quoted, valid, close, amount, volume, return_1, log_return,
   sum(quoted::INT) {_roll(100000)} AS history_sessions,
-  CASE WHEN count(amount) {_roll(20)} >= 12 THEN avg(amount) {_roll(20)} END AS adv20_amount,
+  {_MEAN20} AS adv20_amount,
   {", ".join(f"CASE WHEN {_lag(n)} <> 0 THEN close / {_lag(n)} - 1 END AS momentum_{n}" for n in (5, 20, 60, 120, 252))},
-  {_lag(20)} / {_lag(252)} - 1 AS momentum_252_skip20,
-  {_lag(20)} / {_lag(60)} - 1 AS momentum_60_skip20,
-  {", ".join(f"CASE WHEN count(return_1) {_roll(n)} >= {m} THEN stddev_samp(return_1) {_roll(n)} * {_ROOT} END AS volatility_{n}" for n, m in ((20, 12), (60, 30), (252, 126)))},
+  {_lag(20)} / nullif({_lag(252)}, 0) - 1 AS momentum_252_skip20,
+  {_lag(20)} / nullif({_lag(60)}, 0) - 1 AS momentum_60_skip20,
+  {", ".join(f"CASE WHEN count(log_return) {_roll(n)} >= {m} THEN stddev_samp(log_return) {_roll(n)} * {_ROOT} END AS volatility_{n}" for n, m in ((20, 12), (60, 30), (252, 126)))},
   CASE WHEN count(log_return) {_roll(60)} >= 30 THEN sqrt(avg(CASE WHEN log_return IS NOT NULL THEN pow(least(log_return, 0), 2) END) {_roll(60)}) * {_ROOT} END AS downside_volatility_60,
   CASE WHEN count(return_1) {_roll(20)} >= 12 THEN max(return_1) {_roll(20)} END AS max_return_20,
   CASE WHEN count(return_1) {_roll(60)} >= 30 THEN skewness(return_1) {_roll(60)} END AS return_skew_60,
-  {", ".join(f"CASE WHEN count(close) {_roll(252)} >= 60 THEN close / {f}(close) {_roll(252)} - 1 END AS {n}" for f, n in (("max", "near_high_252"), ("min", "near_low_252")))},
-  {", ".join(f"CASE WHEN count(close) {_roll(n)} >= {m} THEN close / avg(close) {_roll(n)} - 1 END AS bias_{n}" for n, m in ((20, 12), (60, 30)))},
-  CASE WHEN count(return_1) {_roll(20)} >= 12 THEN avg(abs(return_1) / amount) {_roll(20)} * 1e8 END AS amihud_20,
-  CASE WHEN count(amount) {_roll(20)} >= 12 THEN ln(avg(amount) {_roll(20)}) END AS log_amount_20,
-  CASE WHEN count(amount) {_roll(20)} >= 12 AND count(amount) {_roll(120)} >= 60 THEN avg(amount) {_roll(20)} / avg(amount) {_roll(120)} END AS amount_ratio_20_120,
-  {", ".join(f"CASE WHEN count({c}) {_roll(20)} >= 12 THEN stddev_samp({c}) {_roll(20)} / avg({c}) {_roll(20)} END AS {c}_cv_20" for c in ("amount", "volume"))},
-  (high - low) / close AS intraday_range, close / open - 1 AS intraday_return,
-  pos - last_value(CASE WHEN quoted THEN pos END IGNORE NULLS) {_roll(100000)} AS sessions_since_quote,
-  {", ".join(f"lead(close, {h}) OVER w / close - 1 AS fwd_return_{h}, lead(date, {h}) OVER w AS label_end_{h}" for h in fe.HORIZONS)}
+  {", ".join(f"CASE WHEN count(close) {_roll(252)} >= 60 THEN close / nullif({f}(close) {_roll(252)}, 0) - 1 END AS {n}" for f, n in (("max", "near_high_252"), ("min", "near_low_252")))},
+  {", ".join(f"CASE WHEN count(close) {_roll(n)} >= {m} THEN close / nullif(avg(close) {_roll(n)}, 0) - 1 END AS bias_{n}" for n, m in ((20, 12), (60, 30)))},
+  CASE WHEN count(illiquid) {_roll(20)} >= 12 THEN avg(illiquid) {_roll(20)} * 1e8 END AS amihud_20,
+  CASE WHEN {_MEAN20} > 0 THEN ln({_MEAN20}) END AS log_amount_20,
+  {_MEAN20} / nullif({_MEAN120}, 0) AS amount_ratio_20_120,
+  {", ".join(f"CASE WHEN count({c}) {_roll(20)} >= 12 THEN stddev_samp({c}) {_roll(20)} / nullif(avg({c}) {_roll(20)}, 0) END AS {c}_cv_20" for c in ("amount", "volume"))},
+  CASE WHEN count(both_v) {_roll(20)} >= 20 THEN corr(close, both_v) {_roll(20)} END AS price_volume_corr_20,
+  (high - low) / nullif(raw, 0) AS intraday_range, raw / nullif(open, 0) - 1 AS intraday_return,
+  local - coalesce(last_value(CASE WHEN quoted THEN local END IGNORE NULLS) {_roll(100000)}, -1) AS sessions_since_quote,
+  {", ".join(f"lead(close, {h}) OVER w / nullif(close, 0) - 1 AS fwd_return_{h}" for h in fe.HORIZONS)}
   FROM r2 WINDOW w AS (PARTITION BY security_id ORDER BY pos)),
-f AS (SELECT *, CASE WHEN NOT quoted THEN 'no_trade_quote' WHEN history_sessions < 60 THEN 'insufficient_history' ELSE 'ok' END AS status FROM f1)"""
+f AS MATERIALIZED (SELECT f1.*, {", ".join(f"d{h}.date AS label_end_{h}" for h in fe.HORIZONS)}, CASE WHEN NOT valid OR close IS NULL THEN 'data_issue' WHEN NOT quoted THEN 'no_trade_quote'
+  WHEN adv20_amount < {_LEAST_ADV} THEN 'below_liquidity_floor' WHEN history_sessions < 60 THEN 'insufficient_history' ELSE 'ok' END AS status
+  FROM f1 {" ".join(f"LEFT JOIN days d{h} ON d{h}.pos = f1.pos + {h}" for h in fe.HORIZONS)})"""
 
 
 def _rank(column, *by):
@@ -159,22 +196,34 @@ def _rank(column, *by):
 
 
 _RANKS = f"""{_FACTORS},
-k AS (SELECT date, security_id, {", ".join(f"{_rank(c, 'date')} AS {c}" for c in xs.INPUTS)} FROM f WHERE status = 'ok'),
+k AS MATERIALIZED (SELECT date, security_id, {", ".join(f"{_rank(c, 'date')} AS {c}" for c in xs.INPUTS)} FROM f WHERE status = 'ok'),
 scored AS (SELECT *, 0.5::DOUBLE * (momentum_60 - momentum_5 - volatility_20 + adv20_amount) AS score FROM k)"""
 _EXAMPLES = " UNION ALL ".join(f"SELECT date, security_id, status, {h}::INT AS horizon, fwd_return_{h} AS fwd_return, label_end_{h} AS label_end FROM f" for h in fe.HORIZONS)
 _IC = f"""{_RANKS}, e AS ({_EXAMPLES}),
 both_known AS (SELECT e.horizon, e.date, score, fwd_return FROM e JOIN scored USING (date, security_id) WHERE score IS NOT NULL AND fwd_return IS NOT NULL),
 rk AS (SELECT horizon, date, {_rank("score", "horizon", "date")} AS s, {_rank("fwd_return", "horizon", "date")} AS t FROM both_known),
 ic AS (SELECT horizon, date, corr(s, t) AS rank_ic, count(*) AS names FROM rk GROUP BY 1, 2 HAVING count(*) >= 20 AND min(s) < max(s) AND min(t) < max(t))"""
-_ROUNDED = ["return_1", "log_return", "adv20_amount", "momentum_5", "momentum_20", "momentum_60", "momentum_120", "momentum_252", "momentum_252_skip20", "momentum_60_skip20", "volatility_20", "volatility_60", "volatility_252", "log_amount_20", "amount_ratio_20_120", "amount_cv_20", "volume_cv_20", "downside_volatility_60", "max_return_20", "return_skew_60", "near_high_252", "near_low_252", "bias_20", "bias_60", "amihud_20", "intraday_range", "intraday_return", "fwd_return_1", "fwd_return_5", "fwd_return_20", "fwd_return_60"]
+_ROUNDED = ["return_1", "log_return", "adv20_amount", "momentum_5", "momentum_20", "momentum_60", "momentum_120", "momentum_252", "momentum_252_skip20", "momentum_60_skip20", "volatility_20", "volatility_60", "volatility_252", "log_amount_20", "amount_ratio_20_120", "amount_cv_20", "volume_cv_20", "downside_volatility_60", "max_return_20", "return_skew_60", "near_high_252", "near_low_252", "bias_20", "bias_60", "amihud_20", "intraday_range", "intraday_return", "price_volume_corr_20", "fwd_return_1", "fwd_return_5", "fwd_return_20", "fwd_return_60"]
+_MARKET = """SELECT d.date, d.pos, median(return_1) FILTER (quoted) AS market_return, avg((bias_60 > 0)::INT) FILTER (quoted AND bias_60 IS NOT NULL) AS market_breadth_60, count(return_1) FILTER (quoted) AS names
+  FROM days d LEFT JOIN f USING (date) GROUP BY 1, 2"""
 ORACLES = {
     "weekly_bars": f"WITH {_BARS} SELECT security_id, date, round(open, 8) AS open, round(close, 8) AS close, round(high, 8) AS high, round(low, 8) AS low, round(volume, 8) AS volume, round(amount, 8) AS amount FROM bars",
     "dense_panel": f"WITH {_PANEL} SELECT security_id, date, pos::INT AS pos, round(close, 8) AS close, quoted FROM panel",
-    "price_factors": f"WITH {_FACTORS} SELECT security_id, date, pos::INT AS pos, history_sessions::BIGINT AS history_sessions, sessions_since_quote::INT AS sessions_since_quote, label_end_20, status, {', '.join(f'round({c}, 6) AS {c}' for c in _ROUNDED)} FROM f",
-    "market_context": f"WITH {_FACTORS} SELECT date, round(median(return_1), 8) AS market_return, round(avg((return_1 > 0)::INT), 8) AS breadth, count(*) AS names FROM f WHERE return_1 IS NOT NULL GROUP BY 1",
-    "single_factor_risk": f"""WITH {_FACTORS}, m AS (SELECT date, median(return_1) AS x FROM f WHERE return_1 IS NOT NULL GROUP BY 1)
-      SELECT security_id, count(*)::BIGINT AS n, round(regr_slope(return_1, x), 6) AS beta, round((regr_syy(return_1, x) - pow(regr_sxy(return_1, x), 2) / regr_sxx(return_1, x)) / (count(*) - 2), 6) AS residual_variance
-      FROM f JOIN m USING (date) WHERE return_1 IS NOT NULL GROUP BY 1 HAVING count(*) >= 60""",
+    "price_factors": f"WITH {_FACTORS} SELECT security_id, date, pos::INT AS pos, history_sessions::BIGINT AS history_sessions, sessions_since_quote::INT AS sessions_since_quote, label_end_1, label_end_5, label_end_20, label_end_60, status, {', '.join(f'round({c}, 6) AS {c}' for c in _ROUNDED)} FROM f",
+    "market_context": f"""WITH {_FACTORS}, m AS ({_MARKET}),
+      c AS (SELECT *, {", ".join(f"CASE WHEN count(market_return) OVER w{n} = {n} THEN exp(sum(ln(1 + market_return)) OVER w{n}) - 1 END AS market_momentum_{n}" for n in (20, 60, 252))},
+        CASE WHEN count(market_return) OVER w60 >= 30 THEN stddev_samp(market_return) OVER w60 * {_ROOT} END AS market_volatility_60 FROM m
+        WINDOW {", ".join(f"w{n} AS (ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (20, 60, 252))})
+      SELECT date, round(market_return, 6) AS market_return, round(market_breadth_60, 6) AS market_breadth_60, names, {", ".join(f"round(market_momentum_{n} / (1 + abs(market_momentum_{n})), 6) AS market_momentum_{n}" for n in (20, 60, 252))},
+        round(market_volatility_60, 6) AS market_volatility_60 FROM c""",
+    "single_factor_risk": f"""WITH {_FACTORS}, m AS ({_MARKET}),
+      e AS (SELECT date, pos FROM days QUALIFY date_trunc('month', date) < date_trunc('month', lead(date) OVER (ORDER BY date))),
+      g AS (SELECT e.date FROM e JOIN m ON m.pos BETWEEN e.pos - 252 AND e.pos - 1 GROUP BY 1 HAVING count(market_return) >= 60 AND var_samp(market_return) > 0)
+      SELECT e.date, h.security_id, regr_count(h.return_1, x)::BIGINT AS n, round(regr_slope(h.return_1, x), 6) AS beta, round(regr_intercept(h.return_1, x), 6) AS intercept,
+        round((regr_syy(h.return_1, x) - pow(regr_sxy(h.return_1, x), 2) / regr_sxx(h.return_1, x)) / (regr_count(h.return_1, x) - 2) * 252, 6) AS residual_variance
+      FROM e JOIN g USING (date) JOIN f c ON c.date = e.date JOIN (SELECT f.security_id, f.pos, return_1, market_return AS x FROM f JOIN m USING (date)) h ON h.security_id = c.security_id AND h.pos BETWEEN e.pos - 252 AND e.pos - 1
+      GROUP BY 1, 2 HAVING regr_count(h.return_1, x) >= 60""",
+    "feature_coverage": f"WITH {_FACTORS} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS known, count(*) AS rows, round(count({c}) / count(*)::DOUBLE, 8) AS share, count({c}) / count(*)::DOUBLE >= 0.2 AS kept FROM f" for c in _ROUNDED),
     "factor_ranks": f"WITH {_RANKS} SELECT date, security_id, {', '.join(f'round({c}, 8) AS {c}' for c in (*xs.INPUTS, 'score'))} FROM scored",
     "winsorised_momentum": f"""WITH {_FACTORS}, x AS (SELECT date, security_id, momentum_20 AS x FROM f WHERE status = 'ok' AND momentum_20 IS NOT NULL),
       m AS (SELECT date, median(x) AS m FROM x GROUP BY 1), s AS (SELECT date, any_value(m) AS m, median(abs(x - m)) AS mad FROM x JOIN m USING (date) GROUP BY 1),

@@ -8,7 +8,7 @@ from panelworks.operators import cross_section as xs
 from panelworks.operators import pointintime as pit
 from panelworks.operators import quality as ql
 from panelworks.operators import shaping as sh
-from panelworks.plans.panel import _BARS, _EXAMPLES, _FACTORS, _PANEL, _factors, _rounded
+from panelworks.plans.panel import _BARS, _EXAMPLES, _FACTORS, _PANEL, _days, _factors, _rounded
 from panelworks.sources import tables as src
 
 _T = "((date - DATE '1992-01-06') // 7)"
@@ -62,7 +62,7 @@ def _master(spark, d):
 
 
 def universe_asof(spark, d):
-    return ql.universe_asof(_master(spark, d), sh.month_ends(src.calendar(src.weekly_bars(spark, d))))
+    return ql.universe_asof(_master(spark, d), sh.month_ends(_days(spark, d)))
 
 
 def listing_periods(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelworks.operators import cross_section as xs
 from panelworks.operators import shaping as sh
-from panelworks.plans.panel import _EXAMPLES, _FACTORS, _PANEL, _RANKS, _factors, _rank, _rounded
+from panelworks.plans.panel import _EXAMPLES, _FACTORS, _PANEL, _RANKS, _days, _factors, _rank, _rounded
 from panelworks.sources import tables as src
 
 _AS_OF, _HALF_LIFE = "1999-12-31", 12.0
@@ -14,11 +14,11 @@ _AS_OF, _HALF_LIFE = "1999-12-31", 12.0
 
 def _month_rows(spark, d):
     factors = _factors(spark, d)
-    return factors.join(F.broadcast(sh.month_ends(src.calendar(src.weekly_bars(spark, d)))), "date")  # one row a month
+    return factors.join(F.broadcast(sh.month_ends(_days(spark, d))), "date")  # one row a month
 
 
 def month_ends(spark, d):
-    return sh.month_ends(src.calendar(src.weekly_bars(spark, d)))
+    return sh.month_ends(_days(spark, d))
 
 
 def monthly_targets(spark, d):

@@ -41,10 +41,15 @@ def calendar(bars: DataFrame) -> DataFrame:
 
 
 def dense_panel(bars: DataFrame) -> DataFrame:
-    """Every session from a security's first to its last bar; ``quoted`` tells whether a bar is there."""
+    """Every session from a security's first to its last bar; ``quoted`` tells whether a bar is there.
+
+    Only equi-joins: first and last dates become positions, whose sequence is unfolded and named by the calendar.
+    """
     days = calendar(bars)
     spans = bars.groupBy("security_id").agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    grid = spans.join(F.broadcast(days), (F.col("date") >= F.col("first")) & (F.col("date") <= F.col("last")))  # one row per session
+    for side in ("first", "last"):
+        spans = spans.join(days.select(F.col("date").alias(side), F.col("pos").alias(f"{side}_pos")), side)
+    grid = spans.select("security_id", F.explode(F.sequence("first_pos", "last_pos")).alias("pos")).join(days, "pos")
     panel = grid.select("security_id", "date", "pos").join(bars, ["security_id", "date"], "left")
     return panel.withColumn("quoted", F.col("close").isNotNull())
 
