@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelworks.sources.tables import dense_panel
+
 
 def versions_asof(observations: DataFrame, versions: DataFrame) -> DataFrame:
     """Each observation with the last version published by then; a version of an older period than one seen before is passed over.
@@ -21,11 +23,9 @@ def versions_asof(observations: DataFrame, versions: DataFrame) -> DataFrame:
     return both.where("kind = 1").select("security_id", F.col("at").cast("date").alias("date"), "known.period_end", "known.value", "known.version")
 
 
-def missing_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+def missing_sessions(bars: DataFrame) -> DataFrame:
     """Sessions between a security's first and last bar without a bar."""
-    spans = bars.groupBy("security_id").agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    wanted = spans.join(F.broadcast(calendar), (F.col("date") >= F.col("first")) & (F.col("date") <= F.col("last"))).select("security_id", "date")
-    return wanted.join(bars, ["security_id", "date"], "left_anti")
+    return dense_panel(bars.select("security_id", "date", F.lit(1).alias("close"))).where("NOT quoted").select("security_id", "date")
 
 
 def daily_from_ticks(ticks: DataFrame) -> DataFrame:

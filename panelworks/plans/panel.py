@@ -122,8 +122,7 @@ def versions_asof(spark, d):
 
 
 def missing_sessions(spark, d):
-    bars = src.weekly_bars(spark, d)
-    return pit.missing_sessions(bars.select("security_id", "date"), src.calendar(bars))
+    return pit.missing_sessions(src.weekly_bars(spark, d))
 
 
 def daily_from_ticks(spark, d):

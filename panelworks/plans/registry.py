@@ -1,9 +1,9 @@
 """All registered queries of the panel engine and their SQL oracles."""
 
-from panelworks.plans import actions, books, dated, evaluation, panel, quality, reports, shaping
+from panelworks.plans import actions, books, dated, evaluation, intake, panel, quality, reports, shaping
 
 FLAGSHIP = panel.FLAGSHIP
 QUERIES, ORACLES = {}, {}
-for _plan in (panel, shaping, evaluation, quality, actions, books, dated, reports):
+for _plan in (panel, shaping, evaluation, quality, actions, books, dated, reports, intake):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES

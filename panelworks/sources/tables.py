@@ -52,10 +52,3 @@ def dense_panel(bars: DataFrame) -> DataFrame:
     grid = spans.select("security_id", F.explode(F.sequence("first_pos", "last_pos")).alias("pos")).join(days, "pos")
     panel = grid.select("security_id", "date", "pos").join(bars, ["security_id", "date"], "left")
     return panel.withColumn("quoted", F.col("close").isNotNull())
-
-
-def windows_of(start: str, end: str, spark: SparkSession) -> DataFrame:
-    """Calendar months that cover [start, end], clipped to it."""
-    span = spark.range(1).select(F.lit(start).cast("date").alias("s"), F.lit(end).cast("date").alias("e"))
-    months = span.select("s", "e", F.explode(F.sequence(F.trunc("s", "month"), F.col("e"), F.expr("interval 1 month"))).alias("m"))
-    return months.select(F.greatest("s", "m").alias("start"), F.least("e", F.last_day("m")).alias("end"))
