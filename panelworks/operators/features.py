@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelworks.functions.rolling import rolling
 from panelworks.functions.windows import at_least, last_n, ratio_to, sessions
 
 HORIZONS = (1, 5, 20, 60)
 ANNUAL = 252**0.5
+# (column, highest power, sessions) of the sums that the factors are made of
+_SUMS = (("log_return", 2, (20, 60, 252)), ("return_1", 3, (20, 60)), ("close", 1, (20, 60, 252)), ("amount", 2, (20, 120)), ("volume", 2, (20,)), ("illiquid", 1, (20,)), ("down", 1, (60,)))
 
 
 def _change(a: Column, b: Column) -> Column:
@@ -40,35 +43,56 @@ def price_factors(panel: DataFrame, days: DataFrame, least_adv: float = 0.0) ->
     base = base.withColumn("return_1", ratio_to("close", 1)).withColumn("local", F.row_number().over(w) - 1)
     base = base.withColumn("log_return", F.when(F.col("return_1") > -1, F.log1p("return_1")))
     r, p = F.col("return_1"), F.col("close")
-
-    def roll(f, column, n, least):
-        return at_least(f(column).over(last_n(n)), F.col(column), least, last_n(n))
-
-    down = F.when(F.col("log_return").isNotNull(), F.pow(F.least("log_return", F.lit(0.0)), 2))
-    illiquid = F.try_divide(F.abs(r), F.col("amount"))
-    base = base.withColumns({"adv20": roll(F.avg, "amount", 20, 12), "illiquid": illiquid, "both": F.when(p.isNotNull(), F.col("volume"))})
-    n60 = F.count("return_1").over(last_n(60))
-    bias = F.try_divide(F.sqrt(n60 * (n60 - 1)), (n60 - 2).cast("double"))
+    base = base.withColumns({"illiquid": F.try_divide(F.abs(r), F.col("amount")), "both": F.when(p.isNotNull(), F.col("volume"))})
+    base = base.withColumn("down", F.when(F.col("log_return").isNotNull(), F.pow(F.least("log_return", F.lit(0.0)), 2)))
+    wanted, powers = {}, {}
+    for column, power, spans in _SUMS:
+        for e in range(power + 1):
+            powers[f"{column}_{e}"] = F.when(F.col(column).isNotNull(), F.pow(column, F.lit(float(e))) if e != 1 else F.col(column).cast("double"))
+            wanted |= {f"{column}_{e}_{n}": (f"{column}_{e}", "sum", n) for n in spans}
+    wanted |= {"high_252": ("close", "max", 252), "low_252": ("close", "min", 252), "return_max_20": ("return_1", "max", 20)}
+    base = rolling(base.withColumns(powers), wanted)
+
+    def known(column, n, least, value):
+        return F.when(F.col(f"{column}_0_{n}") >= least, value)
+
+    def mean(column, n, least):
+        return known(column, n, least, F.try_divide(F.col(f"{column}_1_{n}"), F.col(f"{column}_0_{n}")))
+
+    def moments(column, n):
+        """Count, mean and central second moment."""
+        count = F.col(f"{column}_0_{n}")
+        middle = F.try_divide(F.col(f"{column}_1_{n}"), count)
+        return count, middle, F.greatest(F.try_divide(F.col(f"{column}_2_{n}"), count) - middle * middle, F.lit(0.0))
+
+    def deviation(column, n, least):
+        count, _, second = moments(column, n)
+        return known(column, n, least, F.sqrt(F.try_divide(second * count, count - 1)))
+
+    count, middle, second = moments("return_1", 60)
+    third = F.try_divide(F.col("return_1_3_60"), count) - 3 * middle * F.try_divide(F.col("return_1_2_60"), count) + 2 * F.pow(middle, F.lit(3.0))
+    skew = F.try_divide(third, F.pow(second, F.lit(1.5))) * F.try_divide(F.sqrt(count * (count - 1)), count - 2)
     spread = F.stddev_pop("close").over(last_n(20)) * F.stddev_pop("both").over(last_n(20))  # read only where all 20 pairs are there
     last_quote = F.last(F.when(F.col("quoted"), F.col("local")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    adv20 = mean("amount", 20, 12)
     out = base.select(
         "security_id", "date", "pos", "quoted", "valid", "close", "amount", "volume", "return_1", "log_return",
         F.sum(F.col("quoted").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("history_sessions"),
-        F.col("adv20").alias("adv20_amount"),
+        adv20.alias("adv20_amount"),
         *(ratio_to("close", n).alias(f"momentum_{n}") for n in (5, 20, 60, 120, 252)),
         _change(F.lag("close", 20).over(w), F.lag("close", 252).over(w)).alias("momentum_252_skip20"),
         _change(F.lag("close", 20).over(w), F.lag("close", 60).over(w)).alias("momentum_60_skip20"),
-        *((roll(F.stddev_samp, "log_return", n, max(12, n // 2)) * ANNUAL).alias(f"volatility_{n}") for n in (20, 60, 252)),
-        at_least(F.sqrt(F.avg(down).over(last_n(60))) * ANNUAL, F.col("log_return"), 30, last_n(60)).alias("downside_volatility_60"),
-        roll(F.max, "return_1", 20, 12).alias("max_return_20"),
-        F.when(n60 >= 30, F.skewness("return_1").over(last_n(60)) * bias).alias("return_skew_60"),
-        at_least(_change(p, F.max("close").over(last_n(252))), p, 60, last_n(252)).alias("near_high_252"),
-        at_least(_change(p, F.min("close").over(last_n(252))), p, 60, last_n(252)).alias("near_low_252"),
-        *(at_least(_change(p, F.avg("close").over(last_n(n))), p, max(12, n // 2), last_n(n)).alias(f"bias_{n}") for n in (20, 60)),
-        (roll(F.avg, "illiquid", 20, 12) * 1e8).alias("amihud_20"),
-        F.when(F.col("adv20") > 0, F.log("adv20")).alias("log_amount_20"),
-        F.try_divide(F.col("adv20"), roll(F.avg, "amount", 120, 60)).alias("amount_ratio_20_120"),
-        *(F.try_divide(roll(F.stddev_samp, c, 20, 12), F.avg(c).over(last_n(20))).alias(f"{c}_cv_20") for c in ("amount", "volume")),
+        *((deviation("log_return", n, max(12, n // 2)) * ANNUAL).alias(f"volatility_{n}") for n in (20, 60, 252)),
+        (known("log_return", 60, 30, F.sqrt(F.try_divide(F.col("down_1_60"), F.col("log_return_0_60")))) * ANNUAL).alias("downside_volatility_60"),
+        known("return_1", 20, 12, F.col("return_max_20")).alias("max_return_20"),
+        known("return_1", 60, 30, skew).alias("return_skew_60"),
+        known("close", 252, 60, _change(p, F.col("high_252"))).alias("near_high_252"),
+        known("close", 252, 60, _change(p, F.col("low_252"))).alias("near_low_252"),
+        *(_change(p, mean("close", n, max(12, n // 2))).alias(f"bias_{n}") for n in (20, 60)),
+        (mean("illiquid", 20, 12) * 1e8).alias("amihud_20"),
+        F.when(adv20 > 0, F.log(adv20)).alias("log_amount_20"),
+        F.try_divide(adv20, mean("amount", 120, 60)).alias("amount_ratio_20_120"),
+        *(F.try_divide(deviation(c, 20, 12), mean(c, 20, 12)).alias(f"{c}_cv_20") for c in ("amount", "volume")),
         at_least(F.try_divide(F.covar_pop("close", "both").over(last_n(20)), spread), F.col("both"), 20, last_n(20)).alias("price_volume_corr_20"),
         F.try_divide(F.col("high") - F.col("low"), F.col("raw")).alias("intraday_range"),
         _change(F.col("raw"), F.col("open")).alias("intraday_return"),
@@ -115,13 +139,19 @@ def single_factor_risk(factors: DataFrame, days: DataFrame, dates: DataFrame, wi
     market = market_returns(factors, days).select("date", "pos", "market_return")
     market = market.select("*", F.count("market_return").over(along).alias("_n"), F.var_samp("market_return").over(along).alias("_var"))
     held = factors.select("date", "security_id", "return_1").join(market, "date")
-    w = Window.partitionBy("security_id").orderBy("pos").rangeBetween(-window, -1)
-    pair = (F.col("return_1"), F.col("market_return"))
-    sums = {"n": F.regr_count, "beta": F.regr_slope, "intercept": F.regr_intercept, "_syy": F.regr_syy, "_sxx": F.regr_sxx, "_sxy": F.regr_sxy}
-    found = held.select("date", "security_id", "_n", "_var", *(f(*pair).over(w).alias(c) for c, f in sums.items())).join(dates, "date")
-    found = found.where((F.col("n") >= least) & (F.col("_n") >= least) & (F.col("_var") > 0) & (F.col("_sxx") > 0))
-    variance = (F.col("_syy") - F.col("_sxy") ** 2 / F.col("_sxx")) / (F.col("n") - 2) * 252
-    return found.select("date", "security_id", "n", "beta", "intercept", variance.alias("residual_variance"))
+    x, y = (F.when(F.col("return_1").isNotNull() & F.col("market_return").isNotNull(), F.col(c)) for c in ("market_return", "return_1"))
+    held = held.withColumns({"_1": (x * y).isNotNull().cast("double"), "_x": x, "_y": y, "_xx": x * x, "_xy": x * y, "_yy": y * y})
+    held = rolling(held, {f"s{c}": (c, "sum", window) for c in ("_1", "_x", "_y", "_xx", "_xy", "_yy")})
+    before = held.select("date", "security_id", "_n", "_var", *(F.lag(f"s{c}").over(sessions()).alias(c) for c in ("_1", "_x", "_y", "_xx", "_xy", "_yy")))
+    found = before.join(dates, "date").where((F.col("_1") >= least) & (F.col("_n") >= least) & (F.col("_var") > 0))
+    n = F.col("_1")
+    found = found.select(
+        "date", "security_id", n.cast("long").alias("n"), F.try_divide(F.col("_x"), n).alias("mx"), F.try_divide(F.col("_y"), n).alias("my"),
+        *((F.col(f"_{a}{b}") - F.try_divide(F.col(f"_{a}") * F.col(f"_{b}"), n)).alias(f"s{a}{b}") for a, b in ("xx", "xy", "yy")),
+    ).where("sxx > 0")
+    beta = F.col("sxy") / F.col("sxx")
+    variance = (F.col("syy") - beta * F.col("sxy")) / (F.col("n") - 2) * 252
+    return found.select("date", "security_id", "n", beta.alias("beta"), (F.col("my") - beta * F.col("mx")).alias("intercept"), variance.alias("residual_variance"))
 
 
 def coverage(factors: DataFrame, columns: list[str], least: float = 0.2) -> DataFrame:

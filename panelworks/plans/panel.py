@@ -71,7 +71,8 @@ def market_context(spark, d):
 
 def single_factor_risk(spark, d):
     days = _days(spark, d)
-    return _rounded(fe.single_factor_risk(_factors(spark, d), days, sh.month_ends(days)), 6)
+    found = fe.single_factor_risk(_factors(spark, d), days, sh.month_ends(days))
+    return _rounded(found.withColumn("residual_variance", _squashed("residual_variance")), 6)
 
 
 def feature_coverage(spark, d):
@@ -215,13 +216,13 @@ ORACLES = {
         WINDOW {", ".join(f"w{n} AS (ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (20, 60, 252))})
       SELECT date, round(market_return, 6) AS market_return, round(market_breadth_60, 6) AS market_breadth_60, names, {", ".join(f"round(market_momentum_{n} / (1 + abs(market_momentum_{n})), 6) AS market_momentum_{n}" for n in (20, 60, 252))},
         round(market_volatility_60, 6) AS market_volatility_60 FROM c""",
-    "single_factor_risk": f"""WITH {_FACTORS}, m AS ({_MARKET}),
+    "single_factor_risk": f"""SELECT * EXCLUDE (rv) FROM (WITH {_FACTORS}, m AS ({_MARKET}),
       e AS (SELECT date, pos FROM days QUALIFY date_trunc('month', date) < date_trunc('month', lead(date) OVER (ORDER BY date))),
       g AS (SELECT e.date FROM e JOIN m ON m.pos BETWEEN e.pos - 252 AND e.pos - 1 GROUP BY 1 HAVING count(market_return) >= 60 AND var_samp(market_return) > 0)
       SELECT e.date, h.security_id, regr_count(h.return_1, x)::BIGINT AS n, round(regr_slope(h.return_1, x), 6) AS beta, round(regr_intercept(h.return_1, x), 6) AS intercept,
-        round((regr_syy(h.return_1, x) - pow(regr_sxy(h.return_1, x), 2) / regr_sxx(h.return_1, x)) / (regr_count(h.return_1, x) - 2) * 252, 6) AS residual_variance
+        (regr_syy(h.return_1, x) - pow(regr_sxy(h.return_1, x), 2) / regr_sxx(h.return_1, x)) / (regr_count(h.return_1, x) - 2) * 252 AS rv, round(rv / (1 + abs(rv)), 6) AS residual_variance
       FROM e JOIN g USING (date) JOIN f c ON c.date = e.date JOIN (SELECT f.security_id, f.pos, return_1, market_return AS x FROM f JOIN m USING (date)) h ON h.security_id = c.security_id AND h.pos BETWEEN e.pos - 252 AND e.pos - 1
-      GROUP BY 1, 2 HAVING regr_count(h.return_1, x) >= 60""",
+      GROUP BY 1, 2 HAVING regr_count(h.return_1, x) >= 60)""",
     "feature_coverage": f"WITH {_FACTORS} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS known, count(*) AS rows, round(count({c}) / count(*)::DOUBLE, 8) AS share, count({c}) / count(*)::DOUBLE >= 0.2 AS kept FROM f" for c in _ROUNDED),
     "factor_ranks": f"WITH {_RANKS} SELECT date, security_id, {', '.join(f'round({c}, 8) AS {c}' for c in (*xs.INPUTS, 'score'))} FROM scored",
     "winsorised_momentum": f"""WITH {_FACTORS}, x AS (SELECT date, security_id, momentum_20 AS x FROM f WHERE status = 'ok' AND momentum_20 IS NOT NULL),
