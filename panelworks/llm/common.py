@@ -64,6 +64,14 @@ def slices(batches, column: str, budget: int = 1 << 20):
             start = stop
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column as Python strings; null is the empty text."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

@@ -4,7 +4,8 @@ Kernel: two texts share a blended-spectrum presence kernel, the number of distin
 occur in both, divided by the geometric mean of their distinct n-grams. Landmarks from the training sample give a
 Nyström feature map, on which one-versus-rest ridge regression is fitted. Since K(x, L) A = X (L' A) / sqrt(|x|),
 with the sparse presence rows X and the landmarks' rows L, a batch of documents is scored by the product of its
-presence rows with one (n-gram, language) matrix.
+presence rows with one (n-gram, language) matrix. The n-grams are counted in 2 ** BITS hashed places, so two that share
+a place count as one.
 
 Training uses at most ``PER_LANG`` labelled rows a language (rounded up over ``SALTS`` equal shares), the first by
 a hash of doc_id. Fitting happens on the driver over that bounded sample; scoring covers all rows.
@@ -34,7 +35,7 @@ RIDGE = 1e-3
 # Without evidence all sums are near 0, so the score is 0.5 and the best two differ little.
 LEAST_SCORE = 0.525
 LEAST_MARGIN = 0.25
-PIECE = 1 << 20
+PIECE = 1 << 18  # n-grams in one product
 
 _TABLES: dict = {}
 
@@ -124,6 +125,22 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
     return langs, weights
 
 
+def products(presence: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """The product of the sparse presence rows, each divided by its length's root, with the weights: a row per text."""
+    sizes = np.array([len(p) for p in presence])
+    out = np.zeros((len(presence), weights.shape[1]))
+    full = np.flatnonzero(sizes)
+    at = 0
+    while at < len(full):  # as many texts at once as hold about PIECE n-grams, or one that holds more
+        stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[full[at:]]), PIECE, "right")))
+        rows = full[at:stop]
+        flat = np.concatenate([presence[i] for i in rows])
+        starts = np.concatenate(([0], np.cumsum(sizes[rows])[:-1]))
+        out[rows] = np.add.reduceat(weights[flat].astype(np.float64), starts, axis=0) / np.sqrt(sizes[rows])[:, None]
+        at = stop
+    return out
+
+
 def identify(docs: DataFrame, langs: list[str], weights: np.ndarray, margin: bool = False) -> DataFrame:
     """All columns of docs with lang_pred and score (present ones are replaced).
 
@@ -137,14 +154,13 @@ def identify(docs: DataFrame, langs: list[str], weights: np.ndarray, margin: boo
         table_ = shared.value
         for batch in slices(batches, "text"):
             preds, scores, margins = [], [], []
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                found = grams(text or "")
+            presence = [grams(text or "") for text in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            for found, sums in zip(presence, products(presence, table_)):
                 if not len(found) or not langs:
                     preds.append("und")
                     scores.append(0.0)
                     margins.append(0.0)
                     continue
-                sums = sum(table_[found[i : i + PIECE]].sum(axis=0, dtype=np.float64) for i in range(0, len(found), PIECE)) / math.sqrt(len(found))
                 best = int(np.argmax(sums))
                 preds.append(langs[best])
                 scores.append(float(min(1.0, max(0.0, (sums[best] + 1) / 2))))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import slices, table, texts
+from panelworks.llm.common import slices, stored, table, texts
 
 TILE = 24
 
@@ -41,6 +41,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     count = int(np.prod(shape))
     if kind == b"P1":
         bits = re.sub(rb"#[^\n\r]*|\s", b"", data[at:])[:count]
+        if bits.strip(b"01"):
+            raise ValueError("Netpbm bits")
         return (1 - (np.frombuffer(bits, np.uint8) - 48)).reshape(shape) * np.uint8(255)
     if kind in (b"P2", b"P3"):
         return np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:count], np.uint16 if top > 255 else np.uint8).reshape(shape)
@@ -57,8 +59,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
 def decode_bmp(data: bytes) -> np.ndarray:
     """(height, width, 3) RGB, or (height, width) when every palette entry is grey."""
     start, header, width, height, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
+    if header < 40 or packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
         raise ValueError("BMP kind")
+    if packing == 3 and (bits != 32 or struct.unpack_from("<III", data, 54) != (0xFF0000, 0xFF00, 0xFF)):
+        raise ValueError("BMP masks")  # samples in another order
     rows, stride = abs(height), -(-width * bits // 32) * 4
     raw = np.frombuffer(data, np.uint8, rows * stride, start).reshape(rows, stride)
     raw = raw[::-1] if height > 0 else raw
@@ -165,7 +169,7 @@ def payload_digests(files: DataFrame, unit: int = TILE * TILE) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = payload_digests(media_features(text_media(table(spark, sf_dir, "documents"))))
+    files = payload_digests(media_features(stored(text_media(table(spark, sf_dir, "documents")), "media")))
     return files.select(
         "doc_id",
         "n_bytes",

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import durable, table
+from panelworks.llm.common import durable, free_name, table
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -96,7 +96,7 @@ def mixing_plan(sizes: DataFrame, seed: str = SEED) -> DataFrame:
 def rank_of(id_column: str, seed: str) -> Column:
     """Random odds divided by the odds of inclusion."""
     u = uniform(F.col(id_column), seed)
-    return (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
+    return F.try_divide(u / (1 - u), F.try_divide(F.col("p"), 1 - F.col("p")))
 
 
 def bin_of(id_column: str, seed: str) -> Column:
@@ -113,25 +113,26 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     The text is not shuffled: the plan of a row per source is joined to the rows, and a row's copies follow from
     its own hash. ``size``: a column that already holds the words.
     """
-    rows = docs.withColumn("_size", F.col(size) if size else words_in(text))
-    sizes = rows.select(F.col(id_column).alias("id"), F.col(source).alias("source"), F.col("_size").alias("size"))
+    words, plan_name = free_name(docs.columns, "_size"), free_name(docs.columns, "_plan")
+    rows = docs.withColumn(words, F.col(size) if size else words_in(text))
+    sizes = rows.select(F.col(id_column).alias("id"), F.col(source).alias("source"), F.col(words).alias("size"))
     plan = durable(mixing_plan(durable(sizes), seed)).select(
-        F.struct("source", "source_size", "target", "whole", "p", "bins", "last_bin", "cut", "extra").alias("_plan")
+        F.struct("source", "source_size", "target", "whole", "p", "bins", "last_bin", "cut", "extra").alias(plan_name)
     )
-    met = rows.join(_per_source(plan), F.col(source).eqNullSafe(F.col("_plan.source")))
+    met = rows.join(_per_source(plan), F.col(source).eqNullSafe(F.col(f"{plan_name}.source")))
     u = uniform(F.col(id_column), seed)
-    p, bins = F.col("_plan.p"), F.col("_plan.bins")
-    at, rank = F.floor(u * bins), (u / (1 - u)) / (p / (1 - p))
-    more = (p > 0) & (F.col("_plan.last_bin").isNull() | (at < F.col("_plan.last_bin")) | ((at == F.col("_plan.last_bin")) & ((rank <= F.col("_plan.cut")) | F.coalesce(rank == F.col("_plan.extra"), F.lit(False)))))
-    copies = (F.col("_plan.whole") + F.when(more, 1).otherwise(0)).cast("long")
+    p, bins = F.col(f"{plan_name}.p"), F.col(f"{plan_name}.bins")
+    at, rank = F.floor(u * bins), F.try_divide(u / (1 - u), F.try_divide(p, 1 - p))
+    more = (p > 0) & (F.col(f"{plan_name}.last_bin").isNull() | (at < F.col(f"{plan_name}.last_bin")) | ((at == F.col(f"{plan_name}.last_bin")) & ((rank <= F.col(f"{plan_name}.cut")) | F.coalesce(rank == F.col(f"{plan_name}.extra"), F.lit(False)))))
+    copies = (F.col(f"{plan_name}.whole") + F.when(more, 1).otherwise(0)).cast("long")
     old = docs.drop("size", "source_size", "target", "copies", "taken").columns
     return met.select(
         *(f"`{c}`" for c in old),
-        F.col("_size").alias("size"),
-        F.col("_plan.source_size").alias("source_size"),
-        F.col("_plan.target").alias("target"),
+        F.col(words).alias("size"),
+        F.col(f"{plan_name}.source_size").alias("source_size"),
+        F.col(f"{plan_name}.target").alias("target"),
         copies.alias("copies"),
-        (copies * F.col("_size")).alias("taken"),
+        (copies * F.col(words)).alias("taken"),
     )
 
 

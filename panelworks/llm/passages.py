@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import discard, slices, stored, table
+from panelworks.llm.common import discard, free_name, slices, stored, table
 
 SHINGLE = 5
 MIN_WORDS = 50
@@ -406,22 +406,22 @@ def verify(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> li
 
 def _blocks_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """(rep, block, hashes): the word hashes of the needed blocks; ``docs`` is cut by all its columns so that one exchange serves twice."""
-    names = docs.columns
+    names, wanted_blocks = docs.columns, free_name(docs.columns, "_blocks")
 
     def run(batches):
         for batch in slices(batches, "text"):
             rows = []
-            for key, text, blocks in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text", "_blocks"))):
+            for key, text, blocks in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text", wanted_blocks))):
                 words = word_hashes(text)
                 rows += [(key, b, words[b * BLOCK : (b + 1) * BLOCK].astype(np.uint32).tobytes()) for b in blocks if b * BLOCK < len(words)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[], [], []], [pa.int64(), pa.int64(), pa.binary()])], ["rep", "block", "hashes"])
 
-    wanted = needed.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("block").alias("_blocks"))
-    return docs.join(wanted, "doc_id").select(*(f"`{c}`" for c in names), "_blocks").mapInArrow(run, "rep long, block long, hashes binary")
+    wanted = needed.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("block").alias(wanted_blocks))
+    return docs.join(wanted, "doc_id").select(*(f"`{c}`" for c in names), f"`{wanted_blocks}`").mapInArrow(run, "rep long, block long, hashes binary")
 
 
-def _with_candidates(docs: DataFrame, how: str) -> DataFrame:
-    """docs joined with ``_reps``: per matched document its hulls and the blocks under them."""
+def _with_candidates(docs: DataFrame, how: str, name: str) -> DataFrame:
+    """docs joined with the column ``name``: per matched document its hulls and the blocks under them."""
     pairs = stored(interval_candidates(links(docs)), "pairs")
     flat = pairs.select("doc_id", "rep", F.explode("hulls").alias("x")).select("doc_id", "rep", "x.*")
     low = F.greatest(F.lit(0), F.floor((F.col("low") - F.col("diagonal") - REACH) / BLOCK))
@@ -429,8 +429,8 @@ def _with_candidates(docs: DataFrame, how: str) -> DataFrame:
     need = flat.select("doc_id", "rep", F.explode(F.sequence(low, high)).alias("block")).distinct()
     blocks = _blocks_of(docs, need.select("rep", "block"))
     got = need.join(blocks, ["rep", "block"]).groupBy("doc_id", "rep").agg(F.collect_list(F.struct("block", "hashes")).alias("blocks"))
-    reps = pairs.join(got, ["doc_id", "rep"]).groupBy("doc_id").agg(F.collect_list(F.struct("rep", "hulls", "blocks")).alias("_reps"))
-    return docs.join(reps, "doc_id", how).select(*(f"`{c}`" for c in docs.columns), "_reps")
+    reps = pairs.join(got, ["doc_id", "rep"]).groupBy("doc_id").agg(F.collect_list(F.struct("rep", "hulls", "blocks")).alias(name))
+    return docs.join(reps, "doc_id", how).select(*(f"`{c}`" for c in docs.columns), f"`{name}`")
 
 
 def _passages(text: str | None, reps: list[dict] | None) -> list[tuple[int, int, int, int, int, float]]:
@@ -492,7 +492,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    return _with_candidates(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "inner").mapInArrow(run, schema)
+    return _with_candidates(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "inner", "_reps").mapInArrow(run, schema)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -514,7 +514,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A document of which nothing but white space is left goes; documents without such passages stay as they are.
     """
-    names = docs.columns
+    names, candidates = docs.columns, free_name(docs.columns, "_reps")
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -522,7 +522,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             texts_ = batch.column(at["text"]).to_pylist()
             keep = []
             changed = {}
-            for i, (text, reps) in enumerate(zip(texts_, batch.column(at["_reps"]).to_pylist())):
+            for i, (text, reps) in enumerate(zip(texts_, batch.column(at[candidates]).to_pylist())):
                 spans = [(p[0], p[1]) for p in _passages(text, reps)]
                 if spans:
                     texts_[i] = changed[i] = _without(text, spans)
@@ -536,7 +536,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names).take(pa.array(keep, pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return _with_candidates(docs, "left").mapInArrow(run, schema)
+    return _with_candidates(docs, "left", candidates).mapInArrow(run, schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,7 +250,8 @@ def keep_first_of_each(docs: DataFrame) -> DataFrame:
     """Documents without near-duplicates: of each group only the document with the smallest doc_id stays.
 
     Groups are the components of equal texts and of near_duplicate_links. All columns stay. Of rows with equal
-    doc_id and text the least stays, by its columns in order; rows without doc_id are kept.
+    doc_id and text the least stays, by its columns in order; rows of one doc_id with different texts are one document, which goes if one of
+    them has a group with a smaller doc_id. Rows without doc_id are kept.
     """
     known = docs.where("doc_id IS NOT NULL")
     prints = durable(_word_prints(known))

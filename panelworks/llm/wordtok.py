@@ -74,7 +74,8 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.young, self.old = {b"": b""}, {}
         try:
@@ -93,9 +94,16 @@ class CachedTokenizer:
                 self.young.update(zip(part, [raw[a + step : b] for a, b in zip(at, at[1:])]))
             else:
                 for w in part:
-                    self.young[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+                    self.young[w] = self._whole(w.decode())
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, batch: list[str]) -> list[bytes]:
+        """The ids of each text as the library gives them; texts that hold an added token go to the library as a whole."""
+        odd = {i: self._whole(t) for i, t in enumerate(batch) if self.added and self.added.search(t)}
+        if odd:
+            batch = ["" if i in odd else t for i, t in enumerate(batch)]
         split = [(t.encode().lower() if t.isascii() else t.encode()).split() for t in batch]
         wanted = set().union(*split)
         new = [w for w in wanted if w not in self.young]
@@ -105,7 +113,7 @@ class CachedTokenizer:
         out = [b"".join(map(get, words)) for words in split]
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {b"": b""}
-        return out
+        return [odd.get(i, raw) for i, raw in enumerate(out)]
 
 
 def tokenizer(path: str) -> CachedTokenizer:

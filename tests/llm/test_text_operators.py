@@ -47,7 +47,6 @@ def test_packing_is_gapless_and_whole(docs, rows):
 
     path = str(public.path("word_bpe_49k.json"))
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     got = packing.pack_documents(docs, path).withColumn("crc", F.crc32("ids")).collect()
     want = {r[0]: whole.encode(r[1] or "", add_special_tokens=False).ids + [2] for r in rows}
     seen = {}
@@ -72,6 +71,42 @@ def test_packing_is_gapless_and_whole(docs, rows):
         assert at <= 4096 and at & (at - 1) == 0
 
 
+def test_ids_are_the_librarys_also_with_added_tokens():
+    from tokenizers import Tokenizer
+
+    from panelworks.llm.wordtok import tokenizer
+
+    path = str(public.path("word_bpe_49k.json"))
+    whole, added = Tokenizer.from_file(path), [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+    found = ["hello <|endoftext|> world", "a b", *(f"x{t}y {t}" for t in added), "", "Σίσυφος is\u00a0here"]
+    assert [np.frombuffer(raw, tokenizer(path).dtype).tolist() for raw in tokenizer(path).encode(found)] == [whole.encode(t, add_special_tokens=False).ids for t in found]
+
+
+def test_extra_columns_with_clashing_names_stay(spark):
+    """Each stage keeps columns that have the names of its own columns, and texts beyond one slice, repeated rows and ties."""
+    rng = random.Random(31)
+    long = prose(rng, 190_000)
+    texts = [prose(rng, 60), long, long + " " + prose(rng, 60), prose(rng, 60), None, "", prose(rng, 60)]
+    rows = [(min(i, 5), t, "x", "s", 777, 777, 777, 777, 777) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _reps int, _blocks int, _size int, _plan int, tile int")
+    for stage in (passages.without_repeats, mixing.mixed_documents, simhash.keep_first_of_each, language.known_language):
+        got = stage(docs)
+        assert got.columns == docs.columns and {tuple(r[4:]) for r in got.collect()} <= {(777,) * 5}
+    kept = {r.doc_id: r.text for r in passages.without_repeats(docs).collect() if r.doc_id != 5}
+    assert kept[1] == long and len(kept[2].split()) == 60
+    assert {r._size for r in mixing.mix(docs).collect()} == {777}
+    assert sorted(r.doc_id for r in simhash.keep_first_of_each(docs).collect()) == [0, 1, 3, 4]  # 5 has the empty text too
+
+
+def test_products_equal_row_sums():
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=(1 << language.BITS, 3)).astype(np.float32)
+    presence = [np.unique(rng.integers(0, 1 << language.BITS, n)) for n in (5, 0, 400, 1, 300_000, 7)]
+    got = language.products(presence, weights)
+    for p, row in zip(presence, got):
+        assert np.allclose(row, weights[p].astype(float).sum(axis=0) / max(1, len(p)) ** 0.5)
+
+
 def test_pack_leaves_nothing_out():
     rng = random.Random(1)
     lengths = [rng.randint(1, 4096) for _ in range(300)]
@@ -189,6 +224,13 @@ def test_media_round_trips(docs, rows):
 def test_bad_media_give_errors(spark):
     files = spark.createDataFrame([(1, b"junk"), (2, None), (3, b"P5\n9 9\n255\n")], "id int, media binary")
     assert all(r.error and r.tile is None for r in media.media_features(files).collect())
+    head = b"BM" + bytes(8) + (66).to_bytes(4, "little") + (40).to_bytes(4, "little") + (1).to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (32).to_bytes(2, "little") + (3).to_bytes(4, "little") + bytes(20)
+    masks = [(0xFF0000, 0xFF00, 0xFF), (0xFF, 0xFF00, 0xFF0000)]
+    good, swapped = (head + b"".join(m.to_bytes(4, "little") for m in ms) + bytes([3, 2, 1, 0]) for ms in masks)
+    assert media.decode(good).tolist() == [[[1, 2, 3]]]
+    for bad in (swapped, b"P1\n2 1\n9 1"):
+        with pytest.raises(ValueError):
+            media.decode(bad)
 
 
 def test_mixing_comes_near_its_targets(docs, rows):
