@@ -58,11 +58,12 @@ def quotations(lines: DataFrame) -> DataFrame:
     """
     filled = lines.where(F.trim("value") != "")
     nxt = F.lead("value").over(Window.partitionBy("document").orderBy("line_no"))
-    head = r"^\s*(\*)?\s*(\d{1,5})(?:#\s*|\s+)(.+)$"
-    rows = filled.withColumn("second", nxt).where(F.col("value").rlike(head + "") & F.col("value").rlike(r"[A-Za-z]"))
-    rows = rows.withColumns({"code": F.lpad(F.regexp_extract("value", head, 2), 5, "0"), "body": F.trim(F.regexp_extract("value", head, 3))})
-    first, second = F.split("body", r"\s+"), F.split(F.trim("second"), r"\s+")
-    suspended = F.col("body").endswith("TRADING SUSPENDED")
+    fields = F.split(F.trim(F.translate("value", "*#", "  ")), r"\s+")  # a code of up to five digits, a name, four figures
+    code = fields[0]
+    head = (F.length(code) <= 5) & (F.length(code) > 0) & (F.translate(code, "0123456789", "") == "") & (F.upper("value") != F.lower("value"))
+    rows = filled.withColumns({"second": nxt, "first": F.slice(fields, 2, F.size(fields)), "code": F.lpad(code, 5, "0"), "head": head}).where("head")
+    first, second = F.col("first"), F.split(F.trim("second"), r"\s+")
+    suspended = F.array_join("first", " ").endswith("TRADING SUSPENDED")
 
     def number(parts, i):
         return F.regexp_replace(F.try_element_at(parts, F.lit(i)), ",", "").try_cast("double")
