@@ -21,11 +21,12 @@ def interval_returns(selected: DataFrame, prices: DataFrame, intervals: DataFram
     return held.withColumn("gross_return", F.when(F.col("entry_price") > 0, F.col("exit_price") / F.col("entry_price") - 1))
 
 
-def monthly_book(returns: DataFrame) -> DataFrame:
-    """Mean return and share of gains of each signal; null when a selected outcome is missing."""
+def monthly_book(returns: DataFrame, fee: float = 0.0025) -> DataFrame:
+    """Mean return of each signal and its share of gains after buying and selling fees; null when a selected outcome is missing."""
+    gain = (1 + F.col("gross_return")) * (1 - fee) / (1 + fee) > 1
     whole = F.count("gross_return") == F.count(F.lit(1))
     return returns.groupBy("signal", "entry", "exit").agg(
-        F.when(whole, F.avg("gross_return")).alias("gross_return"), F.when(whole, F.avg((F.col("gross_return") > 0).cast("double"))).alias("hit_rate"),
+        F.when(whole, F.avg("gross_return")).alias("gross_return"), F.when(whole, F.avg(gain.cast("double"))).alias("hit_rate"),
         F.count(F.lit(1)).alias("selected"), F.count_if(F.col("gross_return").isNull()).alias("missing"),
     )
 

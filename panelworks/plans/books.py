@@ -74,7 +74,7 @@ px AS (SELECT security_id, date, pos, close, last_value(close IGNORE NULLS) OVER
 def _returns(price):
     return f"""ret AS (SELECT signal, sel.security_id, entry, exit, CASE WHEN a.{price} > 0 THEN b.{price} / a.{price} - 1 END AS gross_return FROM sel JOIN iv ON signal = sel.date
   LEFT JOIN px a ON a.security_id = sel.security_id AND a.date = entry LEFT JOIN px b ON b.security_id = sel.security_id AND b.date = exit),
-mb AS (SELECT signal, entry, exit, CASE WHEN count(gross_return) = count(*) THEN avg(gross_return) END AS gross_return, CASE WHEN count(gross_return) = count(*) THEN avg((gross_return > 0)::INT) END AS hit_rate, count(*) AS selected, count(*) FILTER (gross_return IS NULL) AS missing FROM ret GROUP BY 1, 2, 3)"""
+mb AS (SELECT signal, entry, exit, CASE WHEN count(gross_return) = count(*) THEN avg(gross_return) END AS gross_return, CASE WHEN count(gross_return) = count(*) THEN avg(((1 + gross_return) * 0.9975::DOUBLE / 1.0025::DOUBLE > 1)::INT) END AS hit_rate, count(*) AS selected, count(*) FILTER (gross_return IS NULL) AS missing FROM ret GROUP BY 1, 2, 3)"""
 
 
 ORACLES = {
