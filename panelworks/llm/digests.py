@@ -1,14 +1,15 @@
 """Document fingerprints: improbable-feature digests.
 
-Every 64-byte window of a text has an entropy; a histogram of all documents' windows tells how rare each entropy
-is. In every run of 64 consecutive windows the rarest (leftmost of equals) gets a point, and windows with enough
+Every 16-byte window of a text has an entropy; a histogram of all documents' windows tells how rare each entropy
+is. In every run of 16 consecutive windows the rarest (leftmost of equals) gets a point, and windows with enough
 points are the text's features. Their hashes set five bits each in a 2,048-bit Bloom filter, and a full filter
 (160 features) starts the next one of the chain. Likeness: each filter of the shorter chain meets its best partner in
 the other; common bits count beyond what chance gives, normalised to 0..1, and the mean is taken.
 
 The entropy of all windows is exact integer arithmetic on running sums, so equal texts have equal fingerprints
-wherever they lie. A text under 256 bytes has too few windows to rank: all its 8-byte windows are features (under 8
-bytes: the whole text). The empty text has none. Two equal fingerprints have likeness 1, the empty text has
+wherever they lie. The rule is one for all lengths: a text with fewer windows than a run has one run of all its
+windows, a text in which no window has enough points has its rarest window as its feature, and a text shorter than a
+window is filled up with zero bytes. The empty text has no feature. Two equal fingerprints have likeness 1, the empty text has
 likeness 0 to any other.
 
 ``with_next`` finds each row's successor by descending doc_id without a global sort: rows go to ranges of doc_id,
@@ -28,19 +29,19 @@ from pyspark.sql import functions as F
 
 from panelworks.llm.common import slices, table
 
-WINDOW = 64
+WINDOW = 16
+RUN = 16
 BINS = 1000
 LOW = 100  # bins of entropies that long runs of few bytes have; never selected
-POINTS = 16
+POINTS = 4
 PER_FILTER = 160
 BITS = 2048
 HASHES = 5
 CUTOFF = 0.3
-SHORT = 256
-SHORT_WINDOW = 8
 SLICE = 1 << 18
 
-_F = np.rint(np.arange(66) * np.log2(np.maximum(np.arange(66), 1)) * (1 << 20)).astype(np.int64)
+_MOST = int(np.log2(WINDOW)) << 20  # the entropy of a window of different bytes
+_F = np.rint(np.arange(WINDOW + 2) * np.log2(np.maximum(np.arange(WINDOW + 2), 1)) * (1 << 20)).astype(np.int64)
 _GAIN = np.diff(_F)  # what one more equal byte adds to the sum of c log2 c
 
 
@@ -55,8 +56,8 @@ def entropy_bins(data: np.ndarray) -> np.ndarray:
     inward = np.concatenate(([0], np.cumsum(_GAIN[before])))
     outward = np.concatenate(([0], np.cumsum(_GAIN[after])))
     total = inward[WINDOW:] - outward[: size - WINDOW + 1]  # sum of c log2 c over the window's bytes
-    share = (6 << 20) * WINDOW - total  # entropy, times WINDOW << 20
-    return np.clip(share * BINS // ((6 << 20) * WINDOW), 0, BINS - 1)
+    share = _MOST * WINDOW - total  # entropy, times WINDOW << 20
+    return np.clip(share * BINS // (_MOST * WINDOW), 0, BINS - 1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -67,51 +68,38 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def digest(batch: list[bytes], rarity: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(features, filters as rows of 32 words) of each text; ``rarity`` has a rank per bin, lowest first."""
-    lengths = np.array([len(t) for t in batch])
+    lengths = np.array([len(t) and max(len(t), WINDOW) for t in batch], np.int64)
     offsets = np.concatenate(([0], np.cumsum(lengths)))
-    data = np.frombuffer(b"".join(batch) + bytes(2 * WINDOW), np.uint8)
-    places, owners = [], []
-    if lengths.size and lengths.max() >= SHORT:
-        bins = entropy_bins(data)
+    data = np.frombuffer(b"".join(t and t.ljust(WINDOW, b"\0") for t in batch) + bytes(WINDOW + RUN), np.uint8)
+    bins = entropy_bins(data)
+    full = np.flatnonzero(lengths)
+    start, windows = offsets[:-1][full], lengths[full] - WINDOW + 1
+
+    def inside(first, n):  # of the places, those among the n from each first on
         marks = np.zeros(len(data) + 1, np.int64)
-        long = lengths >= SHORT
-        np.add.at(marks, offsets[:-1][long], 1)
-        np.add.at(marks, offsets[1:][long] - WINDOW + 1, -1)
-        inside = np.cumsum(marks)[: len(bins)] > 0
-        rank = np.where(inside, rarity[bins], np.int64(1) << 30)
-        least = (rank << 32) | np.arange(len(bins))
-        step = 1
-        while step < WINDOW:
-            least = np.minimum(least[:-step], least[step:])
-            step *= 2
-        runs = np.zeros(len(data) + 1, np.int64)
-        np.add.at(runs, offsets[:-1][long], 1)
-        np.add.at(runs, offsets[1:][long] - 2 * WINDOW + 2, -1)
-        own = np.cumsum(runs)[: len(least)] > 0
-        points = np.bincount(least[own] & 0xFFFFFFFF, minlength=len(bins))
-        best = np.flatnonzero((points >= POINTS) & (rank < 1 << 29))
-        places.append(best)
-        owners.append(np.searchsorted(offsets, best, "right") - 1)
-        have = np.zeros(len(batch), bool)
-        have[owners[0]] = True
-        for k in np.flatnonzero(long & ~have):  # a monotonous text: its one rarest window
-            first = offsets[k]
-            at = first + int(np.argmin(rank[first : offsets[k + 1] - WINDOW + 1]))
-            places.append(np.array([at]))
-            owners.append(np.array([k]))
-    place = np.concatenate(places) if places else np.zeros(0, np.int64)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    words = data[place[:, None] + np.arange(WINDOW)].view("<u8") if len(place) else np.zeros((0, 8), np.uint64)
+        np.add.at(marks, first, 1)
+        np.add.at(marks, first + n, -1)
+        return np.cumsum(marks) > 0
+
+    rank = np.where(inside(start, windows)[: len(bins)], rarity[bins], np.int64(1) << 30)
+    least = (rank << 32) | np.arange(len(bins))
+    step = 1
+    while step < RUN:  # places after a text's last window have the highest rank, so a short text's only run ends with it
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    runs = inside(start, np.maximum(1, windows - RUN + 1))[: len(least)]
+    points = np.bincount(least[runs] & 0xFFFFFFFF, minlength=len(bins))
+    place = np.flatnonzero((points >= POINTS) & (rank < 1 << 29))
+    owner = np.searchsorted(offsets, place, "right") - 1
+    bare = full[~np.isin(full, owner)]  # no window has the points: the one rarest
+    single = [offsets[k] + int(np.argmin(rank[offsets[k] : offsets[k + 1] - WINDOW + 1])) for k in bare]
+    place, owner = np.concatenate((place, np.array(single, np.int64))), np.concatenate((owner, bare))
+    order = np.argsort(owner, kind="stable")
+    place, owner = place[order], owner[order]
+    words = data[place[:, None] + np.arange(WINDOW)].view("<u8")
     hashes = np.zeros(len(place), np.uint64)
     for column in words.T:
         hashes = _mix(hashes + np.uint64(0x9E3779B97F4A7C15) ^ column)
-    for k in np.flatnonzero((lengths > 0) & (lengths < SHORT)):
-        n = max(1, int(lengths[k]) - SHORT_WINDOW + 1)
-        windows = np.arange(n)[:, None] + np.arange(SHORT_WINDOW)
-        raw = np.frombuffer(batch[k].ljust(SHORT_WINDOW, b"\0"), np.uint8)[windows].view("<u8")[:, 0]
-        hashes, owner = np.concatenate((hashes, _mix(raw + np.uint64(lengths[k] if lengths[k] < SHORT_WINDOW else 0)))), np.concatenate((owner, np.full(n, k)))
-    order = np.argsort(owner, kind="stable")
-    hashes, owner = hashes[order], owner[order]
     counts = np.bincount(owner, minlength=len(batch))
     firsts = np.concatenate(([0], np.cumsum(counts)))
     chain = -(-counts // PER_FILTER)
