@@ -11,7 +11,7 @@ from panelworks.plans.panel import _rank, _rounded
 from panelworks.sources.store import materialised
 
 _MODELS = {"factor": (1.0, 3, 0), "linear": (0.5, 5, 1), "blend": (0.8, 7, 2)}
-_YEARS, _CUTOFF, _WIDTH = [1994, 1995, 1996, 1997], "1998-06-01", 0.4
+_YEARS, _CUTOFF, _WIDTH = [1996, 1997], "1998-06-01", 0.8
 
 
 def _models(spark, d):
