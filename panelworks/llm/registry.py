@@ -1,6 +1,6 @@
 """The registered text queries, and DuckDB SQL where it can express them."""
 
-from panelworks.llm import digests, language, licenses, media, mixing, packing, passages, simhash, token_counts, warc
+from panelworks.llm import digests, jaccard, language, licenses, media, mixing, packing, passages, simhash, token_counts, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_license_scans": licenses.op8_license_scans,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_simhash": simhash.op10_simhash,
+    "op11_jaccard": jaccard.op11_jaccard,
 }
-ORACLES = {"op6_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE}
+ORACLES = {"op6_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op11_jaccard": jaccard.ORACLE}
