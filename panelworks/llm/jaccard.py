@@ -9,11 +9,13 @@ Bounds from the sizes alone thin the product:
   links shares one of the first size - ceil(t * size) + 1 columns of both rows, so only these meet (any order is exact; a good
   one keeps columns that many rows have out of them);
 - a row of size s links only with sizes from t * s to s / t;
+- beyond its first columns a row of size s has ceil(t * s) - 1 more, so a pair must share enough of the first ones already:
+  overlap counts are accumulated over them, and pairs that cannot reach their bound any more are discarded before any text is fetched;
 - inside a block counts are accumulated slab by slab of columns, and a block ends once no pair can reach its bound.
 
 Blocks: each row first meets the first row of its columns; these links give most of the components. Rows of different
-components that still share a column then meet in tiles: a tile holds rows of one family (a component, or rows that share
-most columns with one first row) up to TILE_GRAMS n-grams, and two tiles that share a column are multiplied once. A block
+components that still share columns then meet in tiles: a tile holds rows of one family (a component, or rows that share
+most columns with one first row) up to TILE_GRAMS n-grams, and two tiles that share enough columns are multiplied once. A block
 gives a spanning set of its links, never all its pairs. Components are found on Spark (panelworks.llm.components).
 
 Null and empty texts have an empty set and link with nothing. Rows of equal doc_id each get a row; a null doc_id names a
@@ -206,37 +208,49 @@ def _labels(links: DataFrame) -> DataFrame:
     return stored(min_labels(links, ends.withColumn("label", F.col("node"))).withColumnRenamed("node", "id"), "labels")
 
 
+def _can_link(shared, low_a, low_b, most, percent: int):
+    """Whether rows of at least ``low_a`` and ``low_b`` columns, of at most ``most``, that share so many of their first columns can reach the bound.
+
+    Beyond its first columns a row has ceil(t * size) - 1 more; the row whose first columns end earlier shares at most those.
+    """
+    return (100 + percent) * (shared + F.ceil(percent * most / F.lit(100)) - 1) >= percent * (low_a + low_b)
+
+
 def _star(cells: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, lead, shared), each row with the first rows of its columns, of fitting sizes; and their blocks."""
+    """(id, lead, shared), each row with the first rows of its columns, where the bounds allow a link; and their blocks.
+
+    ``shared`` counts only the columns that the lead is first in; what it lets slip meets in the tiles.
+    """
     sizes = classes.select(F.col("id").alias("lead"), F.col("n").alias("lead_n"))
     met = cells.where("id != lead").groupBy("id", "n", "lead").agg(F.count(F.lit(1)).alias("shared")).join(sizes, "lead")
-    met = met.where((100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")))
-    met = stored(met, "star")
+    met = met.where(_can_link(F.col("shared"), F.col("n"), F.col("lead_n"), F.greatest("n", "lead_n"), percent))
+    met = stored(met.where(100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")), "star")
     parts = met.groupBy("lead").agg(F.ceil(F.sum("n") / TILE_GRAMS).alias("parts"))
     tiled = met.join(parts, "lead").select("id", "lead", F.xxhash64("lead", F.pmod(F.xxhash64("id"), "parts")).alias("block"))
     heads = tiled.select("block", F.lit(0).alias("side"), F.col("lead").alias("id")).distinct()
     return met, heads.unionByName(tiled.select("block", F.lit(1).alias("side"), "id"))
 
 
-def _tiles(cells: DataFrame, met: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks of the rows that share a column and have met neither its first row's component nor each other.
-
-    The component with most rows in a column never meets itself there; nor does the first row, whom all have met.
-    """
-    comp = F.coalesce("label", "id")
-    rows = cells.where("id != lead").join(labels, "id", "left").select("gram", "id", comp.alias("comp"))
+def _tiles(cells: DataFrame, met: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Blocks of rows of different components that share enough columns to reach the bound."""
+    rows = cells.join(labels, "id", "left").select("gram", "id", F.coalesce("label", "id").alias("comp"))
     held = rows.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("gram")
     rows = stored(rows.join(held, "gram"), "rest")
-    home = met.where("shared > 1").groupBy("id").agg(F.max_by("lead", "shared").alias("home"))
-    family = rows.select("id", "comp").distinct().join(labels.select("id", "label"), "id", "left").join(home, "id", "left")
+    home = met.groupBy("id").agg(F.max_by("lead", "shared").alias("home"))
+    family = rows.select("id", "comp").distinct().join(labels, "id", "left").join(home, "id", "left")
     family = family.select("id", "comp", F.coalesce("label", "home", "id").alias("family")).join(classes.select("id", "n"), "id")
     parts = family.groupBy("family").agg(F.ceil(F.sum("n") / TILE_GRAMS).alias("parts"))
-    tiled = family.join(parts, "family").select("id", "comp", F.xxhash64("family", F.pmod(F.xxhash64("id"), "parts")).alias("tile"))
+    tiled = family.join(parts, "family").select("id", "n", "comp", F.xxhash64("family", F.pmod(F.xxhash64("id"), "parts")).alias("tile"))
     tiled = stored(tiled, "tiled")
-    columns = rows.select("gram", "id").join(tiled, "id").groupBy("gram", "tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    a, b = columns.toDF("gram", "ta", "low_a", "high_a"), columns.toDF("gram", "tb", "low_b", "high_b")
-    apart = ~((F.col("low_a") == F.col("high_a")) & (F.col("low_b") == F.col("high_b")) & (F.col("low_a") == F.col("low_b")))
-    pairs = stored(a.join(b, "gram").where((F.col("ta") <= F.col("tb")) & apart).select("ta", "tb").distinct(), "pairs")
+    columns = rows.select("gram", "id").join(tiled.select("id", "tile"), "id").select("gram", "tile").distinct()
+    met_tiles = columns.toDF("gram", "ta").join(columns.toDF("gram", "tb"), "gram").where("ta <= tb").groupBy("ta", "tb").agg(F.count(F.lit(1)).alias("shared"))
+    facts = tiled.groupBy("tile").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.min("n").alias("low"), F.max("n").alias("most"))
+    sides = [facts.select(*(F.col(c).alias(f"{c}_{x}") for c in facts.columns)).withColumnRenamed(f"tile_{x}", f"t{x}") for x in "ab"]
+    pairs = met_tiles.join(sides[0], "ta").join(sides[1], "tb")
+    apart = F.least("first_a", "first_b") < F.greatest("last_a", "last_b")
+    near = (100 * F.col("most_a") >= percent * F.col("low_b")) & (100 * F.col("most_b") >= percent * F.col("low_a"))
+    pairs = pairs.where(apart & near & _can_link(F.col("shared"), F.col("low_a"), F.col("low_b"), F.greatest("most_a", "most_b"), percent))
+    pairs = stored(pairs.select("ta", "tb"), "pairs")
     block = F.xxhash64("ta", "tb", F.lit("tiles")).alias("block")
     sides = [pairs.select(F.col(t).alias("tile"), block, F.lit(i).alias("side")) for i, t in enumerate(("ta", "tb"))]
     return sides[0].unionByName(sides[1]).join(tiled.select("tile", "id"), "tile").select("block", "side", "id")
@@ -255,7 +269,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     met, blocks = _star(cells, classes, percent)
     links = _multiplied(docs, classes, blocks, shingle, percent)
     labels = _labels(links)
-    more = _multiplied(docs, classes, _tiles(cells, met, classes, labels), shingle, percent)
+    more = _multiplied(docs, classes, _tiles(cells, met, classes, labels, percent), shingle, percent)
     every = stored(links.unionByName(more), "every")
     ends = every.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     found = min_labels(every, ends.join(classes, "id").select(F.col("id").alias("node"), F.col("first").alias("label")))
