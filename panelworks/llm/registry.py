@@ -1,6 +1,6 @@
 """The registered text queries, and DuckDB SQL where it can express them."""
 
-from panelworks.llm import digests, jaccard, language, licenses, media, mixing, packing, passages, simhash, spelling, token_counts, warc
+from panelworks.llm import alignment, digests, jaccard, language, licenses, media, mixing, packing, passages, simhash, spelling, token_counts, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_simhash": simhash.op10_simhash,
     "op11_jaccard": jaccard.op11_jaccard,
+    "op12_token_alignment": alignment.op12_token_alignment,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 ORACLES = {"op6_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op11_jaccard": jaccard.ORACLE}
