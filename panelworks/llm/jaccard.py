@@ -38,6 +38,7 @@ from panelworks.llm.passages import rolling, word_hashes
 SHINGLE = 3
 PERCENT = 90  # 100 * intersection >= PERCENT * union
 ORDER_BUCKETS = 1 << 20
+BLOCK = 4096  # places counted in one row
 TILE_GRAMS = 1 << 17
 SLAB = 4096
 FEW = 1_000_000  # keys of 8 or 16 bytes that may be broadcast
@@ -56,21 +57,27 @@ def _places(grams: np.ndarray) -> np.ndarray:
 def column_levels(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """How often each hashed place of n-grams occurs, in quarters of a power of two: ORDER_BUCKETS bytes at any size of the corpus."""
 
-    def run(batches):
-        counts = np.zeros(ORDER_BUCKETS, np.int64)
+    blocks = ORDER_BUCKETS // BLOCK
+
+    def count(batches):
+        counts = np.zeros(ORDER_BUCKETS, np.int32)
         for batch in slices(batches, "text"):
             sets = [gram_set(t, shingle) for t in texts(batch)]
-            counts += np.bincount(_places(np.concatenate([*sets, np.zeros(0, np.uint64)])), minlength=ORDER_BUCKETS)
-        held = np.flatnonzero(counts)
-        for i in range(0, len(held), 1 << 16):
-            part = held[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["place", "n"])
+            counts += np.bincount(_places(np.concatenate([*sets, np.zeros(0, np.uint64)])), minlength=ORDER_BUCKETS).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array([c.tobytes() for c in counts.reshape(blocks, BLOCK)], pa.binary())], ["block", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts, "<i4").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["block", "counts"])
 
-    parts = docs.select("text").mapInArrow(run, "place int, n long")
-    found = parts.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    levels = np.zeros(ORDER_BUCKETS, np.uint8)
-    levels[found["place"].to_numpy()] = np.floor(4 * np.log2(found["n"].to_numpy())) + 1
-    return levels
+    parts = docs.select("text").mapInArrow(count, "block int, counts binary").repartition("block")
+    levels = np.zeros((blocks, BLOCK), np.uint8)
+    for row in parts.mapInArrow(add, "block int, counts binary").collect():  # ORDER_BUCKETS numbers
+        levels[row.block] = np.floor(4 * np.log2(np.maximum(np.frombuffer(row.counts, "<i8"), 1)))
+    return levels.reshape(-1)
 
 
 def incidence(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -217,40 +224,46 @@ def _can_link(shared, low_a, low_b, most, percent: int):
 
 
 def _star(cells: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, lead, shared), each row with the first rows of its columns, where the bounds allow a link; and their blocks.
+    """(id, lead, shared), each row with the first rows of its columns; and the blocks of those whose bounds allow a link.
 
     ``shared`` counts only the columns that the lead is first in; what it lets slip meets in the tiles.
     """
     sizes = classes.select(F.col("id").alias("lead"), F.col("n").alias("lead_n"))
     met = cells.where("id != lead").groupBy("id", "n", "lead").agg(F.count(F.lit(1)).alias("shared")).join(sizes, "lead")
-    met = met.where(_can_link(F.col("shared"), F.col("n"), F.col("lead_n"), F.greatest("n", "lead_n"), percent))
     met = stored(met.where(100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")), "star")
-    parts = met.groupBy("lead").agg(F.ceil(F.sum("n") / TILE_GRAMS).alias("parts"))
-    tiled = met.join(parts, "lead").select("id", "lead", F.xxhash64("lead", F.pmod(F.xxhash64("id"), "parts")).alias("block"))
+    able = met.where(_can_link(F.col("shared"), F.col("n"), F.col("lead_n"), F.greatest("n", "lead_n"), percent))
+    parts = able.groupBy("lead").agg(F.ceil(F.sum("n") / TILE_GRAMS).alias("parts"))
+    tiled = able.join(parts, "lead").select("id", "lead", F.xxhash64("lead", F.pmod(F.xxhash64("id"), "parts")).alias("block"))
     heads = tiled.select("block", F.lit(0).alias("side"), F.col("lead").alias("id")).distinct()
     return met, heads.unionByName(tiled.select("block", F.lit(1).alias("side"), "id"))
 
 
 def _tiles(cells: DataFrame, met: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Blocks of rows of different components that share enough columns to reach the bound."""
-    rows = cells.join(labels, "id", "left").select("gram", "id", F.coalesce("label", "id").alias("comp"))
+    rows = cells.join(labels, "id", "left").select("gram", "place", "id", F.coalesce("label", "id").alias("comp"))
     held = rows.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("gram")
     rows = stored(rows.join(held, "gram"), "rest")
-    home = met.groupBy("id").agg(F.max_by("lead", "shared").alias("home"))
+    home = met.where("shared > 1").groupBy("id").agg(F.max_by("lead", "shared").alias("home"))
     family = rows.select("id", "comp").distinct().join(labels, "id", "left").join(home, "id", "left")
     family = family.select("id", "comp", F.coalesce("label", "home", "id").alias("family")).join(classes.select("id", "n"), "id")
     parts = family.groupBy("family").agg(F.ceil(F.sum("n") / TILE_GRAMS).alias("parts"))
     tiled = family.join(parts, "family").select("id", "n", "comp", F.xxhash64("family", F.pmod(F.xxhash64("id"), "parts")).alias("tile"))
     tiled = stored(tiled, "tiled")
-    columns = rows.select("gram", "id").join(tiled.select("id", "tile"), "id").select("gram", "tile").distinct()
-    met_tiles = columns.toDF("gram", "ta").join(columns.toDF("gram", "tb"), "gram").where("ta <= tb").groupBy("ta", "tb").agg(F.count(F.lit(1)).alias("shared"))
-    facts = tiled.groupBy("tile").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.min("n").alias("low"), F.max("n").alias("most"))
-    sides = [facts.select(*(F.col(c).alias(f"{c}_{x}") for c in facts.columns)).withColumnRenamed(f"tile_{x}", f"t{x}") for x in "ab"]
-    pairs = met_tiles.join(sides[0], "ta").join(sides[1], "tb")
+    columns = rows.select("gram", "place", "id").join(tiled, "id").groupBy("gram", "tile").agg(
+        F.min("comp").alias("first"), F.max("comp").alias("last"), F.min("n").alias("low"), F.max("n").alias("most"), F.min("place").alias("place"), F.max("place").alias("place_to")
+    )
+    a, b = (columns.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in columns.columns if c != "gram")) for x in "ab")
     apart = F.least("first_a", "first_b") < F.greatest("last_a", "last_b")
     near = (100 * F.col("most_a") >= percent * F.col("low_b")) & (100 * F.col("most_b") >= percent * F.col("low_a"))
-    pairs = pairs.where(apart & near & _can_link(F.col("shared"), F.col("low_a"), F.col("low_b"), F.greatest("most_a", "most_b"), percent))
-    pairs = stored(pairs.select("ta", "tb"), "pairs")
+    # of one row each: before a shared column at most the lesser place is shared, from it on at most what the shorter rest has
+    single = (F.col("low_a") == F.col("most_a")) & (F.col("low_b") == F.col("most_b")) & (F.col("place_a") == F.col("place_to_a")) & (F.col("place_b") == F.col("place_to_b"))
+    reach = F.least("place_a", "place_b") + F.least(F.col("low_a") - F.col("place_a"), F.col("low_b") - F.col("place_b"))
+    placed = ~single | ((100 + percent) * reach >= percent * (F.col("low_a") + F.col("low_b")))
+    pairs = a.join(b, "gram").where((F.col("tile_a") <= F.col("tile_b")) & apart & near & placed).groupBy("tile_a", "tile_b").agg(
+        F.count(F.lit(1)).alias("shared"), F.min("low_a").alias("low_a"), F.min("low_b").alias("low_b"), F.max(F.greatest("most_a", "most_b")).alias("most")
+    )
+    pairs = pairs.where(_can_link(F.col("shared"), F.col("low_a"), F.col("low_b"), F.col("most"), percent))
+    pairs = stored(pairs.select(F.col("tile_a").alias("ta"), F.col("tile_b").alias("tb")), "pairs")
     block = F.xxhash64("ta", "tb", F.lit("tiles")).alias("block")
     sides = [pairs.select(F.col(t).alias("tile"), block, F.lit(i).alias("side")) for i, t in enumerate(("ta", "tb"))]
     return sides[0].unionByName(sides[1]).join(tiled.select("tile", "id"), "tile").select("block", "side", "id")
@@ -263,7 +276,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     classes = rows.where("n > 0").groupBy("same").agg(F.min(F.struct("doc_id", "h", "n", "prefix")).alias("one"), F.min("doc_id").alias("first"))
     classes = classes.select(F.monotonically_increasing_id().alias("id"), "same", "one.doc_id", "one.h", "one.n", "one.prefix", "first")
     classes = stored(classes, "classes")
-    cells = classes.select("id", "n", F.explode("prefix").alias("gram"))
+    cells = classes.select("id", "n", F.posexplode("prefix").alias("place", "gram"))
     leads = cells.groupBy("gram").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("gram", "lead")
     cells = stored(cells.join(leads, "gram"), "cells")
     met, blocks = _star(cells, classes, percent)
