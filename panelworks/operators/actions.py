@@ -62,7 +62,7 @@ def segment_momentum(rows: DataFrame, n: int) -> DataFrame:
     w = sessions(("security_id", "segment"))
     return rows.select(
         "security_id", "date", "segment", "broken",
-        (F.col("close") / F.lag("close", n).over(w) - 1).alias("momentum"), (F.lead("close", n).over(w) / F.col("close") - 1).alias("forward"),
+        (F.try_divide("close", F.lag("close", n).over(w)) - 1).alias("momentum"), (F.try_divide(F.lead("close", n).over(w), "close") - 1).alias("forward"),
         F.max("broken").over(last_n(n)).alias("recent_break"),
     )
 

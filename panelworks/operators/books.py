@@ -39,21 +39,21 @@ def turnover(selected: DataFrame) -> DataFrame:
     return met.groupBy("date").agg(F.when(F.max("before").isNotNull(), 1 - F.count("held") / F.count(F.lit(1))).alias("turnover"))
 
 
-def summary(book: DataFrame, fee: float = 0.0025, equity: float = 0.95) -> DataFrame:
-    """Total return, yearly growth, worst drawdown and hit rate of a book that is sold and bought whole each interval.
+def summary(book: DataFrame, *by: str, fee: float = 0.0025, equity: float = 0.95) -> DataFrame:
+    """Total return, yearly growth, worst drawdown and hit rate of a book (each group's, ``by``) that is sold and bought whole each interval.
 
     The share ``equity`` is invested, the rest earns nothing. A missing outcome makes all figures null, with a status.
     """
     growth = 1 - equity + equity * (1 + F.col("gross_return")) * (1 - fee) / (1 + fee)
-    along = Window.orderBy("signal").rowsBetween(Window.unboundedPreceding, 0)  # one row a signal
+    along = Window.partitionBy(*by).orderBy("signal").rowsBetween(Window.unboundedPreceding, 0)  # one row a signal
     line = book.withColumn("log_wealth", F.sum(F.log(growth)).over(along))
     line = line.withColumn("peak", F.greatest(F.lit(0.0), F.max("log_wealth").over(along)))
     total = F.max_by("log_wealth", "signal")
     years = F.datediff(F.max("exit"), F.min("entry")) / 365.25
     bad = F.sum("missing") > 0
-    found = line.agg(
+    found = (line.groupBy(*by) if by else line).agg(
         F.when(F.count(F.lit(1)) == 0, "insufficient_signals").when(bad, "incomplete_selected_returns").otherwise("complete").alias("status"), F.count(F.lit(1)).alias("months"), F.sum("missing").alias("missing"),
-        F.when(~bad, F.expm1(total)).alias("total_return"), F.when(~bad, F.expm1(total / years)).alias("cagr"), F.when(~bad, F.min(F.expm1(F.col("log_wealth") - F.col("peak")))).alias("max_drawdown"), F.when(~bad, F.avg("hit_rate")).alias("hit_rate"),
+        F.when(~bad, F.expm1(total)).alias("total_return"), F.when(~bad, F.expm1(F.try_divide(total, years))).alias("cagr"), F.when(~bad, F.min(F.expm1(F.col("log_wealth") - F.col("peak")))).alias("max_drawdown"), F.when(~bad, F.avg("hit_rate")).alias("hit_rate"),
     )
     return found
 

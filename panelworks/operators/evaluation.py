@@ -98,9 +98,9 @@ def paired_difference(ic: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def ic_table(ic: DataFrame) -> DataFrame:
-    """Mean, mean over deviation, and share of positive dates of each candidate and horizon."""
+    """Mean, mean over deviation (null where that is 0), and share of positive dates of each candidate and horizon."""
     return ic.groupBy("kind", "horizon").agg(
-        F.avg("rank_ic").alias("mean_ic"), (F.avg("rank_ic") / F.stddev_samp("rank_ic")).alias("ratio"), F.avg((F.round("rank_ic", 9) > 0).cast("double")).alias("positive"), F.count(F.lit(1)).alias("dates")
+        F.avg("rank_ic").alias("mean_ic"), F.try_divide(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("ratio"), F.avg((F.round("rank_ic", 9) > 0).cast("double")).alias("positive"), F.count(F.lit(1)).alias("dates")
     )
 
 

@@ -14,6 +14,7 @@ from panelworks.functions.windows import at_least, last_n, ratio_to, sessions
 
 HORIZONS = (1, 5, 20, 60)
 ANNUAL = 252**0.5
+LEAST_SPREAD = 1e-14
 # (column, highest power, sessions) of the sums that the factors are made of
 _SUMS = (("log_return", 2, (20, 60, 252)), ("return_1", 3, (20, 60)), ("close", 1, (20, 60, 252)), ("amount", 2, (20, 120)), ("volume", 2, (20,)), ("illiquid", 1, (20,)), ("down", 1, (60,)))
 
@@ -70,6 +71,7 @@ def price_factors(panel: DataFrame, days: DataFrame, least_adv: float = 0.0) ->
         return known(column, n, least, F.sqrt(F.try_divide(second * count, count - 1)))
 
     count, middle, second = moments("return_1", 60)
+    second = F.when(second > LEAST_SPREAD, second)  # of equal returns only rounding is left
     third = F.try_divide(F.col("return_1_3_60"), count) - 3 * middle * F.try_divide(F.col("return_1_2_60"), count) + 2 * F.pow(middle, F.lit(3.0))
     skew = F.try_divide(third, F.pow(second, F.lit(1.5))) * F.try_divide(F.sqrt(count * (count - 1)), count - 2)
     spread = F.stddev_pop("close").over(last_n(20)) * F.stddev_pop("both").over(last_n(20))  # read only where all 20 pairs are there

@@ -13,9 +13,16 @@ from panelworks.functions.windows import at_least, last_n, ratio_to
 # Code forms of the mainland exchanges, and the day from which the youngest of them has listings.
 CODE_FORM = r"^(?:60\d{4}\.SH|68\d{4}\.SH|00\d{4}\.SZ|30\d{4}\.SZ|\d{6}\.BJ)$"
 FIRST_LISTING = {".BJ": "2021-11-15"}
+# Fixed value: codes of mainland shares and depositary receipts, with the older Beijing prefixes.
+SHARE_FORM = r"^(?:60\d{4}\.SH|68[89]\d{3}\.SH|(?:00|30)\d{4}\.SZ|(?:(?:4|8)\d{5}|92\d{4})\.BJ)$"
 KEYS = ["security_id", "date"]
 
 
+def listed_shares(rows: DataFrame, code: str = "code") -> DataFrame:
+    """Rows whose code is a mainland share's; funds, bonds, indexes and unknown codes are left out, null too."""
+    return rows.where(F.col(code).rlike(SHARE_FORM))
+
+
 def positive(*columns: str) -> Column:
     """All are known, finite and above zero."""
     each = [(F.col(c) > 0) & (F.col(c) < float("inf")) & ~F.isnan(c) for c in columns]

@@ -16,9 +16,9 @@ def affine(train: DataFrame, *by: str) -> DataFrame:
     """(by..., slope, intercept): weighted least squares of fwd_return on score with a slope of 0 or more."""
     w, x, y = F.col("weight"), F.col("score"), F.col("fwd_return")
     sums = train.groupBy(*by).agg(F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy"))
-    mx, my = F.col("wx") / F.col("w"), F.col("wy") / F.col("w")
-    spread = F.col("wxx") / F.col("w") - mx * mx
-    slope = F.when(spread > 0, F.greatest(F.lit(0.0), (F.col("wxy") / F.col("w") - mx * my) / spread)).otherwise(0.0)
+    mx, my = F.try_divide("wx", "w"), F.try_divide("wy", "w")
+    spread = F.try_divide("wxx", "w") - mx * mx
+    slope = F.when(spread > 0, F.greatest(F.lit(0.0), F.try_divide(F.try_divide("wxy", "w") - mx * my, spread))).otherwise(0.0)
     return sums.select(*by, slope.alias("slope"), my.alias("my"), mx.alias("mx")).select(*by, "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"))
 
 

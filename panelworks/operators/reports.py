@@ -51,15 +51,15 @@ def curve_metrics(curves: DataFrame, *by: str, sessions_a_year: int = 252) -> Da
     ``curves`` (by..., date, curve); the figures of a group with a null or non-positive point are null.
     """
     along, so_far = Window.partitionBy(*by).orderBy("date"), Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    steps = curves.withColumns({"step": F.col("curve") / F.lag("curve").over(along) - 1, "fall": F.col("curve") / F.max("curve").over(so_far) - 1})
+    steps = curves.withColumns({"step": F.try_divide("curve", F.lag("curve").over(along)) - 1, "fall": F.try_divide("curve", F.max("curve").over(so_far)) - 1})
     sums = steps.groupBy(*by).agg(
         F.count(F.lit(1)).alias("points"), F.count_if(F.col("curve") > 0).alias("good"), F.min_by("curve", "date").alias("a"), F.max_by("curve", "date").alias("b"),
         F.date_diff(F.max("date"), F.min("date")).alias("days"), F.avg("step").alias("mean"), F.stddev_samp("step").alias("deviation"), F.min("fall").alias("drawdown"),
     )
-    whole, growth = F.col("points") == F.col("good"), F.col("b") / F.col("a")
+    whole, growth = F.col("points") == F.col("good"), F.try_divide("b", "a")
     n = F.col("points") - 1
     figures = {
-        "growth": growth - 1, "session_cagr": F.when(n > 0, F.pow(growth, sessions_a_year / n) - 1), "calendar_cagr": F.when(F.col("days") > 0, F.pow(growth, 365.25 / F.col("days")) - 1),
+        "growth": growth - 1, "session_cagr": F.pow(growth, F.try_divide(F.lit(float(sessions_a_year)), n)) - 1, "calendar_cagr": F.pow(growth, F.try_divide(F.lit(365.25), F.col("days"))) - 1,
         "sharpe": F.when(F.col("deviation") > 0, F.col("mean") / F.col("deviation") * sessions_a_year**0.5), "drawdown": F.col("drawdown"),
     }
     return sums.select(*by, "points", *(F.when(whole, v).alias(k) for k, v in figures.items()))

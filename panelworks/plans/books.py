@@ -40,6 +40,15 @@ def book_summary(spark, d):
     return _rounded(growth.drop("total_return", "cagr"), 6)
 
 
+def yearly_book_summary(spark, d):
+    """By year, with the months whose outcomes are not all known."""
+    factors, selected, intervals = _monthly(spark, d)
+    book = bk.monthly_book(bk.interval_returns(selected, factors.select("security_id", "date", "close"), intervals))
+    found = bk.summary(book.withColumn("year", F.year("signal")), "year")
+    growth = found.select("*", F.log1p("total_return").alias("log_growth"), F.log1p("cagr").alias("yearly_log_growth"))
+    return _rounded(growth.drop("total_return", "cagr"), 6)
+
+
 def _along():
     from pyspark.sql import Window
 
@@ -63,7 +72,7 @@ def order_ledger(spark, d):
     return _rounded(found, 2)
 
 
-QUERIES = {f.__name__: f for f in (interval_returns, monthly_book, book_summary, book_turnover, trading_capacity, order_ledger)}
+QUERIES = {f.__name__: f for f in (interval_returns, monthly_book, book_summary, yearly_book_summary, book_turnover, trading_capacity, order_ledger)}
 
 _BOOK = f"""{_RANKS}, ends AS (SELECT date FROM (SELECT date, lead(date) OVER (ORDER BY date) AS nxt FROM days) WHERE date_trunc('month', date) < date_trunc('month', nxt)),
 sel AS (SELECT date, security_id FROM scored JOIN ends USING (date) WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date ORDER BY round(score, 9) DESC, security_id) <= {_NAMES}),
@@ -83,6 +92,10 @@ ORACLES = {
     "book_summary": f"""WITH {_BOOK}, {_returns("known")}, w AS (SELECT *, sum(ln(0.05 + 0.95 * (1 + gross_return) * 0.9975 / 1.0025::DOUBLE)) OVER (ORDER BY signal) AS l FROM mb WHERE missing = 0),
       pk AS (SELECT *, greatest(0, max(l) OVER (ORDER BY signal)) AS peak FROM w)
       SELECT 'complete' AS status, count(*) AS months, 0::BIGINT AS missing, round(arg_max(l, signal), 6) AS log_growth, round(arg_max(l, signal) / ((max(exit) - min(entry)) / 365.25::DOUBLE), 6) AS yearly_log_growth, round(min(exp(l - peak) - 1), 6) AS max_drawdown, round(avg(hit_rate), 6) AS hit_rate FROM pk""",
+    "yearly_book_summary": f"""WITH {_BOOK}, {_returns("close")}, y AS (SELECT *, year(signal)::INT AS year FROM mb), w AS (SELECT *, sum(ln(0.05 + 0.95 * (1 + gross_return) * 0.9975 / 1.0025::DOUBLE)) OVER (PARTITION BY year ORDER BY signal) AS l FROM y),
+      pk AS (SELECT *, greatest(0, max(l) OVER (PARTITION BY year ORDER BY signal)) AS peak FROM w), g AS (SELECT year, count(*) AS months, sum(missing)::BIGINT AS missing, arg_max(l, signal) AS total, (max(exit) - min(entry)) / 365.25::DOUBLE AS years, min(exp(l - peak) - 1) AS fall, avg(hit_rate) AS hit FROM pk GROUP BY year)
+      SELECT year, CASE WHEN missing > 0 THEN 'incomplete_selected_returns' ELSE 'complete' END AS status, months, missing, round(CASE WHEN missing = 0 THEN total END, 6) AS log_growth, round(CASE WHEN missing = 0 THEN total / years END, 6) AS yearly_log_growth,
+        round(CASE WHEN missing = 0 THEN fall END, 6) AS max_drawdown, round(CASE WHEN missing = 0 THEN hit END, 6) AS hit_rate FROM g""",
     "book_turnover": f"""WITH {_BOOK}, dd AS (SELECT date, lag(date) OVER (ORDER BY date) AS before FROM (SELECT DISTINCT date FROM sel))
       SELECT s.date, round(CASE WHEN max(before) IS NOT NULL THEN 1 - count(w.security_id) / count(*)::DOUBLE END, 8) AS turnover FROM sel s JOIN dd USING (date) LEFT JOIN sel w ON w.date = before AND w.security_id = s.security_id GROUP BY 1""",
     "trading_capacity": f"""WITH {_BOOK}, a AS (SELECT f.security_id, f.date, adv20_amount, lead(f.date) OVER w AS trade_date, lead(f.amount) OVER w AS day_amount FROM f WINDOW w AS (PARTITION BY f.security_id ORDER BY f.pos))

@@ -60,7 +60,8 @@ def affine_fit(spark, d):
 
 
 def forecasts(spark, d):
-    return _rounded(_forecasts(spark, d).select("date", "security_id", "horizon", "expected_return", "probability_up", *(_squashed(q).alias(f"bounded_{q}") for q in ("q10", "q50", "q90"))), 6)
+    rounded = {"expected_return": F.round("expected_return", 6)} | {f"bounded_{q}": F.round(_squashed(q), 6) for q in ("q10", "q50", "q90")}
+    return _forecasts(spark, d).select("date", "security_id", "horizon", "probability_up", *(v.alias(c) for c, v in rounded.items()))  # the probability has nine digits already
 
 
 def task_statuses(spark, d):
@@ -155,7 +156,7 @@ _SKILL = """SELECT horizon, round(avg(pow(probability_up - (fwd_return > 0)::INT
 _BINNED = "avg(probability_up) AS predicted, avg((fwd_return > 0)::INT) AS observed, count(*) AS rows"
 ORACLES = {
     "affine_fit": f"""WITH {_SCORED} SELECT horizon, round(greatest(0, regr_slope(fwd_return, score)), 6) AS slope, round(avg(fwd_return) - greatest(0, regr_slope(fwd_return, score)) * avg(score), 6) AS intercept FROM x WHERE label_end < DATE '{_SPLIT}' GROUP BY 1""",
-    "forecasts": f"WITH {_FORECAST} SELECT date, security_id, horizon, round(expected_return, 6) AS expected_return, round(probability_up, 6) AS probability_up, {', '.join(f'round({q} / (1 + abs({q})), 6) AS bounded_{q}' for q in ('q10', 'q50', 'q90'))} FROM p",
+    "forecasts": f"WITH {_FORECAST} SELECT date, security_id, horizon, round(expected_return, 6) AS expected_return, probability_up, {', '.join(f'round({q} / (1 + abs({q})), 6) AS bounded_{q}' for q in ('q10', 'q50', 'q90'))} FROM p",
     "task_statuses": f"""WITH {_FORECAST}, t AS (SELECT horizon, q50, CASE WHEN security_id % 7 = 0 THEN 'invalid_quantile_order' ELSE 'ok' END AS interval_status, CASE WHEN security_id % 11 = 0 THEN 'unrepresentable_prediction' ELSE 'ok' END AS return_status FROM p)
       SELECT horizon, CASE WHEN return_status <> 'ok' THEN return_status ELSE interval_status END AS status, 'ok' AS probability_status, return_status, interval_status, count(*) AS rows, count(*) FILTER (interval_status = 'ok') AS intervals, count(*) FILTER (return_status = 'ok') AS points FROM t GROUP BY ALL""",
     "contributions": f"""WITH {_RANKS}, c AS ({" UNION ALL ".join(f"SELECT date, security_id, '{c}' AS feature, {w}::DOUBLE * (2 * {c} - 1) AS contribution, {c} AS feature_value FROM k WHERE {c} IS NOT NULL" for c, w in _WEIGHTS.items())}),

@@ -47,6 +47,15 @@ def normalized_securities(spark, d):
     return it.normalized_securities(src.table(spark, d, "supplier").select(key.alias("supplier"), code.alias("code"), listed.alias("list_date")))
 
 
+def listed_shares(spark, d):
+    key = F.col("s_suppkey")
+    six = F.lpad((key * 7919 % 1000000).cast("string"), 6, "0")
+    heads = [("60", "SH"), ("688", "SH"), ("681", "SH"), ("00", "SZ"), ("30", "SZ"), ("4", "BJ"), ("8", "BJ"), ("92", "BJ"), ("93", "BJ"), ("51", "SH"), ("60", "SZ")]
+    code = F.concat(*(F.when(key % len(heads) == i, F.concat(F.lit(h), F.substring(six, len(h) + 1, 6 - len(h)), F.lit(f".{m}"))).otherwise("") for i, (h, m) in enumerate(heads)))
+    rows = src.table(spark, d, "supplier").select(key.alias("supplier"), F.when(key % 97 != 0, code).alias("code"))
+    return it.listed_shares(rows)
+
+
 def flagged_bars(spark, d):
     keys = src.table(spark, d, "orders").select((F.col("o_custkey") % 1000 + 1).alias("security_id"), F.date_trunc("week", "o_orderdate").cast("date").alias("date"))
     return it.flagged(_bars(spark, d).select("security_id", "date"), keys, "special_treatment")
@@ -73,7 +82,7 @@ def fundamentals_asof(spark, d):
 def capitalisation(spark, d):
     total = F.when(F.col("quoted"), (F.col("security_id") % 7 + 1) * (1000 + F.floor(F.col("pos") / 40) * 100) * 1.0)
     rows = _panel(spark, d).withColumn("total_share", total).withColumn("free_share", F.col("total_share") * (F.col("security_id") % 5) / 10)
-    rows = rows.withColumns({"total_mv": F.col("total_share") * F.col("close"), "free_mv": F.col("free_share") * F.col("close"), "turnover_ratio": F.col("volume") / F.col("total_share")})
+    rows = rows.withColumns({"total_mv": F.col("total_share") * F.col("close"), "free_mv": F.col("free_share") * F.col("close"), "turnover_ratio": F.col("volume") / F.col("total_share") * 0.9173})  # no mean lies on half a unit of the last digit
     return _rounded(it.capitalisation(rows), 6)
 
 
@@ -116,7 +125,7 @@ def page_violations(spark, d):
     return it.page_violations(rows, ["security_id", "date", "value"], "1993-03-01", "1998-05-31", "page")
 
 
-QUERIES = {f.__name__: f for f in (normalized_daily, joined_sources, normalized_securities, flagged_bars, isolated_bars, fundamentals_asof, capitalisation, valuation_ratios, momentum_scores, input_legality, session_labels, partition_windows, page_violations)}
+QUERIES = {f.__name__: f for f in (normalized_daily, joined_sources, normalized_securities, listed_shares, flagged_bars, isolated_bars, fundamentals_asof, capitalisation, valuation_ratios, momentum_scores, input_legality, session_labels, partition_windows, page_violations)}
 
 _B = f"""{_PANEL}, b AS (SELECT *, {_T}::INT AS t FROM bars)"""
 _VERSIONS = """v AS (SELECT o_custkey AS security_id, o_orderdate + to_days((o_orderkey % 90)::INT + {lag}) AS published_at, date_trunc('month', o_orderdate)::DATE AS period_end, o_orderkey AS version, o_totalprice AS value FROM orders),
@@ -137,6 +146,8 @@ ORACLES = {
       k AS (SELECT supplier, listed, CASE supplier % 6 WHEN 0 THEN '60' || substr(x, 3, 4) || '.SH' WHEN 1 THEN '688' || substr(x, 4, 3) || '.SH' WHEN 2 THEN '00' || substr(x, 3, 4) || '.SZ' WHEN 3 THEN '30' || substr(x, 3, 4) || '.SZ' WHEN 4 THEN x || '.BJ' ELSE x || '.XX' END AS code FROM c)
       SELECT supplier, code, CASE WHEN code LIKE '%.BJ' AND listed IS NOT NULL THEN greatest(listed, DATE '2021-11-15') ELSE listed END AS list_date, listed AS source_list_date, substr(code, 1, 6) AS exchange_code, CASE WHEN code LIKE '688%' THEN 200 ELSE 100 END::INT AS lot_size
       FROM k WHERE code NOT LIKE '%.XX'""",
+    "listed_shares": """WITH h AS (SELECT * FROM (VALUES (0, '60', 'SH', true), (1, '688', 'SH', true), (2, '681', 'SH', false), (3, '00', 'SZ', true), (4, '30', 'SZ', true), (5, '4', 'BJ', true), (6, '8', 'BJ', true), (7, '92', 'BJ', true), (8, '93', 'BJ', false), (9, '51', 'SH', false), (10, '60', 'SZ', false)) t(i, head, market, listed))
+      SELECT s_suppkey AS supplier, head || substr(lpad((s_suppkey * 7919 % 1000000)::VARCHAR, 6, '0'), length(head) + 1) || '.' || market AS code FROM supplier JOIN h ON i = s_suppkey % 11 WHERE listed AND s_suppkey % 97 <> 0""",
     "flagged_bars": f"""WITH {_B}, k AS (SELECT DISTINCT o_custkey % 1000 + 1 AS security_id, date_trunc('week', o_orderdate)::DATE AS date FROM orders)
       SELECT b.security_id, b.date, k.date IS NOT NULL AS special_treatment FROM b LEFT JOIN k USING (security_id, date)""",
     "isolated_bars": f"""WITH {_B}, i AS (SELECT *, CASE WHEN security_id % 4 = 0 THEN false WHEN security_id % 4 = 1 THEN t % 2 = 0 AND t % 5 <> 0 AND security_id % 8 = 1
@@ -146,7 +157,7 @@ ORACLES = {
       SELECT a.security_id, a.date, arg_max(kept.period_end, row(published_at, version)) AS period_end, arg_max(value, row(published_at, version)) AS value, arg_max(version, row(published_at, version)) AS version
       FROM a LEFT JOIN kept ON a.security_id = kept.security_id AND published_at <= a.date GROUP BY 1, 2""",
     "capitalisation": f"""WITH {_PANEL}, s AS (SELECT *, CASE WHEN quoted THEN (security_id % 7 + 1) * (1000 + (pos // 40) * 100) * 1.0::DOUBLE END AS ts FROM panel), u AS (SELECT *, ts * (security_id % 5) / 10 AS fs FROM s),
-      w20 AS (SELECT *, count(volume / ts) OVER r AS n, avg(volume / ts) OVER r AS tu FROM u WINDOW r AS (PARTITION BY security_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+      w20 AS (SELECT *, count(volume / ts) OVER r AS n, avg(volume / ts * 0.9173::DOUBLE) OVER r AS tu FROM u WINDOW r AS (PARTITION BY security_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
       SELECT security_id, date, round(CASE WHEN ts * close > 0 THEN ln(ts * close) END, 6) AS log_market_cap, round(CASE WHEN fs * close > 0 THEN ln(fs * close) END, 6) AS log_free_market_cap, round(fs / nullif(ts, 0), 6) AS free_share_ratio, round(CASE WHEN n >= 12 THEN tu END, 6) AS turnover_20,
         {", ".join(f"round(ts / nullif(lag(ts, {n}) OVER o, 0) - 1, 6) AS share_change_{n}" for n in (60, 252))} FROM w20 WINDOW o AS (PARTITION BY security_id ORDER BY pos)""",
     "valuation_ratios": f"""WITH {_PANEL}, {_VERSIONS.format(lag=0)}, a AS (SELECT b.security_id, b.date, any_value(b.close) AS close, arg_max(value, row(published_at, version)) AS value FROM bars b LEFT JOIN kept ON b.security_id = kept.security_id AND published_at <= b.date GROUP BY 1, 2)

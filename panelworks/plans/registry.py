@@ -1,9 +1,9 @@
 """All registered queries of the panel engine and their SQL oracles."""
 
-from panelworks.plans import actions, books, dated, evaluation, heads, history, intake, panel, quality, reports, shaping
+from panelworks.plans import actions, books, dated, evaluation, heads, history, intake, panel, publication, quality, reports, shaping
 
 FLAGSHIP = panel.FLAGSHIP
 QUERIES, ORACLES = {}, {}
-for _plan in (panel, shaping, evaluation, heads, history, quality, actions, books, dated, reports, intake):
+for _plan in (panel, shaping, evaluation, heads, history, quality, actions, books, dated, reports, intake, publication):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
