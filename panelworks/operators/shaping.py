@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelworks.functions.normal import inverse_normal
 from panelworks.functions.windows import average_rank
 from panelworks.operators.features import HORIZONS
 
@@ -23,7 +24,10 @@ def month_ends(days: DataFrame) -> DataFrame:
 
 
 def monthly_targets(rows: DataFrame, least: int = 6) -> DataFrame:
-    """Percentile, above-median and quintile targets of ``fwd_return`` per date; null where fewer than ``least`` names have one."""
+    """Percentile, above-median, quintile, gaussian and hybrid targets of ``fwd_return`` per date; null where fewer than ``least`` names have one.
+
+    Gaussian: the normal value of the percentile (rank - 0.5) / n. Hybrid: the mean of it and of 1 above the median, -1 else.
+    """
     known = rows.where("fwd_return IS NOT NULL")
     n = F.count(F.lit(1)).over(Window.partitionBy("date"))
     middle = known.groupBy("date").agg(F.median("fwd_return").alias("middle"))
@@ -34,6 +38,8 @@ def monthly_targets(rows: DataFrame, least: int = 6) -> DataFrame:
         F.when(enough, F.col("percentile")).alias("percentile"),
         F.when(enough, (F.col("fwd_return") > F.col("middle")).cast("int")).alias("above_median"),
         F.when(enough, F.floor(5 * F.col("percentile")).cast("int")).alias("quintile"),
+        F.when(enough, inverse_normal(F.col("percentile"))).alias("gaussian"),
+        F.when(enough, 0.5 * inverse_normal(F.col("percentile")) + F.when(F.col("fwd_return") > F.col("middle"), 0.5).otherwise(-0.5)).alias("hybrid"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelworks.functions import normal as nm
 from panelworks.operators import cross_section as xs
 from panelworks.operators import shaping as sh
 from panelworks.plans.panel import _EXAMPLES, _FACTORS, _PANEL, _RANKS, _days, _factors, _rank, _rounded
@@ -60,12 +61,19 @@ def _z(column):
     return f"CASE WHEN {column} IS NULL THEN NULL WHEN coalesce(stddev_samp({column}) OVER d, 0) = 0 THEN 0 ELSE ({column} - avg({column}) OVER d) / stddev_samp({column}) OVER d END"
 
 
+def _ratio(terms, x):
+    sides = [" + ".join(f"{c!r}::DOUBLE * pow({x}, {i})" for i, c in enumerate(side)) for side in terms]
+    return f"({sides[0]}) / ({sides[1]})"
+
+
+_GAUSS = f"CASE WHEN abs(p - 0.5) <= 0.425 THEN (p - 0.5) * {_ratio(nm.MIDDLE, '(0.180625 - (p - 0.5) * (p - 0.5))')} ELSE sign(p - 0.5) * {_ratio(nm.TAIL, '(sqrt(-ln(least(p, 1 - p))) - 1.6)')} END"
 _MONTH_RANKS = f"{_RANKS}, {_MONTHS}"
 ORACLES = {
     "month_ends": f"WITH {_PANEL}, {_MONTHS} SELECT date FROM months",
     "monthly_targets": f"""WITH {_FACTORS}, {_MONTHS}, x AS (SELECT date, security_id, fwd_return_5 AS y FROM f JOIN months USING (date) WHERE fwd_return_5 IS NOT NULL),
       t AS (SELECT *, {_rank("y", "date")} - 0.5::DOUBLE / count(*) OVER (PARTITION BY date) AS p, count(*) OVER (PARTITION BY date) AS n, median(y) OVER (PARTITION BY date) AS m FROM x)
-      SELECT date, security_id, round(CASE WHEN n >= 6 THEN p END, 8) AS percentile, CASE WHEN n >= 6 THEN (y > m)::INT END AS above_median, CASE WHEN n >= 6 THEN floor(5 * p)::INT END AS quintile FROM t""",
+      SELECT date, security_id, round(CASE WHEN n >= 6 THEN p END, 8) AS percentile, CASE WHEN n >= 6 THEN (y > m)::INT END AS above_median, CASE WHEN n >= 6 THEN floor(5 * p)::INT END AS quintile,
+        round(CASE WHEN n >= 6 THEN {_GAUSS} END, 8) AS gaussian, round(CASE WHEN n >= 6 THEN 0.5::DOUBLE * {_GAUSS} + CASE WHEN y > m THEN 0.5 ELSE -0.5 END END, 8) AS hybrid FROM t""",
     "sampled_names": f"""WITH {_FACTORS}, s AS (SELECT date, security_id, row_number() OVER (PARTITION BY date ORDER BY md5('7|' || date || '|' || security_id), security_id)::INT AS place FROM f WHERE status = 'ok')
       SELECT * FROM s WHERE place <= 16""",
     "example_weights": f"""WITH {_FACTORS}, e AS ({_EXAMPLES}), k AS (SELECT date, security_id, horizon FROM e WHERE fwd_return IS NOT NULL AND status = 'ok')
