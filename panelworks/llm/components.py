@@ -11,7 +11,7 @@ from panelworks.llm.common import durable
 def min_labels(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label): the smallest label in each node's component.
 
-    ``links`` (a, b) are undirected, ``nodes`` (node, label) unique by node. Each round takes the least label
+    ``links`` (a, b) are undirected, ``nodes`` (node, label) unique by node and by label. Each round takes the least label
     among the neighbours (a groupBy with map-side combine, so a hub is no hot spot), then follows the label's
     owner, which halves long chains. Rounds are checkpointed and end when no label changes.
     """

@@ -284,12 +284,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     labels = _labels(links)
     more = _multiplied(docs, classes, _tiles(cells, met, classes, labels, percent), shingle, percent)
     every = stored(links.unionByName(more), "every")
-    ends = every.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    found = min_labels(every, ends.join(classes, "id").select(F.col("id").alias("node"), F.col("first").alias("label")))
-    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("label", "first").alias("component_id"))
+    found = _labels(every)
+    least = classes.join(found, "id").groupBy("label").agg(F.min("first").alias("least"))
+    named = classes.join(found, "id", "left").join(least, "label", "left").select("same", F.coalesce("least", "first").alias("component_id"))
     out = rows.join(named, "same", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = stored(out, "jaccard")
-    for t in (rows, classes, cells, met, links, labels, more, every):
+    for t in (rows, classes, cells, met, links, labels, more, every, found):
         discard(t)
     return out
 

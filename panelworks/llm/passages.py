@@ -21,8 +21,8 @@
    similarity of at least ``SIMILARITY``.
 
 Null and empty texts, and texts under ``MIN_WORDS`` words, have no passages. Rows without doc_id take no part and
-are kept. Rows that share a doc_id count as one document (repeats inside a document are not passages that repeat
-across documents). Ties go to the smallest doc_id and place. An empty table gives an empty result. Very long texts are
+are kept. Rows that share a doc_id count as one document (repeats inside a document, or between its rows, are not passages that
+repeat across documents); equal rows are handled alike, and different texts of one doc_id are each searched whole. Ties go to the smallest doc_id and place. An empty table gives an empty result. Very long texts are
 handled in bounded pieces by the same code; extra columns are carried along.
 """
 
@@ -33,7 +33,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelworks.llm.common import discard, free_name, slices, stored, table
@@ -420,15 +420,41 @@ def _blocks_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id").select(*(f"`{c}`" for c in names), f"`{wanted_blocks}`").mapInArrow(run, "rep long, block long, hashes binary")
 
 
-def _with_candidates(docs: DataFrame, how: str, name: str) -> DataFrame:
-    """docs joined with the column ``name``: per matched document its hulls and the blocks under them."""
-    pairs = stored(interval_candidates(links(docs)), "pairs")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with ids that tell different texts of one doc_id apart (doc_id * R + number, in the order of a hash), and R.
+
+    R is 1, and docs as they are, where no doc_id has two texts. Equal rows keep equal ids.
+    """
+    h = F.xxhash64("text")
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", h.alias("h"))
+    if not known.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").head(1):
+        return docs, 1
+    order = Window.partitionBy("doc_id").orderBy("h")
+    kinds = stored(known.distinct().withColumn("number", F.row_number().over(order).cast("long") - 1), "kinds")
+    times = kinds.agg(F.max("number")).first()[0] + 1
+    key = free_name(docs.columns, "_h")
+    number = free_name([*docs.columns, key], "_number")
+    met = docs.withColumn(key, h).join(kinds.toDF("doc_id", key, number), ["doc_id", key], "left")
+    own = (F.col("doc_id") * times + F.col(number)).alias("doc_id")
+    return met.select(*(own if c == "doc_id" else f"`{c}`" for c in docs.columns)), times
+
+
+def _plain(column: str, times: int):
+    """The doc_id of an id of ``_numbered``."""
+    return F.col(column) if times == 1 else F.expr(f"(`{column}` - pmod(`{column}`, {times})) DIV {times}")
+
+
+def _with_candidates(docs: DataFrame, how: str, name: str, times: int = 1) -> DataFrame:
+    """docs joined with the column ``name``: per matched document its hulls and the blocks under them; rows of one doc_id never match."""
+    linked = links(docs)
+    pairs = stored(interval_candidates(linked).where(_plain("rep", times) < _plain("doc_id", times)), "pairs")
+    discard(linked)
     flat = pairs.select("doc_id", "rep", F.explode("hulls").alias("x")).select("doc_id", "rep", "x.*")
     low = F.greatest(F.lit(0), F.floor((F.col("low") - F.col("diagonal") - REACH) / BLOCK))
     high = F.greatest(low, F.floor((F.col("high") - F.col("diagonal") + REACH) / BLOCK))
     need = flat.select("doc_id", "rep", F.explode(F.sequence(low, high)).alias("block")).distinct()
     blocks = _blocks_of(docs, need.select("rep", "block"))
-    got = need.join(blocks, ["rep", "block"]).groupBy("doc_id", "rep").agg(F.collect_list(F.struct("block", "hashes")).alias("blocks"))
+    got = need.join(blocks, ["rep", "block"]).groupBy("doc_id", "rep").agg(F.collect_set(F.struct("block", "hashes")).alias("blocks"))  # repeated rows give equal blocks
     reps = pairs.join(got, ["doc_id", "rep"]).groupBy("doc_id").agg(F.collect_list(F.struct("rep", "hulls", "blocks")).alias(name))
     return docs.join(reps, "doc_id", how).select(*(f"`{c}`" for c in docs.columns), f"`{name}`")
 
@@ -492,7 +518,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    return _with_candidates(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "inner", "_reps").mapInArrow(run, schema)
+    rows, times = _numbered(docs.where("doc_id IS NOT NULL").select("doc_id", "text"))
+    found = _with_candidates(rows, "inner", "_reps", times).mapInArrow(run, schema)
+    return found.withColumns({c: _plain(c, times) for c in ("doc_id", "match_doc_id")}) if times > 1 else found
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -536,7 +564,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names).take(pa.array(keep, pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return _with_candidates(docs, "left", candidates).mapInArrow(run, schema)
+    rows, times = _numbered(docs)
+    kept = _with_candidates(rows, "left", candidates, times).mapInArrow(run, schema)
+    return kept.select(*(_plain(c, times).alias(c) if c == "doc_id" else f"`{c}`" for c in names)) if times > 1 else kept
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

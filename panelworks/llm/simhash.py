@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import durable, slices, stored, table, texts
+from panelworks.llm.common import discard, durable, slices, stored, table, texts
 from panelworks.llm.components import min_labels
 from panelworks.llm.passages import mix, rolling, word_hashes
 
@@ -109,9 +109,9 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     links = durable(hamming_links(nodes.select("fp"), radius, segments))
     linked = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    labels = min_labels(links, nodes.join(linked, "fp").select(F.col("fp").alias("node"), F.col("first_id").alias("label")))
-    classes = nodes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
-    classes = classes.select("fp", F.coalesce("label", "first_id").alias("component_id"))
+    labels = min_labels(links, linked.select(F.col("fp").alias("node"), F.col("fp").alias("label"))).withColumnRenamed("node", "fp")
+    least = nodes.join(labels, "fp").groupBy("label").agg(F.min("first_id").alias("least"))  # several fingerprints can have one smallest doc_id
+    classes = nodes.join(labels, "fp", "left").join(least, "label", "left").select("fp", F.coalesce("least", "first_id").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -243,7 +243,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
                     kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(run, "a long, b long").distinct()
+    found = stored(rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(run, "a long, b long").distinct(), "verified")
+    for table_ in (pairs, sizes, tiled, members):
+        discard(table_)
+    return found
 
 
 def keep_first_of_each(docs: DataFrame) -> DataFrame:

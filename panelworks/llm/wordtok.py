@@ -94,7 +94,9 @@ class CachedTokenizer:
                 self.young.update(zip(part, [raw[a + step : b] for a, b in zip(at, at[1:])]))
             else:
                 for w in part:
-                    self.young[w] = self._whole(w.decode())
+                    word = w.decode()
+                    # here only lower-casing can have made an added token; in capitals the library sees none and lower-cases it itself
+                    self.young[w] = self._whole(word.upper() if self.added and self.added.search(word) else word)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
