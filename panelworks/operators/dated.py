@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelworks.functions.dates import on_days
 from panelworks.functions.windows import sessions
 
 
@@ -16,8 +17,7 @@ def daily_versions(versions: DataFrame, days: DataFrame) -> DataFrame:
     """
     along = Window.partitionBy("security_id", "event_id").orderBy("published_at", "version")
     spans = versions.withColumn("until", F.lead("published_at").over(along))
-    holds = (F.col("date") >= F.col("published_at")) & (F.col("until").isNull() | (F.col("date") < F.col("until")))
-    return spans.join(F.broadcast(days), holds).select("date", "security_id", "event_id", "published_at", "version", "value")
+    return on_days(spans, days.select("date"), "published_at", "until").select("date", "security_id", "event_id", "published_at", "version", "value")
 
 
 def lot_history(anchors: DataFrame, changes: DataFrame) -> DataFrame:

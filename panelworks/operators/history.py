@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelworks.functions.dates import position_from
 from panelworks.functions.rolling import rolling
 from panelworks.functions.windows import sessions
 
@@ -15,22 +16,6 @@ CLOSING_HOUR = 19
 LONGEST = 252
 
 
-def next_sessions(days: DataFrame) -> DataFrame:
-    """(day, pos): every calendar day up to the last session with the position of the first session from it on; ``days`` (date, pos).
-
-    Days before the first session are not in it; their position is 0.
-    """
-    before = F.coalesce(F.date_add(F.lag("date").over(Window.orderBy("pos")), 1), F.col("date"))
-    return days.withColumn("since", before).select(F.explode(F.sequence("since", "date")).alias("day"), "pos")
-
-
-def _positions(rows: DataFrame, days: DataFrame, column: str, name: str) -> DataFrame:
-    """``rows`` with the position of the first session from the date ``column`` on; null for no date and beyond the calendar."""
-    first = F.broadcast(days.agg(F.min("date").alias("_first")))  # one row
-    met = rows.join(next_sessions(days).select(F.col("day").alias(column), F.col("pos").alias("_pos")), column, "left").crossJoin(first)
-    return met.withColumn(name, F.when(F.col(column) < F.col("_first"), 0).otherwise(F.col("_pos"))).drop("_pos", "_first")
-
-
 def information_spans(versions: DataFrame, days: DataFrame, currency: str) -> DataFrame:
     """(security_id, event_id, ex_date, cash, reason, x, is_session, start, stop): when each version of an event takes effect.
 
@@ -41,10 +26,10 @@ def information_spans(versions: DataFrame, days: DataFrame, currency: str) -> Da
     """
     late = F.col("published_at") > F.date_trunc("day", "published_at") + F.make_interval(hours=F.lit(CLOSING_HOUR))
     seen = versions.withColumn("available", F.date_add(F.to_date("published_at"), late.cast("int")))
-    seen = _positions(seen, days, "available", "visible").where("visible IS NOT NULL")
+    seen = position_from(seen, days, "available", "visible").where("visible IS NOT NULL")
     along = Window.partitionBy("security_id", "event_id").orderBy("published_at", "version")
     spans = seen.withColumn("stop", F.lead("visible").over(along)).where("stop IS NULL OR visible < stop")
-    spans = _positions(spans, days, "ex_date", "x").where("ex_date IS NULL OR x IS NOT NULL")
+    spans = position_from(spans, days, "ex_date", "x").where("ex_date IS NULL OR x IS NOT NULL")
     spans = spans.join(days.select(F.col("date").alias("ex_date"), F.col("pos").alias("_own")), "ex_date", "left")
     spans = spans.withColumns({"start": F.greatest("visible", "x"), "is_session": F.col("_own").isNotNull()}).where("stop IS NULL OR start < stop")
     reason = (

@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelworks.functions.dates import on_days
+from panelworks.sources.store import written
 
-def alias_closure(aliases: DataFrame, rounds: int = 5) -> DataFrame:
-    """(old, code): the last code of each chain. Cycles and chains of over 2**rounds steps are refused.
 
-    ``aliases`` (old, new) is unique by old; every round doubles the reach.
+def alias_closure(aliases: DataFrame) -> DataFrame:
+    """(old, code): the last code of each chain, however long; cycles are refused.
+
+    ``aliases`` (old, new) is unique by old. Every round doubles the reach, so a chain of n steps takes log2(n) rounds, and one that
+    goes on for more rounds than there are bits in the number of aliases is a cycle. Each round is written, so plans stay short.
     """
     now = aliases.where("old <> new").select("old", F.col("new").alias("code"))
+    rounds = now.count().bit_length() + 1
     for _ in range(rounds):
         if not _has_chain(now):
-            break
+            return now
         further = now.select(F.col("old").alias("code"), F.col("code").alias("further"))
-        now = now.join(further, "code", "left").select("old", F.coalesce("further", "code").alias("code"))
+        now = written(now.join(further, "code", "left").select("old", F.coalesce("further", "code").alias("code")), "aliases")
     if _has_chain(now):
-        raise ValueError("alias chains are cyclic or too long")
+        raise ValueError("alias chains are cyclic")
     return now
 
 
@@ -81,9 +86,8 @@ def with_gap_fills(rows: DataFrame, fills: DataFrame, keys: list[str]) -> DataFr
 
 
 def universe_asof(master: DataFrame, days: DataFrame) -> DataFrame:
-    """(date, security_id) of securities that are listed and not yet delisted on each day; ``master`` is the larger side."""
-    listed = (F.col("list_date") <= F.col("date")) & (F.col("delist_date").isNull() | (F.col("delist_date") > F.col("date")))
-    return master.join(F.broadcast(days), listed).select("date", "security_id")  # one row a session
+    """(date, security_id) of securities that are listed and not yet delisted on each day of ``days`` (date)."""
+    return on_days(master.select("security_id", "list_date", "delist_date"), days.select("date"), "list_date", "delist_date").select("date", "security_id")
 
 
 def observed_periods(bars: DataFrame) -> DataFrame:

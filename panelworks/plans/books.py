@@ -40,15 +40,26 @@ def book_summary(spark, d):
     return _rounded(growth.drop("total_return", "cagr"), 6)
 
 
-def yearly_book_summary(spark, d):
-    """By year, with the months whose outcomes are not all known."""
+def _slots(spark, d):
+    """Books of one name each: the first, second, ... of a month's names by id, by quarter."""
+    from pyspark.sql import Window
+
     factors, selected, intervals = _monthly(spark, d)
-    book = bk.monthly_book(bk.interval_returns(selected, factors.select("security_id", "date", "close"), intervals))
-    found = bk.summary(book.withColumn("year", F.year("signal")), "year")
+    returns = bk.interval_returns(selected, factors.select("security_id", "date", "close"), intervals)
+    return returns.withColumns({"slot": F.row_number().over(Window.partitionBy("signal").orderBy("security_id")), "quarter": _quarter("signal")})
+
+
+def quarterly_book_summary(spark, d):
+    """With the months whose outcomes are not known."""
+    found = bk.summary(bk.monthly_book(_slots(spark, d), "slot", "quarter"), "slot", "quarter")
     growth = found.select("*", F.log1p("total_return").alias("log_growth"), F.log1p("cagr").alias("yearly_log_growth"))
     return _rounded(growth.drop("total_return", "cagr"), 6)
 
 
+def _quarter(date):
+    return F.year(date) * 4 + F.quarter(date)
+
+
 def _along():
     from pyspark.sql import Window
 
@@ -72,7 +83,61 @@ def order_ledger(spark, d):
     return _rounded(found, 2)
 
 
-QUERIES = {f.__name__: f for f in (interval_returns, monthly_book, book_summary, yearly_book_summary, book_turnover, trading_capacity, order_ledger)}
+def _pool(spark, d):
+    factors, selected, intervals = _monthly(spark, d)
+    ends = sh.month_ends(_days(spark, d))
+    return xs.ranks(factors.join(F.broadcast(ends), "date")).select("date", "security_id"), factors, selected, intervals  # one row a month
+
+
+def benchmarked_book(spark, d):
+    pool, factors, selected, intervals = _pool(spark, d)
+    found = bk.benchmarked_book(selected, pool, factors.select("security_id", "date", "close"), intervals)
+    return _rounded(found, 6)
+
+
+def _months(spark, d):
+    """The one-name books beside the mean of the month's names, returns drawn together; stand-in correlation and turnover."""
+    from pyspark.sql import Window
+
+    small = lambda c: c / (1 + F.abs(c)) / 4
+    rows = _slots(spark, d)
+    mean = F.avg("gross_return").over(Window.partitionBy("signal"))
+    return rows.select("slot", "quarter", "signal", small(F.col("gross_return")).alias("book"), small(mean).alias("benchmark"), (F.col("security_id") % 7 / 10 - 0.25).alias("ic"), (F.col("security_id") % 5 / 5).alias("turnover"))
+
+
+def book_metrics(spark, d):
+    return _rounded(bk.book_metrics(_months(spark, d), "slot", "quarter"), 6)
+
+
+def metric_checks(spark, d):
+    found = bk.book_metrics(_months(spark, d), "slot", "quarter").select("slot", "quarter", *(F.round(m, 6).alias(m) for m in _CHECKS))
+    return _rounded(bk.metric_checks(found, _CHECKS), 6)
+
+
+def constraint_audit(spark, d):
+    """Books a customer, weights by value of orders; estimates of priorities as names."""
+    orders = src.table(spark, d, "orders")
+    line = orders.groupBy(F.col("o_custkey").alias("book"), F.substring("o_orderpriority", 1, 1).cast("long").alias("security_id")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
+    from pyspark.sql import Window
+
+    weights = line.select("book", "security_id", (F.col("v").cast("double") / F.sum("v").over(Window.partitionBy("book")).cast("double") * F.when(F.col("book") % 3 == 0, 1.1).otherwise(0.9)).alias("weight"))
+    estimates = spark.range(1, 6).where("id <> 5").select(F.col("id").alias("security_id"), (0.5 + F.col("id") / 4).alias("beta"), (F.col("id") / 10).alias("residual_variance"))
+    return _rounded(bk.constraint_audit(weights, estimates, 0.04, 0.35, 1.0, 0.4), 6)
+
+
+def signal_sheet(spark, d):
+    factors = _factors(spark, d)
+    ends = sh.month_ends(_days(spark, d))
+    scores = xs.factor_score(xs.ranks(factors.join(F.broadcast(ends), "date"))).select("date", "security_id", "score")
+    return _rounded(bk.signal_sheet(scores, _NAMES), 6)
+
+
+def cohort_book(spark, d):
+    return _rounded(bk.cohort_book(_factors(spark, d).select("date", "security_id", "status")), 8)
+
+
+_CHECKS = {"yearly_excess": ("min", 0.02), "information_ratio": ("min", 0.5), "monthly_win": ("min", 0.5), "yearly_turnover": ("max", 7.0), "months": ("min", 12.0)}
+QUERIES = {f.__name__: f for f in (interval_returns, monthly_book, book_summary, quarterly_book_summary, benchmarked_book, book_metrics, metric_checks, constraint_audit, signal_sheet, cohort_book, book_turnover, trading_capacity, order_ledger)}
 
 _BOOK = f"""{_RANKS}, ends AS (SELECT date FROM (SELECT date, lead(date) OVER (ORDER BY date) AS nxt FROM days) WHERE date_trunc('month', date) < date_trunc('month', nxt)),
 sel AS (SELECT date, security_id FROM scored JOIN ends USING (date) WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date ORDER BY round(score, 9) DESC, security_id) <= {_NAMES}),
@@ -86,15 +151,44 @@ def _returns(price):
 mb AS (SELECT signal, entry, exit, CASE WHEN count(gross_return) = count(*) THEN avg(gross_return) END AS gross_return, CASE WHEN count(gross_return) = count(*) THEN avg(((1 + gross_return) * 0.9975::DOUBLE / 1.0025::DOUBLE > 1)::INT) END AS hit_rate, count(*) AS selected, count(*) FILTER (gross_return IS NULL) AS missing FROM ret GROUP BY 1, 2, 3)"""
 
 
+_BENCH = """pr AS (SELECT k.date AS signal, k.security_id, entry, exit, sel.security_id IS NOT NULL AS own, CASE WHEN a.close > 0 THEN b.close / a.close - 1 END AS r FROM k JOIN iv ON signal = k.date LEFT JOIN sel ON sel.date = k.date AND sel.security_id = k.security_id
+  LEFT JOIN px a ON a.security_id = k.security_id AND a.date = entry LEFT JOIN px b ON b.security_id = k.security_id AND b.date = exit), md AS (SELECT *, median(r) OVER (PARTITION BY signal) AS m FROM pr),
+bb AS (SELECT signal, entry, exit, count(*) FILTER (own) AS selected, count(*) AS pool, count(*) FILTER (own AND r IS NULL) AS missing, count(*) FILTER (r IS NULL) AS pool_missing, avg(r) FILTER (own) AS g, avg(r) AS b, avg(((1 + r) * 0.9975::DOUBLE / 1.0025::DOUBLE > 1)::INT) FILTER (own) AS h,
+  avg(((1 + r) * 0.995::DOUBLE / 1.005::DOUBLE > 1)::INT) FILTER (own) AS s, avg((r > m)::INT) FILTER (own) AS mh FROM md GROUP BY 1, 2, 3),
+bm AS (SELECT signal, entry, exit, selected, pool, missing, pool_missing, round(CASE WHEN missing = 0 AND selected > 0 THEN g END, 6) AS gross_return, round(CASE WHEN pool_missing = 0 THEN b END, 6) AS benchmark_return, round(CASE WHEN missing = 0 AND selected > 0 THEN h END, 6) AS hit_rate,
+  round(CASE WHEN missing = 0 AND selected > 0 THEN s END, 6) AS stress_hit_rate, round(CASE WHEN missing = 0 AND selected > 0 AND pool_missing = 0 THEN mh END, 6) AS median_hit_rate FROM bb)"""
+_SLOTS = "sl AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY security_id)::INT AS slot, (year(signal) * 4 + quarter(signal))::INT AS quarter FROM ret)"
+_METRICS = f"""{_SLOTS}, mx AS (SELECT *, avg(gross_return) OVER (PARTITION BY signal) AS m FROM sl), mo AS (SELECT slot, quarter, signal, gross_return / (1 + abs(gross_return)) / 4 AS book, m / (1 + abs(m)) / 4 AS benchmark, security_id % 7 / 10.0::DOUBLE - 0.25 AS ic, security_id % 5 / 5.0::DOUBLE AS turnover FROM mx),
+wl AS (SELECT *, book - benchmark AS excess, sum(ln(1 + book)) OVER w AS wb, sum(ln(1 + benchmark)) OVER w AS wc FROM mo WINDOW w AS (PARTITION BY slot, quarter ORDER BY signal)), wp AS (SELECT *, wb - max(wb) OVER w AS fb, wc - max(wc) OVER w AS fc FROM wl WINDOW w AS (PARTITION BY slot, quarter ORDER BY signal)),
+me AS (SELECT slot, quarter, count(*) AS months, count(*) - count(book) AS missing_months, count(book) = count(*) AS good, avg(ic) AS ic_mean, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg((ic > 0)::INT) AS ic_positive, avg(excess) * 12 AS yearly_excess, avg(excess) / nullif(stddev_samp(excess), 0) * sqrt(12::DOUBLE) AS information_ratio,
+  avg((excess > 0)::INT) AS monthly_win, avg(turnover) * 12 AS yearly_turnover, avg(book) * 12 AS yearly_return, avg(benchmark) * 12 AS yearly_benchmark, exp(min(fb)) - 1 AS drawdown, exp(min(fc)) - 1 AS benchmark_drawdown FROM wp GROUP BY slot, quarter)"""
+_FIGURES = ("ic_mean", "icir", "ic_positive", "yearly_excess", "information_ratio", "monthly_win", "yearly_turnover", "yearly_return", "yearly_benchmark", "drawdown", "benchmark_drawdown")
+
+
+def _checked():
+    parts = [f"SELECT slot, quarter, '{m}' AS metric, round({m if m == 'months' else f'CASE WHEN good THEN {m} END'}, 6)::DOUBLE AS actual, {b}::DOUBLE AS b, {'true' if k == 'min' else 'false'} AS least FROM me" for m, (k, b) in _CHECKS.items()]
+    return " UNION ALL ".join(parts)
+
+
 ORACLES = {
+    "benchmarked_book": f"WITH {_BOOK}, {_BENCH} SELECT * FROM bm",
+    "book_metrics": f"WITH {_BOOK}, {_returns('close')}, {_METRICS} SELECT slot, quarter, CASE WHEN good THEN 'complete' ELSE 'missing_execution_prices' END AS status, months, missing_months, {', '.join(f'round(CASE WHEN good THEN {m} END, 6) AS {m}' for m in _FIGURES)} FROM me",
+    "metric_checks": f"WITH {_BOOK}, {_returns('close')}, {_METRICS}, c AS ({_checked()}) SELECT slot, quarter, metric, actual, coalesce(CASE WHEN least THEN actual >= b ELSE actual <= b END, false) AS passed FROM c",
+    "constraint_audit": """WITH l AS (SELECT o_custkey AS book, substr(o_orderpriority, 1, 1)::BIGINT AS security_id, sum(o_totalprice::DECIMAL(18,2)) AS v FROM orders GROUP BY 1, 2), w AS (SELECT book, security_id, v::DOUBLE / (sum(v) OVER (PARTITION BY book))::DOUBLE * CASE WHEN book % 3 = 0 THEN 1.1::DOUBLE ELSE 0.9::DOUBLE END AS x FROM l),
+      s AS (SELECT book, sum(x) AS total, CASE WHEN count(*) FILTER (security_id = 5) = 0 THEN sqrt(sum(security_id / 10.0 * x * x) + 0.04::DOUBLE * pow(sum((0.5 + security_id / 4.0) * x), 2)) END AS vol FROM w GROUP BY 1)
+      SELECT book, 'single_position' AS constraint, security_id, round(x, 6) AS actual, 0.35::DOUBLE AS bound FROM w WHERE x > 0.3500001::DOUBLE UNION ALL SELECT book, 'total_equity', NULL, round(total, 6), 1.0 FROM s WHERE total > 1.0000001::DOUBLE
+      UNION ALL SELECT book, 'annual_volatility', NULL, round(vol, 6), 0.4 FROM s WHERE vol IS NULL OR vol > 0.4000001::DOUBLE""",
+    "signal_sheet": f"""WITH {_BOOK}, z AS (SELECT date, security_id, CASE WHEN stddev_samp(score) OVER d > 0 THEN (score - avg(score) OVER d) / stddev_samp(score) OVER d ELSE 0 END AS score FROM scored JOIN ends USING (date) WHERE score IS NOT NULL WINDOW d AS (PARTITION BY date)),
+      p AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(score, 9) DESC, security_id)::INT AS place FROM z) SELECT date, security_id, round(score, 6) AS score, place, place <= {_NAMES} AS selected, round(CASE WHEN place <= {_NAMES} THEN 1.0::DOUBLE / {_NAMES} ELSE 0 END, 6) AS weight FROM p""",
+    "cohort_book": f"WITH {_FACTORS} SELECT date, security_id, round(1::DOUBLE / count(*) OVER (PARTITION BY date), 8) AS weight FROM f WHERE status = 'ok'",
     "interval_returns": f"WITH {_BOOK}, {_returns('close')} SELECT signal, security_id, entry, exit, round(gross_return, 6) AS gross_return FROM ret",
     "monthly_book": f"WITH {_BOOK}, {_returns('close')} SELECT signal, entry, exit, round(gross_return, 6) AS gross_return, round(hit_rate, 6) AS hit_rate, selected, missing FROM mb",
     "book_summary": f"""WITH {_BOOK}, {_returns("known")}, w AS (SELECT *, sum(ln(0.05 + 0.95 * (1 + gross_return) * 0.9975 / 1.0025::DOUBLE)) OVER (ORDER BY signal) AS l FROM mb WHERE missing = 0),
       pk AS (SELECT *, greatest(0, max(l) OVER (ORDER BY signal)) AS peak FROM w)
       SELECT 'complete' AS status, count(*) AS months, 0::BIGINT AS missing, round(arg_max(l, signal), 6) AS log_growth, round(arg_max(l, signal) / ((max(exit) - min(entry)) / 365.25::DOUBLE), 6) AS yearly_log_growth, round(min(exp(l - peak) - 1), 6) AS max_drawdown, round(avg(hit_rate), 6) AS hit_rate FROM pk""",
-    "yearly_book_summary": f"""WITH {_BOOK}, {_returns("close")}, y AS (SELECT *, year(signal)::INT AS year FROM mb), w AS (SELECT *, sum(ln(0.05 + 0.95 * (1 + gross_return) * 0.9975 / 1.0025::DOUBLE)) OVER (PARTITION BY year ORDER BY signal) AS l FROM y),
-      pk AS (SELECT *, greatest(0, max(l) OVER (PARTITION BY year ORDER BY signal)) AS peak FROM w), g AS (SELECT year, count(*) AS months, sum(missing)::BIGINT AS missing, arg_max(l, signal) AS total, (max(exit) - min(entry)) / 365.25::DOUBLE AS years, min(exp(l - peak) - 1) AS fall, avg(hit_rate) AS hit FROM pk GROUP BY year)
-      SELECT year, CASE WHEN missing > 0 THEN 'incomplete_selected_returns' ELSE 'complete' END AS status, months, missing, round(CASE WHEN missing = 0 THEN total END, 6) AS log_growth, round(CASE WHEN missing = 0 THEN total / years END, 6) AS yearly_log_growth,
+    "quarterly_book_summary": f"""WITH {_BOOK}, {_returns("close")}, {_SLOTS}, w AS (SELECT *, sum(ln(0.05 + 0.95 * (1 + gross_return) * 0.9975 / 1.0025::DOUBLE)) OVER (PARTITION BY slot, quarter ORDER BY signal) AS l FROM sl),
+      pk AS (SELECT *, greatest(0, max(l) OVER (PARTITION BY slot, quarter ORDER BY signal)) AS peak FROM w), g AS (SELECT slot, quarter, count(*) AS months, count(*) FILTER (gross_return IS NULL) AS missing, arg_max(l, signal) AS total, (max(exit) - min(entry)) / 365.25::DOUBLE AS years, min(exp(l - peak) - 1) AS fall, avg(((1 + gross_return) * 0.9975::DOUBLE / 1.0025::DOUBLE > 1)::INT) AS hit FROM pk GROUP BY 1, 2)
+      SELECT slot, quarter, CASE WHEN missing > 0 THEN 'incomplete_selected_returns' ELSE 'complete' END AS status, months, missing, round(CASE WHEN missing = 0 THEN total END, 6) AS log_growth, round(CASE WHEN missing = 0 THEN total / years END, 6) AS yearly_log_growth,
         round(CASE WHEN missing = 0 THEN fall END, 6) AS max_drawdown, round(CASE WHEN missing = 0 THEN hit END, 6) AS hit_rate FROM g""",
     "book_turnover": f"""WITH {_BOOK}, dd AS (SELECT date, lag(date) OVER (ORDER BY date) AS before FROM (SELECT DISTINCT date FROM sel))
       SELECT s.date, round(CASE WHEN max(before) IS NOT NULL THEN 1 - count(w.security_id) / count(*)::DOUBLE END, 8) AS turnover FROM sel s JOIN dd USING (date) LEFT JOIN sel w ON w.date = before AND w.security_id = s.security_id GROUP BY 1""",

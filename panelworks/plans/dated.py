@@ -19,7 +19,7 @@ def _panel(spark, d):
 
 def daily_versions(spark, d):
     versions = _versions(spark, d).select("security_id", F.year("period_end").alias("event_id"), F.to_date("published_at").alias("published_at"), "version", "value")
-    days = src.table(spark, d, "orders").select(F.trunc("o_orderdate", "quarter").alias("date")).distinct()
+    days = src.table(spark, d, "orders").select(F.trunc("o_orderdate", "month").alias("date")).distinct()
     return dt.daily_versions(versions, days)
 
 
@@ -64,7 +64,7 @@ QUERIES = {f.__name__: f for f in (daily_versions, lot_history, carried_valuatio
 _W = "WINDOW w AS (PARTITION BY security_id ORDER BY pos)"
 ORACLES = {
     "daily_versions": """WITH v AS (SELECT o_custkey AS security_id, year(o_orderdate)::INT AS event_id, (o_orderdate + to_days((o_orderkey % 90)::INT))::DATE AS published_at, o_orderkey AS version, o_totalprice AS value FROM orders),
-      days AS (SELECT DISTINCT date_trunc('quarter', o_orderdate)::DATE AS date FROM orders)
+      days AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS date FROM orders)
       SELECT date, security_id, event_id, published_at, version, value FROM days JOIN v ON published_at <= date
       QUALIFY row_number() OVER (PARTITION BY date, security_id, event_id ORDER BY published_at DESC, version DESC) = 1""",
     "lot_history": """WITH o AS (SELECT o_custkey AS security_id, o_orderdate::DATE AS effective, min(o_orderkey) AS key FROM orders GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY effective) AS k FROM o),

@@ -46,12 +46,12 @@ def reconciled_sources(spark, d):
 
 def fallback_source(spark, d):
     bars = _bars(spark, d).select("security_id", "date", "t", "close")
-    return _rounded(ql.with_fallback(bars.where("t % 3 <> 0").drop("t"), bars.where("t % 5 <> 0").drop("t"), ["security_id", "date"]))
+    return _rounded(ql.with_fallback(bars.where("t % 3 <> 0").drop("t"), bars.where("t % 5 <> 0 OR t % 3 = 0").drop("t"), ["security_id", "date"]))
 
 
 def gap_fills(spark, d):
     bars = _bars(spark, d).select("security_id", "date", "t", "close")
-    return _rounded(ql.with_gap_fills(bars.where("t % 4 <> 0").drop("t"), bars.where("t % 8 = 0").drop("t"), ["security_id", "date"]))
+    return _rounded(ql.with_gap_fills(bars.where("t % 4 <> 0").drop("t"), bars.where("t % 4 = 0").drop("t"), ["security_id", "date"]))
 
 
 def _master(spark, d):
@@ -100,11 +100,11 @@ def latest_versions(spark, d):
 
 def appended_versions(spark, d):
     facts = src.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return ql.append_versions(facts.where("o_orderkey % 3 <> 0"), facts.where("o_orderkey % 2 = 0"), ["o_orderkey"])
+    return ql.append_versions(facts.where("o_orderkey % 3 <> 0"), facts.where("o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"), ["o_orderkey"])
 
 
 def label_patches(spark, d):
-    rows = xs.examples(_factors(spark, d)).where("horizon > 1").drop("status")
+    rows = xs.examples(_factors(spark, d)).drop("status")
     patches = rows.where("security_id % 6 = 0").select("date", "security_id", "horizon", F.when(F.col("security_id") % 12 == 0, F.col("label_end")).alias("label_end"), (F.col("horizon") / 100).alias("new_fwd_return"))
     return _rounded(ql.apply_label_patches(rows, patches), 6)
 
@@ -122,8 +122,8 @@ ORACLES = {
     "reconciled_sources": f"""WITH {_B}, s AS (SELECT *, t % 19 <> 0 AS p, t % 11 <> 0 AS r, CASE WHEN t % 7 = 0 THEN 3.0 WHEN t % 5 = 0 THEN 0.5 ELSE 0.0 END AS gap FROM b)
       SELECT security_id, date, CASE WHEN NOT p THEN 'reference_only' WHEN NOT r THEN 'primary_only' WHEN security_id % 17 = 0 THEN 'ambiguous' WHEN gap = 0 THEN 'exact' WHEN gap < 1 THEN 'below_one_unit' ELSE 'mismatch' END AS status,
       CASE WHEN p AND r THEN gap END::DOUBLE AS amount_gap FROM s WHERE p OR r""",
-    "fallback_source": f"WITH {_B} SELECT security_id, date, round(close, 8) AS close, CASE WHEN t % 3 <> 0 THEN 'primary' ELSE 'fallback' END AS origin FROM b WHERE t % 3 <> 0 OR t % 5 <> 0",
-    "gap_fills": f"WITH {_B} SELECT security_id, date, round(close, 8) AS close FROM b WHERE t % 4 <> 0 OR t % 8 = 0",
+    "fallback_source": f"WITH {_B} SELECT security_id, date, round(close, 8) AS close, CASE WHEN t % 3 <> 0 THEN 'primary' ELSE 'fallback' END AS origin FROM b",
+    "gap_fills": f"WITH {_B} SELECT security_id, date, round(close, 8) AS close FROM b",
     "universe_asof": f"WITH {_PANEL}, {_MASTER}, e AS (SELECT date FROM days QUALIFY date_trunc('month', date) < date_trunc('month', lead(date) OVER (ORDER BY date))) SELECT date, security_id FROM master JOIN e ON list_date <= date AND (delist_date IS NULL OR delist_date > date)",
     "listing_periods": f"""WITH {_BARS}, {_MASTER}, pr AS (SELECT *, 1 AS period_id FROM master UNION ALL SELECT security_id, list_date + 700, NULL, 2 FROM master WHERE security_id % 3 = 0)
       SELECT b.security_id, b.date, count(period_id) AS candidates, CASE WHEN count(period_id) = 1 THEN max(period_id) END AS period_id
@@ -135,7 +135,7 @@ ORACLES = {
     "rule_violations": " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER (NOT coalesce({e}, false)) AS broken, count(*) AS rows FROM lineitem" for n, e in _RULES),
     "latest_versions": """SELECT o_custkey AS security_id, o_orderkey % 4 AS event_id, o_orderdate AS published_at, o_orderkey AS version, o_totalprice AS value FROM orders WHERE o_orderdate <= DATE '1998-06-30'
       QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 4 ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
-    "appended_versions": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0",
-    "label_patches": f"""WITH {_FACTORS}, e AS ({_EXAMPLES}), k AS (SELECT *, fwd_return IS NULL AND (security_id % 12 = 0 OR security_id % 6 = 0 AND label_end IS NULL) AS patched FROM e WHERE horizon > 1)
+    "appended_versions": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
+    "label_patches": f"""WITH {_FACTORS}, e AS ({_EXAMPLES}), k AS (SELECT *, fwd_return IS NULL AND (security_id % 12 = 0 OR security_id % 6 = 0 AND label_end IS NULL) AS patched FROM e)
       SELECT date, security_id, horizon, label_end, patched, round(CASE WHEN patched THEN horizon / 100.0::DOUBLE ELSE fwd_return END, 6) AS fwd_return FROM k""",
 }

@@ -51,6 +51,13 @@ def materialised(spark: SparkSession, sf_dir: str, name: str, make: Callable[[],
     return spark.read.schema(schema).parquet(path)
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage by a Parquet table in the shared folder."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def release(spark: SparkSession, sf_dir: str | None = None) -> int:
     """Removes the tables that this session has written, of one input folder or of all; gives how many."""
     mine = [k for k in _TABLES if k[0] == spark.sparkContext.applicationId and len(k) == 4 and sf_dir in (None, k[1])]
