@@ -1,9 +1,9 @@
 """All registered queries of the panel engine and their SQL oracles."""
 
-from panelworks.plans import actions, archives, books, dated, evaluation, heads, history, identity, intake, panel, publication, quality, repairs, reports, shaping
+from panelworks.plans import actions, archives, books, dated, evaluation, evidence, heads, history, identity, intake, panel, publication, quality, repairs, reports, shaping
 
 FLAGSHIP = panel.FLAGSHIP
 QUERIES, ORACLES = {}, {}
-for _plan in (panel, shaping, evaluation, heads, history, quality, actions, books, dated, reports, intake, publication, repairs, identity, archives):
+for _plan in (panel, shaping, evaluation, heads, history, quality, actions, books, dated, reports, intake, publication, repairs, identity, archives, evidence):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES

@@ -45,6 +45,7 @@ def csv_records(spark: SparkSession, path: str, schema: str, rules: dict[str, st
     ``rules`` maps a reason to an SQL condition that must hold; null fails it. Malformed lines become gaps.
     """
     rows = spark.read.csv(path, schema=f"{schema}, _malformed string", header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_malformed")
+    rows = rows.withColumn("_malformed", F.when(F.greatest(*(F.col(c).isNotNull().cast("int") for c in rows.columns)) >= 0, F.col("_malformed")))  # reads all columns: a line is malformed whichever are asked for
     reasons = F.array(F.when(F.col("_malformed").isNotNull(), "malformed"), *(F.when(~F.coalesce(F.expr(e), F.lit(False)), n) for n, e in rules.items()))
     judged = rows.withColumn("reasons", F.filter(reasons, lambda x: x.isNotNull()))
     return judged.where("size(reasons) = 0").drop("reasons", "_malformed"), judged.where("size(reasons) > 0")
