@@ -82,7 +82,7 @@ def fundamentals_asof(spark, d):
 def capitalisation(spark, d):
     total = F.when(F.col("quoted"), (F.col("security_id") % 7 + 1) * (1000 + F.floor(F.col("pos") / 40) * 100) * 1.0)
     rows = _panel(spark, d).withColumn("total_share", total).withColumn("free_share", F.col("total_share") * (F.col("security_id") % 5) / 10)
-    rows = rows.withColumns({"total_mv": F.col("total_share") * F.col("close"), "free_mv": F.col("free_share") * F.col("close"), "turnover_ratio": F.col("volume") / F.col("total_share") * 0.9173})  # no mean lies on half a unit of the last digit
+    rows = rows.withColumns({"total_mv": F.col("total_share") * F.col("close"), "free_mv": F.col("free_share") * F.col("close"), "turnover_ratio": F.col("volume") / F.col("total_share") * 0.917354821137})  # no mean lies on half a unit of the last digit
     return _rounded(it.capitalisation(rows), 6)
 
 
@@ -157,7 +157,7 @@ ORACLES = {
       SELECT a.security_id, a.date, arg_max(kept.period_end, row(published_at, version)) AS period_end, arg_max(value, row(published_at, version)) AS value, arg_max(version, row(published_at, version)) AS version
       FROM a LEFT JOIN kept ON a.security_id = kept.security_id AND published_at <= a.date GROUP BY 1, 2""",
     "capitalisation": f"""WITH {_PANEL}, s AS (SELECT *, CASE WHEN quoted THEN (security_id % 7 + 1) * (1000 + (pos // 40) * 100) * 1.0::DOUBLE END AS ts FROM panel), u AS (SELECT *, ts * (security_id % 5) / 10 AS fs FROM s),
-      w20 AS (SELECT *, count(volume / ts) OVER r AS n, avg(volume / ts * 0.9173::DOUBLE) OVER r AS tu FROM u WINDOW r AS (PARTITION BY security_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+      w20 AS (SELECT *, count(volume / ts) OVER r AS n, avg(volume / ts * 0.917354821137::DOUBLE) OVER r AS tu FROM u WINDOW r AS (PARTITION BY security_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
       SELECT security_id, date, round(CASE WHEN ts * close > 0 THEN ln(ts * close) END, 6) AS log_market_cap, round(CASE WHEN fs * close > 0 THEN ln(fs * close) END, 6) AS log_free_market_cap, round(fs / nullif(ts, 0), 6) AS free_share_ratio, round(CASE WHEN n >= 12 THEN tu END, 6) AS turnover_20,
         {", ".join(f"round(ts / nullif(lag(ts, {n}) OVER o, 0) - 1, 6) AS share_change_{n}" for n in (60, 252))} FROM w20 WINDOW o AS (PARTITION BY security_id ORDER BY pos)""",
     "valuation_ratios": f"""WITH {_PANEL}, {_VERSIONS.format(lag=0)}, a AS (SELECT b.security_id, b.date, any_value(b.close) AS close, arg_max(value, row(published_at, version)) AS value FROM bars b LEFT JOIN kept ON b.security_id = kept.security_id AND published_at <= b.date GROUP BY 1, 2)
