@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def daily_stream(ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Append-mode daily bars of a stream (code, ts, price, tie); days close when the watermark passes them.
+    """Append-mode daily bars of a stream (code, ts, price, and tie where ts repeats); days close when the watermark passes them.
 
     As in the batch form: open and close are the first and last positive price by (ts, tie), the amount is an exact sum and
     null where a price is missing.
     """
-    traded, order = F.col("price") > 0, F.struct("ts", "tie")
+    traded, order = F.col("price") > 0, F.struct(*(c for c in ("ts", "tie") if c in ticks.columns))
     return (
         ticks.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", lateness)
         .groupBy(F.window("at", "1 day").alias("day"), "code")
