@@ -25,14 +25,14 @@ def _place(spark, name):
 
 
 def daily_refresh(spark, d):
-    """Two sessions refreshed one after the other, the first from a state made from scratch, the second twice."""
+    """Two sessions refreshed one after the other, the first from a state made from scratch."""
     bars = materialised(spark, d, "bars_by_date", lambda: _panel(spark, d).where("quoted").drop("quoted", "pos"), "date")
     days, target = _days(spark, d), _place(spark, "refresh")
     last = days.agg(F.max("pos")).first()[0]
     dates = {r.pos - last + _BACK: str(r.date) for r in days.where(F.col("pos").between(last - _BACK - 1, last - _BACK + 1)).collect()}
     rf._replace(rf.state_of(bars.where(F.col("date") <= F.lit(dates[-1]).cast("date")), days).withColumn("date", F.lit(dates[-1]).cast("date")), f"{target}/state")
     path = bars.inputFiles()[0].split("/date=")[0]
-    for i in (0, 1, 1):
+    for i in (0, 1):
         rf.refresh(spark, path, days, target, dates[i], _LEAST_ADV)
     return _rounded(spark.read.parquet(f"{target}/features").select("date", "security_id", *_SHOWN), 6)
 
