@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.windows import last_n, sessions
@@ -122,3 +122,40 @@ def lot_quantity(budget, price, minimum: int = 100, step: int = 100):
     """Shares that a budget buys, rounded down to a step; 0 below the minimum or where an input is not positive."""
     shares = F.floor(budget / price + 1e-10)
     return F.when((budget > 0) & (price > 0) & (shares >= minimum), shares - shares % step).otherwise(0)
+
+
+def lot_rule(code: Column) -> tuple[Column, Column]:
+    """(minimum, step) of orders by exchange code. 200 and 1 for 688 and 689, 100 and 1 in Beijing, else 100 and 100."""
+    beijing, star = F.upper(code).endswith(".BJ"), code.startswith("688") | code.startswith("689")
+    return F.when(~beijing & star, 200).otherwise(100), F.when(beijing | star, 1).otherwise(100)
+
+
+def buy_quantity(budget: Column, price: Column, code: Column) -> Column:
+    """Shares that a budget buys in whole steps, fees apart; 0 below the minimum or where an input is not positive."""
+    minimum, step = lot_rule(code)
+    shares = F.floor(F.try_divide(budget, price) + 1e-10)
+    return F.coalesce(F.when((budget > 0) & (price > 0) & (shares >= minimum), shares - shares % step), F.lit(0))
+
+
+def sell_quantity(requested: Column, holding: Column, code: Column) -> Column:
+    """Shares of a sale in whole steps; a whole holding goes with its odd lot, a part below the minimum is 0."""
+    minimum, step = lot_rule(code)
+    shares = F.least(F.floor(requested), holding)
+    part = F.when(shares >= minimum, shares - shares % step).otherwise(0)
+    return F.coalesce(F.when((requested > 0) & (holding > 0), F.when(shares == holding, shares).otherwise(part)), F.lit(0))
+
+
+def venue_fees(orders: DataFrame, schedule: DataFrame, commission: float = 0.0003, floor: float = 5.0) -> DataFrame:
+    """``fees`` where a venue can have a transfer rate of its own; days before the schedule's first period are refused (null fees).
+
+    ``orders`` (code, date, side, notional); ``schedule`` (valid_from, valid_to, stamp_rate, transfer_rate, beijing_rate) is a declared list of periods. The
+    total is rounded half up as a decimal.
+    """
+    valid = (F.col("date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("date") < F.col("valid_to")))
+    met = orders.join(F.broadcast(schedule), valid, "left")  # a row a period
+    amount, known = F.col("notional"), F.col("valid_from").isNotNull() & (F.col("notional") >= 0) & F.col("side").isin("buy", "sell")
+    rate = F.when(F.upper("code").endswith(".BJ"), F.col("beijing_rate")).otherwise(F.col("transfer_rate"))
+    parts = {"commission": F.when(amount == 0, 0.0).otherwise(F.greatest(F.lit(floor), amount * commission)), "stamp_duty": F.when(F.col("side") == "sell", amount * F.col("stamp_rate")).otherwise(0.0), "transfer_fee": amount * rate}
+    out = met.withColumns({n: F.when(known, c) for n, c in parts.items()})
+    exact = [F.col(n).cast("decimal(24,8)") for n in parts]
+    return out.withColumn("total", F.round(exact[0] + exact[1] + exact[2], 2)).drop(*schedule.columns)
