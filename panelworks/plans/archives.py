@@ -44,15 +44,23 @@ def request_gaps(spark, d):
 
 
 def drifting_partitions(spark, d):
-    """Orders of each year in a folder of their own, whose types and fields changed over the years."""
+    """Orders of some years in a folder of their own, whose types and fields changed over the years.
+
+    Rows whose customer does not fit a folder's type lie beside it in a folder with a wider one.
+    """
     root = _place(spark, "drift")
     orders = src.table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), "o_orderkey", F.floor("o_totalprice").alias("price"), F.col("o_custkey").alias("customer"), "o_orderstatus")
     years = {"early": "year <= 1996", "middle": "year IN (1997, 1998)", "late": "year >= 1999"}
     shapes = {"early": {"price": "float", "customer": "smallint"}, "middle": {"price": "double", "customer": "int"}, "late": {"price": "double", "customer": "bigint"}}
+    folders = []
     for name, when in years.items():
-        rows = orders.where(when).select("year", "o_orderkey", *(F.col(c).cast(t).alias(c) for c, t in shapes[name].items()), *(["o_orderstatus"] if name != "early" else []))
-        rows.write.parquet(f"{root}/{name}")
-    return ar.read_drifting(spark, [f"{root}/{n}" for n in years])
+        fits = F.col("customer").isNull() | F.col("customer").try_cast(shapes[name]["customer"]).isNotNull()
+        wide = {"price": "double", "customer": "bigint"}
+        for folder, shape, rows in ((name, shapes[name], orders.where(when).where(fits)), (f"{name}_wide", wide, orders.where(when).where(~fits))):
+            rows = rows.select("year", "o_orderkey", *(F.col(c).cast(t).alias(c) for c, t in shape.items()), *(["o_orderstatus"] if name != "early" else []))
+            rows.write.parquet(f"{root}/{folder}")
+            folders.append(f"{root}/{folder}")
+    return ar.read_drifting(spark, folders)
 
 
 def segmented_scan(spark, d):
