@@ -12,12 +12,9 @@ INPUTS = ("momentum_60", "momentum_5", "volatility_20", "adv20_amount")
 
 
 def ranks(factors: DataFrame, columns=INPUTS) -> DataFrame:
-    """Percentile ranks of eligible rows per date. Long form: one window for all columns, pivoted back by a groupBy."""
+    """Percentile ranks of eligible rows per date: one exchange by date, and a sort for each column."""
     ok = factors.where("status = 'ok'").select("date", "security_id", *columns)
-    pairs = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns))
-    long = ok.select("date", "security_id", F.explode(pairs).alias("x")).select("date", "security_id", "x.*")
-    long = long.withColumn("rank", average_rank(F.col("value"), "date", "feature"))
-    return long.groupBy("date", "security_id").agg(*(F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in columns))
+    return ok.select("date", "security_id", *(average_rank(F.col(c), "date").alias(c) for c in columns))
 
 
 def factor_score(ranked: DataFrame) -> DataFrame:
@@ -36,10 +33,10 @@ def winsorised(factors: DataFrame, column: str, width: float = 5 * 1.4826) -> Da
     return clipped.select("date", "security_id", F.when(F.coalesce(sd, F.lit(0.0)) == 0, 0.0).otherwise((F.col("x") - F.avg("x").over(w)) / sd).alias("z"))
 
 
-def examples(factors: DataFrame) -> DataFrame:
-    """A row per horizon: date, security_id, status, horizon, fwd_return, label_end."""
+def examples(factors: DataFrame, *more: str) -> DataFrame:
+    """A row per horizon: date, security_id, status, horizon, fwd_return, label_end, and the columns ``more``."""
     each = F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_return_{h}").alias("fwd_return"), F.col(f"label_end_{h}").alias("label_end")) for h in HORIZONS))
-    return factors.select("date", "security_id", "status", F.explode(each).alias("x")).select("date", "security_id", "status", "x.*")
+    return factors.select("date", "security_id", "status", *more, F.explode(each).alias("x")).select("date", "security_id", "status", "x.*", *more)
 
 
 def rank_targets(rows: DataFrame, least: int = 20) -> DataFrame:

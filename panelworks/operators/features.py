@@ -103,7 +103,7 @@ def price_factors(panel: DataFrame, days: DataFrame, least_adv: float = 0.0) ->
     )
     status = F.when(~F.col("valid") | F.col("close").isNull(), "data_issue").when(~F.col("quoted"), "no_trade_quote")
     status = status.when(F.col("adv20_amount") < least_adv, "below_liquidity_floor").when(F.col("history_sessions") < 60, "insufficient_history").otherwise("ok")
-    return out.withColumn("status", status).drop("valid").join(label_ends(days), "pos")
+    return out.withColumn("status", status).drop("valid").join(F.broadcast(label_ends(days)), "pos")  # a row a session
 
 
 def market_returns(factors: DataFrame, days: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ _FEE_PERIODS = [("1992-01-01", "1996-08-28", 0.001, 0.00002), ("1996-08-28", "19
 
 
 def _panel(spark, d):
-    return materialised(spark, d, "panel", lambda: src.dense_panel(src.weekly_bars(spark, d)))
+    return materialised(spark, d, "panel", lambda: src.panel(spark, d))
 
 
 def forward_adjusted(spark, d):

@@ -95,7 +95,7 @@ def completed_partitions(spark, d):
 
 
 def _indexes(spark, d):
-    panel = materialised(spark, d, "panel", lambda: src.dense_panel(src.weekly_bars(spark, d)))
+    panel = materialised(spark, d, "panel", lambda: src.panel(spark, d))
     group = F.col("security_id") % 3
     quotes = panel.where("quoted AND (security_id + pos) % 5 <> 0").groupBy(group.alias("index"), "date").agg(F.round(F.avg("close"), 4).alias("close"))
     off = quotes.withColumn("date", F.date_add("date", 1))  # days that are no sessions

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from panelworks.operators import books as bk
 from panelworks.operators import cross_section as xs
 from panelworks.operators import shaping as sh
-from panelworks.plans.panel import _FACTORS, _RANKS, _days, _factors, _rounded
+from panelworks.plans.panel import _FACTORS, _RANKS, _core, _days, _rounded
 from panelworks.sources import tables as src
 
 _NAMES = 5
 
 
 def _monthly(spark, d):
-    factors = _factors(spark, d)
+    factors = _core(spark, d)
     calendar = _days(spark, d)
     ends = sh.month_ends(calendar)
     scores = xs.factor_score(xs.ranks(factors.join(F.broadcast(ends), "date"))).select("date", "security_id", F.round("score", 9).alias("score"))  # one row a month
@@ -126,14 +126,14 @@ def constraint_audit(spark, d):
 
 
 def signal_sheet(spark, d):
-    factors = _factors(spark, d)
+    factors = _core(spark, d)
     ends = sh.month_ends(_days(spark, d))
     scores = xs.factor_score(xs.ranks(factors.join(F.broadcast(ends), "date"))).select("date", "security_id", "score")
     return _rounded(bk.signal_sheet(scores, _NAMES), 6)
 
 
 def cohort_book(spark, d):
-    return _rounded(bk.cohort_book(_factors(spark, d).select("date", "security_id", "status")), 8)
+    return _rounded(bk.cohort_book(_core(spark, d).select("date", "security_id", "status")), 8)
 
 
 _CHECKS = {"yearly_excess": ("min", 0.02), "information_ratio": ("min", 0.5), "monthly_win": ("min", 0.5), "yearly_turnover": ("max", 7.0), "months": ("min", 12.0)}

@@ -14,7 +14,7 @@ _KNOWN_FROM = "1994-01-01"
 
 
 def _panel(spark, d):
-    return materialised(spark, d, "panel", lambda: src.dense_panel(src.weekly_bars(spark, d)))
+    return materialised(spark, d, "panel", lambda: src.panel(spark, d))
 
 
 def daily_versions(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelworks.operators import cross_section as xs
 from panelworks.operators import evaluation as ev
 from panelworks.operators import models as md
-from panelworks.plans.panel import _EXAMPLES, _FACTORS, _RANKS, _factors, _rank, _rounded, _squashed
+from panelworks.plans.panel import _EXAMPLES, _FACTORS, _RANKS, _core, _rank, _rounded, _squashed
 from panelworks.sources.store import materialised
 
 _WEIGHTS = {"momentum_60": 0.25, "momentum_5": -0.25, "volatility_20": -0.25, "adv20_amount": 0.25}
@@ -19,10 +19,9 @@ def _scored(spark, d):
     """Scored examples, written once per session and input folder."""
 
     def make():
-        factors = _factors(spark, d)
+        factors = _core(spark, d)
         scores = xs.factor_score(xs.ranks(factors)).where("score IS NOT NULL").select("date", "security_id", F.round("score", 9).alias("score"))
-        scale = factors.select("date", "security_id", (F.col("volatility_20") / 252**0.5).alias("sigma"))
-        rows = xs.examples(factors).join(scores, ["date", "security_id"]).join(scale, ["date", "security_id"])
+        rows = xs.examples(factors.withColumn("sigma", F.col("volatility_20") / 252**0.5).join(scores, ["date", "security_id"]), "score", "sigma")
         return rows.where("fwd_return IS NOT NULL AND sigma > 0").withColumn("scale", F.col("sigma") * F.sqrt("horizon"))
 
     return materialised(spark, d, "scored", make)
@@ -46,12 +45,11 @@ def _forecasts(spark, d):
 
 
 def _candidates(spark, d):
-    factors = _factors(spark, d)
+    factors = _core(spark, d)
     ranked = xs.factor_score(xs.ranks(factors)).select("date", "security_id", "score")
-    wide = factors.select("date", "security_id", "momentum_60", "near_high_252").join(ranked, ["date", "security_id"])
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.round(k, 9).alias("score")) for k in _KINDS))
-    long = wide.select("date", "security_id", F.explode(kinds).alias("x")).select("date", "security_id", "x.*")
-    return xs.examples(factors).where("fwd_return IS NOT NULL").select("date", "security_id", "horizon", "fwd_return").join(long, ["date", "security_id"])
+    rows = xs.examples(factors.join(ranked, ["date", "security_id"]).withColumn("kinds", kinds), "kinds").where("fwd_return IS NOT NULL")
+    return rows.select("date", "security_id", "horizon", "fwd_return", F.explode("kinds").alias("x")).select("date", "security_id", "horizon", "fwd_return", "x.*")
 
 
 def affine_fit(spark, d):
@@ -71,7 +69,7 @@ def task_statuses(spark, d):
 
 
 def contributions(spark, d):
-    return _rounded(md.contributions(xs.ranks(_factors(spark, d)), _WEIGHTS))
+    return _rounded(md.contributions(xs.ranks(_core(spark, d)), _WEIGHTS))
 
 
 def walk_forward(spark, d):
@@ -80,7 +78,7 @@ def walk_forward(spark, d):
 
 
 def ridge_scores(spark, d):
-    factors = _factors(spark, d)
+    factors = _core(spark, d)
     targets = xs.rank_targets(xs.examples(factors)).where("horizon = 20").select("date", "security_id", "label_end", "target")
     rows = xs.ranks(factors).join(targets, ["date", "security_id"], "left")
     fit = md.ridge(rows.where(f"label_end < DATE '{_SPLIT}'").withColumn("weight", F.lit(1.0)), list(xs.INPUTS), "target", 100.0)
@@ -128,7 +126,7 @@ def release_gates(spark, d):
 
 
 def status_coverage(spark, d):
-    return ev.status_coverage(xs.examples(_factors(spark, d)), _AS_OF)
+    return ev.status_coverage(xs.examples(_core(spark, d)), _AS_OF)
 
 
 QUERIES = {f.__name__: f for f in (affine_fit, forecasts, task_statuses, contributions, walk_forward, ridge_scores, probability_skill, calibration_equal, calibration_error, interval_quality, bootstrap_ic, candidate_table, paired_ic, nested_selection, release_gates, status_coverage)}

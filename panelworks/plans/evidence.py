@@ -15,7 +15,7 @@ from panelworks.sources.store import materialised, shared_folder
 
 
 def _panel(spark, d):
-    return materialised(spark, d, "panel", lambda: src.dense_panel(src.weekly_bars(spark, d)))
+    return materialised(spark, d, "panel", lambda: src.panel(spark, d))
 
 
 def dated_evidence(spark, d):

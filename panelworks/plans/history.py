@@ -29,7 +29,7 @@ def _versions(spark, d):
 
 
 def _panel(spark, d):
-    return materialised(spark, d, "panel", lambda: src.dense_panel(src.weekly_bars(spark, d)))
+    return materialised(spark, d, "panel", lambda: src.panel(spark, d))
 
 
 def history_asof(spark, d):

@@ -11,7 +11,7 @@ from panelworks.operators import intake as it
 from panelworks.operators import pointintime as pit
 from panelworks.operators import shaping as sh
 from panelworks.plans.books import _BOOK
-from panelworks.plans.panel import _EXAMPLES, _FACTORS, _PANEL, _days, _factors, _panel, _rank, _rounded, _squashed, _versions
+from panelworks.plans.panel import _EXAMPLES, _FACTORS, _PANEL, _core, _days, _factors, _panel, _rank, _rounded, _squashed, _versions
 from panelworks.plans.quality import _T, _bars
 from panelworks.sources import tables as src
 
@@ -99,14 +99,14 @@ def momentum_scores(spark, d):
 
 
 def input_legality(spark, d):
-    factors = _factors(spark, d)
+    factors = _core(spark, d)
     rows = factors.select("date", "security_id", "status", (F.col("volatility_20") / 252**0.5).alias("sigma"), *xs.INPUTS[:2], F.explode(F.array(*(F.lit(h) for h in (*fe.HORIZONS, 250)))).alias("horizon"))
     found = it.legality(rows, list(xs.INPUTS[:2]), fe.HORIZONS)
     return found.groupBy("date", "horizon", "legal", "reasons").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def session_labels(spark, d):
-    factors, calendar = _factors(spark, d), _days(spark, d)
+    factors, calendar = _core(spark, d), _days(spark, d)
     ends = sh.month_ends(calendar)
     names = factors.select("date", "security_id").join(ends, "date")
     found = bk.interval_returns(names, factors.select("security_id", "date", "close"), bk.signal_intervals(ends, calendar))

@@ -10,7 +10,7 @@ from panelworks.operators import features as fe
 from panelworks.operators import pointintime as pit
 from panelworks.operators import shaping as sh
 from panelworks.sources import tables as src
-from panelworks.sources.store import materialised
+from panelworks.sources.store import held, materialised
 
 FLAGSHIP = "factor_ranks"
 
@@ -29,7 +29,7 @@ def _squashed(column):
 
 
 def _days(spark, d):
-    return materialised(spark, d, "days", lambda: src.calendar(src.weekly_bars(spark, d)))
+    return materialised(spark, d, "days", lambda: src.calendar(src.bar_keys(spark, d)))
 
 
 def _panel(spark, d):
@@ -38,7 +38,7 @@ def _panel(spark, d):
         "quote_present": F.col("quoted") & ((F.col("security_id") * 5 + F.col("pos")) % 89 != 0),
         "data_valid": F.when(F.col("quoted"), (F.col("security_id") * 7 + F.col("pos")) % 97 != 0),
     }
-    return src.dense_panel(src.weekly_bars(spark, d)).withColumns(flags)
+    return src.panel(spark, d).withColumns(flags)
 
 
 def _factors(spark, d):
@@ -46,10 +46,20 @@ def _factors(spark, d):
     return materialised(spark, d, "factors", lambda: fe.price_factors(_panel(spark, d), _days(spark, d), _LEAST_ADV))
 
 
+_CORE = ("security_id", "date", "pos", "quoted", "close", "amount", *xs.INPUTS, "near_high_252", "status", *(f"fwd_return_{h}" for h in fe.HORIZONS), *(f"label_end_{h}" for h in fe.HORIZONS))
+
+
+def _core(spark, d):
+    """The few factors that scores, labels and books need, without the windows of the others; from the whole table where that is written."""
+    if held(spark, d, "factors"):
+        return _factors(spark, d).select(*_CORE)
+    return materialised(spark, d, "core", lambda: fe.price_factors(_panel(spark, d), _days(spark, d), _LEAST_ADV).select(*_CORE))
+
+
 def _predictions(spark, d):
-    factors = _factors(spark, d)
+    factors = _core(spark, d)
     scores = xs.factor_score(xs.ranks(factors)).select("date", "security_id", "score")
-    return xs.examples(factors).join(scores, ["date", "security_id"]), scores
+    return xs.examples(factors.join(scores, ["date", "security_id"]), "score"), scores
 
 
 def weekly_bars(spark, d):
@@ -57,7 +67,7 @@ def weekly_bars(spark, d):
 
 
 def dense_panel(spark, d):
-    return _rounded(src.dense_panel(src.weekly_bars(spark, d)).select("security_id", "date", "pos", "close", "quoted"))
+    return _rounded(src.panel(spark, d).select("security_id", "date", "pos", "close", "quoted"))
 
 
 def price_factors(spark, d):
@@ -80,7 +90,7 @@ def feature_coverage(spark, d):
 
 
 def factor_ranks(spark, d):
-    return _rounded(xs.factor_score(xs.ranks(_factors(spark, d))))
+    return _rounded(xs.factor_score(xs.ranks(_core(spark, d))))
 
 
 def winsorised_momentum(spark, d):
@@ -88,11 +98,11 @@ def winsorised_momentum(spark, d):
 
 
 def rank_targets(spark, d):
-    return _rounded(xs.rank_targets(xs.examples(_factors(spark, d))).select("date", "security_id", "horizon", "target"))
+    return _rounded(xs.rank_targets(xs.examples(_core(spark, d))).select("date", "security_id", "horizon", "target"))
 
 
 def purged_split(spark, d):
-    parts = xs.purged_split(xs.examples(_factors(spark, d)), "1998-01-05", "2000-01-03")
+    parts = xs.purged_split(xs.examples(_core(spark, d)), "1998-01-05", "2000-01-03")
     return parts.groupBy("horizon", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("label_end").alias("last_label"))
 
 

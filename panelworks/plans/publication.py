@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelworks.operators import cross_section as xs
 from panelworks.operators import quality as ql
 from panelworks.plans import refresh as rf
-from panelworks.plans.panel import _EXAMPLES, _FACTORS, _LEAST_ADV, _RANKS, _days, _factors, _panel, _rounded, _versions
+from panelworks.plans.panel import _EXAMPLES, _FACTORS, _LEAST_ADV, _RANKS, _core, _days, _panel, _rounded, _versions
 from panelworks.sources import publish as pb
 from panelworks.sources import tables as src
 from panelworks.sources.store import materialised, shared_folder
@@ -53,7 +53,7 @@ def published_snapshots(spark, d):
 
 def training_snapshot(spark, d):
     """Examples with their label patches as a version; the entry counts the patched, by horizon, beside what was written."""
-    rows = xs.examples(_factors(spark, d))
+    rows = xs.examples(_core(spark, d))
     patches = rows.where("security_id % 6 = 0").select("date", "security_id", "horizon", F.when(F.col("security_id") % 12 == 0, F.col("label_end")).alias("label_end"), (F.col("horizon") / 100).alias("new_fwd_return"))
     root, horizons = _place(spark, "training"), (1, 5, 20, 60)
     facts = {f"patched_{h}": f"count_if(patched AND horizon = {h})" for h in horizons}

@@ -8,7 +8,7 @@ from panelworks.operators import cross_section as xs
 from panelworks.operators import pointintime as pit
 from panelworks.operators import quality as ql
 from panelworks.operators import shaping as sh
-from panelworks.plans.panel import _BARS, _EXAMPLES, _FACTORS, _PANEL, _days, _factors, _rounded
+from panelworks.plans.panel import _BARS, _EXAMPLES, _FACTORS, _PANEL, _core, _days, _rounded
 from panelworks.sources import tables as src
 
 _T = "((date - DATE '1992-01-06') // 7)"
@@ -104,7 +104,7 @@ def appended_versions(spark, d):
 
 
 def label_patches(spark, d):
-    rows = xs.examples(_factors(spark, d)).drop("status")
+    rows = xs.examples(_core(spark, d)).drop("status")
     patches = rows.where("security_id % 6 = 0").select("date", "security_id", "horizon", F.when(F.col("security_id") % 12 == 0, F.col("label_end")).alias("label_end"), (F.col("horizon") / 100).alias("new_fwd_return"))
     return _rounded(ql.apply_label_patches(rows, patches), 6)
 

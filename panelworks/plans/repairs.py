@@ -33,7 +33,7 @@ _REQUESTED, _OFF = "(security_id + pos + horizon) % 3 <> 0", "(security_id + pos
 
 
 def _panel(spark, d):
-    return materialised(spark, d, "panel", lambda: src.dense_panel(src.weekly_bars(spark, d)))
+    return materialised(spark, d, "panel", lambda: src.panel(spark, d))
 
 
 def _cols(spec):

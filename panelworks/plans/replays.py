@@ -9,7 +9,7 @@ from panelworks.operators import cross_section as xs
 from panelworks.operators import replays as rp
 from panelworks.operators import shaping as sh
 from panelworks.plans.books import _BOOK, _NAMES
-from panelworks.plans.panel import _days, _factors, _rounded
+from panelworks.plans.panel import _core, _days, _rounded
 from panelworks.sources import tables as src
 from panelworks.sources.store import materialised
 
@@ -19,13 +19,13 @@ _CASH = 1e6
 
 def _replay(spark, d):
     """The first names of each month's sheet; security 1 stands in for the index; every seventh signal declares its own exit."""
-    factors, days = _factors(spark, d), _days(spark, d)
+    factors, days = _core(spark, d), _days(spark, d)
     ends = sh.month_ends(days)
     scores = xs.factor_score(xs.ranks(factors.join(F.broadcast(ends), "date"))).select("date", "security_id", "score")  # one row a month
     selected = bk.signal_sheet(scores, _NAMES).where("selected").select("date", "security_id", "place")
     at = days.select("date", "pos").join(ends, "date").join(days.select((F.col("pos") - 2).alias("pos"), F.col("date").alias("later")), "pos", "left")
     signals = at.select("date", F.when(F.col("pos") % 7 == 0, F.col("later")).alias("exit"))
-    raw = materialised(spark, d, "panel", lambda: src.dense_panel(src.weekly_bars(spark, d)))
+    raw = materialised(spark, d, "panel", lambda: src.panel(spark, d))
     index = raw.where("security_id = 1").select("date", "close")
     return rp.replayed_periods(selected, rp.period_groups(signals, days, _LAST), factors.select("security_id", "date", "close"), raw.where("(security_id + pos) % 11 <> 0"), index)
 

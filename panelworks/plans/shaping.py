@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from panelworks.functions import normal as nm
 from panelworks.operators import cross_section as xs
 from panelworks.operators import shaping as sh
-from panelworks.plans.panel import _EXAMPLES, _FACTORS, _PANEL, _RANKS, _days, _factors, _rank, _rounded
+from panelworks.plans.panel import _EXAMPLES, _FACTORS, _PANEL, _RANKS, _core, _days, _rank, _rounded
 from panelworks.sources import tables as src
 
 _AS_OF, _HALF_LIFE = "1999-12-31", 12.0
 
 
 def _month_rows(spark, d):
-    factors = _factors(spark, d)
+    factors = _core(spark, d)
     return factors.join(F.broadcast(sh.month_ends(_days(spark, d))), "date")  # one row a month
 
 
@@ -28,16 +28,16 @@ def monthly_targets(spark, d):
 
 
 def sampled_names(spark, d):
-    return sh.sampled(_factors(spark, d).where("status = 'ok'").select("date", "security_id"), 16)
+    return sh.sampled(_core(spark, d).where("status = 'ok'").select("date", "security_id"), 16)
 
 
 def example_weights(spark, d):
-    rows = xs.examples(_factors(spark, d)).where("fwd_return IS NOT NULL AND status = 'ok'").select("date", "security_id", "horizon")
+    rows = xs.examples(_core(spark, d)).where("fwd_return IS NOT NULL AND status = 'ok'").select("date", "security_id", "horizon")
     return _rounded(sh.recency_weights(sh.balanced_weights(rows, "date", "horizon"), _AS_OF, _HALF_LIFE))
 
 
 def completed_horizons(spark, d):
-    rows = xs.examples(_factors(spark, d)).where("fwd_return IS NOT NULL")
+    rows = xs.examples(_core(spark, d)).where("fwd_return IS NOT NULL")
     return _rounded(sh.complete_horizons(rows).select("date", "security_id", "horizon", "status", "fwd_return"), 6)
 
 
@@ -48,7 +48,7 @@ def smoothed_scores(spark, d):
 
 
 def relevance_deciles(spark, d):
-    rows = xs.examples(_factors(spark, d)).where("status = 'ok' AND fwd_return IS NOT NULL")
+    rows = xs.examples(_core(spark, d)).where("status = 'ok' AND fwd_return IS NOT NULL")
     return rows.select("date", "security_id", "horizon", sh.deciles(F.col("fwd_return"), "date", "horizon").alias("relevance"))
 
 

@@ -51,6 +51,11 @@ def materialised(spark: SparkSession, sf_dir: str, name: str, make: Callable[[],
     return spark.read.schema(schema).parquet(path)
 
 
+def held(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    """Whether this session has the table as the input folder now is."""
+    return (spark.sparkContext.applicationId, sf_dir, _input_state(spark, sf_dir), name) in _TABLES
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """Cuts lineage by a Parquet table in the shared folder."""
     path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -16,9 +16,19 @@ def scan_range(spark: SparkSession, path: str, start: str, end: str, columns: li
     return rows.select(*columns)
 
 
+def _traded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").where("l_quantity > 0")
+
+
+def bar_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(security_id, date) of the weekly bars, repeats included: what only needs these gathers no bars."""
+    return _traded(spark, sf_dir).select(F.col("l_suppkey").alias("security_id"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"))
+
+
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bar per supplier and week of shipping; the price is the extended price per unit."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 0")
+    rows = _traded(spark, sf_dir).select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    rows = rows.repartition("l_suppkey")  # hardly two rows of a bar lie together, so rows are dealt instead of partial bars
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     return (
@@ -40,15 +50,23 @@ def calendar(bars: DataFrame) -> DataFrame:
     return days.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("pos"))
 
 
-def dense_panel(bars: DataFrame) -> DataFrame:
+def dense_panel(bars: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Every session from a security's first to its last bar; ``quoted`` tells whether a bar is there.
 
-    Only equi-joins: first and last dates become positions, whose sequence is unfolded and named by the calendar.
+    Each bar is unfolded up to the session before the security's next one, so bars are dealt by security once and the
+    windows over its sessions need no other exchange. ``keys`` are the keys of the bars (repeats do no harm), where they are cheaper
+    to have than from the bars.
     """
-    days = calendar(bars)
-    spans = bars.groupBy("security_id").agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    for side in ("first", "last"):
-        spans = spans.join(days.select(F.col("date").alias(side), F.col("pos").alias(f"{side}_pos")), side)
-    grid = spans.select("security_id", F.explode(F.sequence("first_pos", "last_pos")).alias("pos")).join(days, "pos")
-    panel = grid.select("security_id", "date", "pos").join(bars, ["security_id", "date"], "left")
-    return panel.withColumn("quoted", F.col("close").isNotNull())
+    days = F.broadcast(calendar(bars if keys is None else keys))  # a row a session
+    own = Window.partitionBy("security_id").orderBy("pos")
+    spans = bars.join(days, "date").withColumn("_until", F.greatest(F.lead("pos").over(own) - 1, F.col("pos")))
+    grid = spans.withColumn("_at", F.explode(F.sequence("pos", "_until")))
+    here = (F.col("_at") == F.col("pos")) & F.col("security_id").isNotNull()
+    values = [c for c in bars.columns if c not in ("security_id", "date")]
+    panel = grid.select("security_id", F.col("_at").alias("pos"), *(F.when(here, F.col(c)).alias(c) for c in values)).join(days, "pos")
+    return panel.select("security_id", "date", "pos", *values).withColumn("quoted", F.col("close").isNotNull())
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense panel of the weekly bars."""
+    return dense_panel(weekly_bars(spark, sf_dir), bar_keys(spark, sf_dir))
