@@ -44,10 +44,10 @@ def _tables(spark, d):
     """(bars, evidence, features, requests): the facts of a repair, by the rules above."""
     panel, days = _panel(spark, d), _days(spark, d)
     bars = panel.selectExpr(*_cols(_BARS))
-    dates = days.select(F.col("pos").alias("anchor_pos"), F.col("date").alias("anchor"))
+    dates = F.broadcast(days.select(F.col("pos").alias("anchor_pos"), F.col("date").alias("anchor")))  # a row a session, as ends
     proof = panel.where(_HAS_PROOF).selectExpr(*_cols(_PROOF)).join(dates, "anchor_pos", "left").drop("anchor_pos")
     each = panel.select("*", F.explode(F.array(*map(F.lit, rp.HORIZONS))).alias("horizon"))
-    ends = days.select(F.col("pos").alias("end_pos"), F.col("date").alias("label_end"))
+    ends = F.broadcast(days.select(F.col("pos").alias("end_pos"), F.col("date").alias("label_end")))
     each = each.selectExpr("security_id", "date", "pos", "horizon", *_cols(_FEATURE), f"{_BARS['close']} AS close", f"{_BARS['raw_close']} AS raw_close", f"CAST({_FX} AS DOUBLE) AS fx", f"{_REQUESTED} AS asked", f"{_OFF} AS off", f"{_HAS_FEATURE} AS there")
     each = each.withColumn("end_pos", F.col("pos") + F.col("horizon")).join(ends, "end_pos", "left")
     features = each.where("there").selectExpr("date", "security_id", "horizon", "fwd_return", "CASE WHEN moved THEN date_add(label_end, 7) ELSE label_end END AS label_end", "status", "CASE WHEN noisy THEN close + 1 ELSE close END AS close", "raw_close", "fx")
