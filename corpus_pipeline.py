@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    """One document of each near-duplicate group: SimHash fingerprints of five-word shingles, min-hashes for what they miss, similarity 0.8."""
     return simhash.keep_first_of_each(docs)
 
 

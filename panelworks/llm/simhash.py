@@ -143,18 +143,21 @@ def _bands(least: np.ndarray) -> np.ndarray:
 
 
 def _word_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, bands, sketch): a 128-bit hash of the text's words, its min-hash bands, its min-hash sketch."""
+    """(doc_id, same, fp, bands, sketch): a 128-bit hash of the text's words, its fingerprint of five-word shingles, its min-hash
+    bands with the fingerprint as one more, its min-hash sketch."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             found = texts(batch)
             same = [xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split())) for t in found]
             minima = [_minima(t) for t in found]
+            fps = np.array([fingerprint(t, DEDUP_SHINGLE) for t in found], np.uint64).view(np.int64).tolist()
             longs = pa.list_(pa.int64())
-            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array([_bands(m).tolist() for m in minima], longs), pa.array([_signs(m).tolist() for m in minima], longs)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "bands", "sketch"])
+            bands = pa.array([[*_bands(m).tolist(), fp] for m, fp in zip(minima, fps)], longs)
+            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), bands, pa.array([_signs(m).tolist() for m in minima], longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "fp", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, fp long, bands array<long>, sketch array<long>")
 
 
 def _shingle_set(text: str | None) -> set[bytes]:
@@ -170,25 +173,40 @@ def _ids_first(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def near_duplicate_links(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) of doc_ids: different texts with a Jaccard similarity of their five-word shingles of ``similarity`` or more.
 
-    Candidates: texts that share one of BANDS bands of min-hashes, and whose min-hash sketches differ in at most
-    SKETCH_RADIUS bits; both depend on the similarity alone, not on where the texts differ. Every candidate is verified
-    on whole texts. First each text meets the first text of its bands, which joins large groups of near copies; then all
-    texts that share a band meet unless links join them already, so the links give the components of all pairs.
+    Candidates: texts whose SimHash fingerprints differ in at most RADIUS bits (multi-index hashing, as ``hamming_links`` does
+    it), and, since a similarity of 0.8 can turn more bits, texts that share one of BANDS bands of min-hashes and whose min-hash
+    sketches differ in at most SKETCH_RADIUS bits; these depend on the similarity alone, not on where the texts differ. Every candidate is
+    verified on whole texts. First each text meets the first text near its fingerprint and of its bands, which joins large groups
+    of near copies; then all candidates meet unless links join them already, so the links give the components of all pairs.
     """
-    one = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
+    one = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
     one = durable(one.drop("same"))
+    near = durable(_near_prints(one))
+    one = one.drop("fp")
     sketches = one.select("doc_id", "sketch")
     cells = one.select("doc_id", F.posexplode("bands").alias("band", "cell"))
     leads = cells.groupBy("cell").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last")
     cells = durable(cells.join(leads, "cell"))
     star = cells.where("lead < doc_id").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
-    star = star.join(sketches.toDF("a", "sketch"), "a").join(sketches.toDF("b", "sketch_b"), "b").where(_differing() <= SKETCH_RADIUS)
+    star = star.join(sketches.toDF("a", "sketch"), "a").join(sketches.toDF("b", "sketch_b"), "b").where(_differing() <= SKETCH_RADIUS).select("a", "b")
+    star = star.unionByName(near.groupBy("a").agg(F.min("b").alias("b")))
     some = durable(_verified(docs, star.select("a", "b", F.col("b").alias("g")), similarity))
     ends = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     classes = min_labels(some, ends.withColumn("label", F.col("node")))
     cells = cells.drop("lead").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     cells = durable(cells.select("cell", "band", "doc_id", F.coalesce("label", "doc_id").alias("known")))
-    return some.unionByName(_verified(docs, _band_mates(cells, one), similarity))
+    for c in ("a", "b"):
+        near = near.join(classes.toDF(c, f"known_{c}"), c, "left").withColumn(f"known_{c}", F.coalesce(f"known_{c}", c))
+    apart = near.where("known_a <> known_b").select("a", "b", F.col("known_b").alias("g"))
+    return some.unionByName(_verified(docs, _band_mates(cells, one).unionByName(apart), similarity))
+
+
+def _near_prints(one: DataFrame) -> DataFrame:
+    """(a, b), a > b: the first texts of different fingerprints that differ in at most RADIUS bits. Equal ones meet as a band."""
+    firsts = one.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    links = hamming_links(firsts.select("fp")).withColumnsRenamed({"a": "fp_a", "b": "fp_b"})
+    met = links.join(firsts.toDF("fp_a", "x"), "fp_a").join(firsts.toDF("fp_b", "y"), "fp_b")
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
 def _differing():
@@ -208,7 +226,7 @@ def _band_mates(cells: DataFrame, one: DataFrame) -> DataFrame:
     homes = rows.select("cell", F.col("doc_id").alias("b"), F.col("known").alias("known_b"), F.col("sketch").alias("sketch_b"), F.col("bands").alias("bands_b"), "side")
     once = (F.col("side") == 1) | (F.col("a") < F.col("b"))
     earlier = F.lit(False)
-    for i in range(BANDS - 1):
+    for i in range(BANDS):  # the fingerprint is the last
         earlier |= (F.col("band") > i) & (F.col("bands")[i] == F.col("bands_b")[i])
     met = probes.join(homes, "cell").where(once & (F.col("known") != F.col("known_b")) & (_differing() <= SKETCH_RADIUS) & ~earlier)
     return met.select("a", "b", F.col("known_b").alias("g"))
