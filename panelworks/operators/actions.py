@@ -38,6 +38,7 @@ def back_adjusted(rows: DataFrame, events: DataFrame) -> DataFrame:
     """
     daily = events.groupBy("security_id", F.col("ex_date").alias("date")).agg(F.sum(F.log("factor")).alias("step"), F.max(F.col("factor").isNull()).alias("open"))
     marks = rows.select("security_id", "date", "close", F.lit(1).alias("bar")).unionByName(daily.select("security_id", "date", "step", "open"), allowMissingColumns=True)
+    marks = marks.repartition("security_id")  # both windows, one exchange
     later = Window.partitionBy("security_id").orderBy(F.desc("date")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # events of the date itself do not change it, so its own steps are taken off again
     same = Window.partitionBy("security_id", "date")

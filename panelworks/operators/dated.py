@@ -42,7 +42,10 @@ def carried_forward(panel: DataFrame, facts: DataFrame, column: str) -> DataFram
     ``facts`` (security_id, date, column) is unique by key; days without a session take no part.
     """
     so_far = sessions().rowsBetween(Window.unboundedPreceding, 0)
-    met = panel.join(facts, ["security_id", "date"], "left").withColumn("at", F.when(F.col(column).isNotNull(), F.col("pos")))
+    day = Window.partitionBy("security_id", "date")
+    known = facts.select("security_id", "date", column).where("security_id IS NOT NULL AND date IS NOT NULL")
+    both = panel.withColumn("_bar", F.lit(1)).unionByName(known, allowMissingColumns=True).repartition("security_id")  # both windows, one exchange
+    met = both.withColumn(column, F.first(column, True).over(day)).where("_bar = 1").drop("_bar").withColumn("at", F.when(F.col(column).isNotNull(), F.col("pos")))
     return met.withColumns({column: F.last(column, True).over(so_far), "age": F.col("pos") - F.last("at", True).over(so_far)}).drop("at")
 
 
