@@ -28,3 +28,22 @@ def equal_bins(position, n, bins: int):
     size, longer = F.floor(n / bins), n % bins
     head = longer * (size + 1)
     return F.when(position <= head, F.ceil(position / (size + 1))).otherwise(longer + F.ceil((position - head) / F.greatest(size, F.lit(1)))).cast("int")
+
+
+def bin_sums(rows: DataFrame, keys: tuple[str, ...], value: str, ties: tuple[str, ...], summed: tuple[str, ...], bins: int, width: float) -> DataFrame:
+    """(keys, bin, n, ``summed``): counts and sums of ``bins`` equal runs by value, then ties, within each group of ``keys``.
+
+    A bucket of ``width`` that lies in one bin is added up where its rows are; only rows of buckets that an edge cuts, fewer than
+    ``bins`` a group, are sorted. Rows without a value are left out.
+    """
+    rows = rows.where(F.col(value).isNotNull()).withColumn("_bucket", F.floor(F.col(value) / width))
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in summed))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_base": F.coalesce(F.sum("n").over(before), F.lit(0)), "_n": F.sum("n").over(Window.partitionBy(*keys))})
+    first, last = (equal_bins(p, F.col("_n"), bins) for p in (F.col("_base") + 1, F.col("_base") + F.col("n")))
+    counts = counts.withColumns({"bin": first, "_last": last})
+    cut = counts.where("bin < _last").select(*keys, "_bucket", "_base", "_n")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(value, *ties)
+    placed = rows.join(F.broadcast(cut), [*keys, "_bucket"]).withColumn("bin", equal_bins(F.col("_base") + F.row_number().over(inside), F.col("_n"), bins))
+    parts = placed.select(*keys, "bin", F.lit(1).cast("long").alias("n"), *summed).unionByName(counts.where("bin = _last").select(*keys, "bin", "n", *summed))
+    return parts.groupBy(*keys, "bin").agg(*(F.sum(c).alias(c) for c in ("n", *summed)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelworks.functions.order import equal_bins, positions
+from panelworks.functions.order import bin_sums
 from panelworks.operators.cross_section import daily_ic
 from panelworks.operators.models import LEVELS, REJECTED
 
@@ -51,8 +51,8 @@ def task_coverage(common: DataFrame) -> DataFrame:
 
 
 def _calibration_error(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    placed = positions(rows.select(*keys, "date", "security_id", "probability_up", "up"), keys, "probability_up", ("date", "security_id"), 1e-3)
-    bins = placed.withColumn("bin", equal_bins(F.col("position"), F.col("n"), 10)).groupBy(*keys, "bin").agg(F.avg("probability_up").alias("p"), F.avg("up").alias("o"), F.count(F.lit(1)).alias("n"))
+    bins = bin_sums(rows.select(*keys, "date", "security_id", "probability_up", "up"), keys, "probability_up", ("date", "security_id"), ("probability_up", "up"), 10, 1e-5)
+    bins = bins.select(*keys, "n", (F.col("probability_up") / F.col("n")).alias("p"), (F.col("up") / F.col("n")).alias("o"))
     return bins.groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("p") - F.col("o"))) / F.sum("n")).alias("ece"))
 
 

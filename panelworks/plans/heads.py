@@ -15,7 +15,7 @@ _YEARS, _CUTOFF, _WIDTH = [1996, 1997], "1998-06-01", 0.8
 
 
 def _models(spark, d):
-    """Stand-ins of three candidates: their outputs are functions of the scored examples, their failures of the security."""
+    """Stand-ins of three candidates with their common samples, gathered by key once: their outputs are functions of the scored examples, their failures of the security."""
 
     def make():
         y = F.round(F.col("fwd_return") / (1 + F.abs("fwd_return")), 9)
@@ -23,7 +23,7 @@ def _models(spark, d):
         rows = _scored(spark, d).select("date", "security_id", "horizon", "label_end", y.alias("fwd_return"), F.col("score").alias("s"), F.explode(kinds).alias("m")).select("*", "m.*")
         point = F.round(0.02 * F.col("k") * F.col("s"), 9)
         failed = F.lit("insufficient_model_inputs")
-        return rows.select(
+        found = rows.select(
             "kind", "date", "security_id", "horizon", "label_end", "fwd_return", F.round(F.col("s") * F.col("k") + 0.01 * (F.col("security_id") % F.col("c")), 9).alias("score"),
             F.round(0.5 + F.col("k") * (1 / (1 + F.exp(-0.1 * F.col("s"))) - 0.5), 9).alias("probability_up"), F.lit(0.52).alias("baseline_probability"), point.alias("expected_return"),
             (point - _WIDTH).alias("q10"), point.alias("q50"), (point + _WIDTH).alias("q90"), F.lit(-0.9).alias("baseline_q10"), F.lit(0.1).alias("baseline_q50"), F.lit(0.9).alias("baseline_q90"),
@@ -32,24 +32,21 @@ def _models(spark, d):
             F.when((F.col("security_id") % 19 == 4) & (F.col("horizon") == 5) & (F.col("kind") == "blend"), "invalid_quantile_order").when(F.col("security_id") % 17 == F.col("j"), failed).otherwise("ok").alias("interval_status"),
             F.when(F.col("security_id") % 7 == F.col("j"), failed).otherwise("ok").alias("return_status"),
         )
+        return hd.common_samples(found, len(_MODELS), _CUTOFF)
 
     return materialised(spark, d, "models", make)
 
 
-def _common(spark, d):
-    return hd.common_samples(_models(spark, d), len(_MODELS), _CUTOFF)
-
-
 def task_coverage(spark, d):
-    return hd.task_coverage(_common(spark, d))
+    return hd.task_coverage(_models(spark, d))
 
 
 def component_metrics(spark, d):
-    return _rounded(hd.component_metrics(_common(spark, d)), 6)
+    return _rounded(hd.component_metrics(_models(spark, d)), 6)
 
 
 def _heads(spark, d):
-    common = _common(spark, d)
+    common = _models(spark, d)
     return hd.choose_heads(hd.component_metrics(common), hd.task_coverage(common), list(_MODELS), _YEARS)
 
 
