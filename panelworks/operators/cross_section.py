@@ -9,12 +9,17 @@ from panelworks.functions.windows import average_rank
 from panelworks.operators.features import HORIZONS
 
 INPUTS = ("momentum_60", "momentum_5", "volatility_20", "adv20_amount")
+#: What ``examples`` reads of a row beside its key.
+LABELS = ("status", *(f"fwd_return_{h}" for h in HORIZONS), *(f"label_end_{h}" for h in HORIZONS))
 
 
-def ranks(factors: DataFrame, columns=INPUTS) -> DataFrame:
-    """Percentile ranks of eligible rows per date: one exchange by date, and a sort for each column."""
-    ok = factors.where("status = 'ok'").select("date", "security_id", *columns)
-    return ok.select("date", "security_id", *(average_rank(F.col(c), "date").alias(c) for c in columns))
+def ranks(factors: DataFrame, columns=INPUTS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Percentile ranks of eligible rows per date: one exchange by date, and a sort for each column.
+
+    Columns ``carried`` (no ranked ones) come along as they are, so that ranks need not meet their rows again.
+    """
+    ok = factors.where("status = 'ok'").select("date", "security_id", *columns, *carried)
+    return ok.select("date", "security_id", *(average_rank(F.col(c), "date").alias(c) for c in columns), *carried)
 
 
 def factor_score(ranked: DataFrame) -> DataFrame:
@@ -57,7 +62,13 @@ def daily_ic(predictions: DataFrame, least: int = 20, by: tuple[str, ...] = ("ho
     """Spearman correlation of score and outcome per group ``by`` and date on complete pairs, where both vary."""
     both = predictions.where("score IS NOT NULL AND fwd_return IS NOT NULL")
     ranked = both.select(*by, "date", average_rank(F.col("score"), *by, "date").alias("s"), average_rank(F.col("fwd_return"), *by, "date").alias("f"))
-    daily = ranked.groupBy(*by, "date").agg(F.corr("s", "f").alias("rank_ic"), F.count(F.lit(1)).alias("names"), (F.min("s") < F.max("s")).alias("vs"), (F.min("f") < F.max("f")).alias("vf"))
+    return correlations(ranked, least, by)
+
+
+def correlations(ranked: DataFrame, least: int = 20, by: tuple[str, ...] = ("horizon",)) -> DataFrame:
+    """Correlation of the ranks ``s`` and ``f`` per group ``by`` and date with ``least`` names or more, where both vary."""
+    ic = F.try_divide(F.covar_pop("s", "f"), F.stddev_pop("s") * F.stddev_pop("f"))  # corr itself fails where nothing varies
+    daily = ranked.groupBy(*by, "date").agg(ic.alias("rank_ic"), F.count(F.lit(1)).alias("names"), (F.min("s") < F.max("s")).alias("vs"), (F.min("f") < F.max("f")).alias("vf"))
     return daily.where((F.col("names") >= least) & F.col("vs") & F.col("vf")).drop("vs", "vf")
 
 
@@ -74,9 +85,12 @@ def top_n(scores: DataFrame, n: int) -> DataFrame:
     return scores.where("score IS NOT NULL").withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
 
 
-def book_returns(selected: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Equal-weight return of each date's book; null when any holding's outcome is missing."""
-    met = selected.join(outcomes.where("horizon = 1").select("date", "security_id", "fwd_return"), ["date", "security_id"], "left")
+def book_returns(selected: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """Equal-weight return of each date's book; null when any holding's outcome is missing.
+
+    Without ``outcomes`` the selected rows hold theirs as ``fwd_return``.
+    """
+    met = selected if outcomes is None else selected.join(outcomes.where("horizon = 1").select("date", "security_id", "fwd_return"), ["date", "security_id"], "left")
     return met.groupBy("date").agg(F.when(F.count("fwd_return") == F.count(F.lit(1)), F.avg("fwd_return")).alias("book_return"), F.count(F.lit(1)).alias("holdings"))
 
 

@@ -57,9 +57,7 @@ def _core(spark, d):
 
 
 def _predictions(spark, d):
-    factors = _core(spark, d)
-    scores = xs.factor_score(xs.ranks(factors)).select("date", "security_id", "score")
-    return xs.examples(factors.join(scores, ["date", "security_id"]), "score"), scores
+    return xs.examples(xs.factor_score(xs.ranks(_core(spark, d), carried=xs.LABELS)), "score")
 
 
 def weekly_bars(spark, d):
@@ -107,16 +105,16 @@ def purged_split(spark, d):
 
 
 def daily_ic(spark, d):
-    return _rounded(xs.daily_ic(_predictions(spark, d)[0]), 6)
+    return _rounded(xs.daily_ic(_predictions(spark, d)), 6)
 
 
 def ic_summary(spark, d):
-    return _rounded(xs.ic_summary(xs.daily_ic(_predictions(spark, d)[0])), 6)
+    return _rounded(xs.ic_summary(xs.daily_ic(_predictions(spark, d))), 6)
 
 
 def book_curve(spark, d):
-    rows, scores = _predictions(spark, d)
-    return _rounded(xs.curve(xs.book_returns(xs.top_n(scores, 5), rows)), 6)
+    scores = xs.factor_score(xs.ranks(_core(spark, d), carried=("fwd_return_1",)))
+    return _rounded(xs.curve(xs.book_returns(xs.top_n(scores, 5).withColumnRenamed("fwd_return_1", "fwd_return"))), 6)
 
 
 def _versions(spark, d):
