@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.order import equal_bins, positions
-from panelworks.operators.cross_section import daily_ic
+from panelworks.functions.windows import average_rank
+from panelworks.operators.cross_section import correlations
+from panelworks.sources.store import written
 
 
 def probability_skill(rows: DataFrame) -> DataFrame:
@@ -76,19 +78,38 @@ def block_bootstrap(series: DataFrame, value: str, reps: int = 2000, block: int
     return line.groupBy("horizon").agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("dates")).join(bounds, "horizon")
 
 
+def gathered_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates (kind, horizon, date, security_id, score, fwd_return) as a row a key, with ``all`` (kind, score)."""
+    return candidates.groupBy("horizon", "date", "security_id").agg(F.collect_set(F.struct("kind", "score")).alias("all"), F.max("fwd_return").alias("fwd_return"))
+
+
+def _scored_by_all(gathered: DataFrame, kinds: int) -> DataFrame:
+    scored = gathered.withColumn("all", F.filter("all", lambda one: one["score"].isNotNull()))
+    return scored.where(F.size("all") == kinds)
+
+
 def common_universe(candidates: DataFrame, kinds: int) -> DataFrame:
     """Rows (kind, horizon, date, security_id, score) of keys that every one of the ``kinds`` candidates scored."""
     keys = ["horizon", "date", "security_id"]
-    scored = candidates.where("score IS NOT NULL")
-    # equal keys meet once: the candidates' scores of a key are gathered and unfolded again
-    gathered = scored.groupBy(*keys).agg(F.collect_set(F.struct("kind", "score")).alias("all"), F.max("fwd_return").alias("fwd_return"))
-    whole = gathered.where(F.size("all") == kinds)
+    whole = _scored_by_all(gathered_candidates(candidates.where("score IS NOT NULL")), kinds)
     return whole.select(*keys, "fwd_return", F.explode("all").alias("one")).select(*keys, "fwd_return", "one.*")
 
 
+def gathered_ic(gathered: DataFrame, kinds: int, least: int = 20) -> DataFrame:
+    """Daily rank correlation of each candidate on keys that all ``kinds`` scored; rows (horizon, date, fwd_return, all), unique by key.
+
+    The outcomes' ranks are the same for all candidates, so they are made before the scores are unfolded.
+    """
+    whole = _scored_by_all(gathered.where("fwd_return IS NOT NULL").select("horizon", "date", "fwd_return", "all"), kinds)
+    ranked = whole.select("horizon", "date", "all", average_rank(F.col("fwd_return"), "horizon", "date").alias("f"))
+    long = ranked.select("horizon", "date", "f", F.explode("all").alias("one")).select("horizon", "date", "f", "one.*")
+    by = ("kind", "horizon")
+    return correlations(long.select(*by, "date", average_rank(F.col("score"), *by, "date").alias("s"), "f"), least, by)
+
+
 def candidate_ic(candidates: DataFrame, kinds: int) -> DataFrame:
-    """Daily rank correlation of each candidate on the common universe."""
-    return daily_ic(common_universe(candidates, kinds), by=("kind", "horizon"))
+    """Daily rank correlation of each candidate on the common universe; candidates as long rows."""
+    return gathered_ic(gathered_candidates(candidates.where("score IS NOT NULL")), kinds)
 
 
 def paired_difference(ic: DataFrame, a: str, b: str) -> DataFrame:
@@ -106,7 +127,8 @@ def ic_table(ic: DataFrame) -> DataFrame:
 
 def nested_selection(ic: DataFrame, order: dict[str, int]) -> DataFrame:
     """For each outer year the candidate with the best mean annual correlation in the years before; ties by the declared order."""
-    yearly = ic.groupBy("kind", "horizon", F.year("date").alias("year")).agg(F.avg("rank_ic").alias("annual"))
+    # read three times and a row a candidate, horizon and year: written, so the correlations are made once
+    yearly = written(ic.groupBy("kind", "horizon", F.year("date").alias("year")).agg(F.avg("rank_ic").alias("annual")), "yearly")
     inner = yearly.alias("i").join(yearly.select("horizon", F.col("year").alias("outer_year")).distinct().alias("o"), "horizon").where("year < outer_year")
     place = F.create_map(*(x for k, v in order.items() for x in (F.lit(k), F.lit(v))))[F.col("kind")]
     stats = inner.groupBy("horizon", "outer_year", "kind").agg(

@@ -19,9 +19,9 @@ def _scored(spark, d):
     """Scored examples, written once per session and input folder."""
 
     def make():
-        factors = _core(spark, d)
-        scores = xs.factor_score(xs.ranks(factors)).where("score IS NOT NULL").select("date", "security_id", F.round("score", 9).alias("score"))
-        rows = xs.examples(factors.withColumn("sigma", F.col("volatility_20") / 252**0.5).join(scores, ["date", "security_id"]), "score", "sigma")
+        factors = _core(spark, d).withColumn("sigma", F.col("volatility_20") / 252**0.5)
+        scores = xs.factor_score(xs.ranks(factors, carried=(*xs.LABELS, "sigma"))).where("score IS NOT NULL")
+        rows = xs.examples(scores.withColumn("score", F.round("score", 9)), "score", "sigma")
         return rows.where("fwd_return IS NOT NULL AND sigma > 0").withColumn("scale", F.col("sigma") * F.sqrt("horizon"))
 
     return materialised(spark, d, "scored", make)
@@ -44,12 +44,13 @@ def _forecasts(spark, d):
     return materialised(spark, d, "forecasts", make)
 
 
-def _candidates(spark, d):
-    factors = _core(spark, d)
-    ranked = xs.factor_score(xs.ranks(factors)).select("date", "security_id", "score")
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.round(k, 9).alias("score")) for k in _KINDS))
-    rows = xs.examples(factors.join(ranked, ["date", "security_id"]).withColumn("kinds", kinds), "kinds").where("fwd_return IS NOT NULL")
-    return rows.select("date", "security_id", "horizon", "fwd_return", F.explode("kinds").alias("x")).select("date", "security_id", "horizon", "fwd_return", "x.*")
+def _candidate_ic(spark, d):
+    """Daily correlations of the candidates, whose scores of a key lie in one row from the start."""
+    factors = _core(spark, d).withColumn("raw", F.col("momentum_60"))  # the rank takes its name
+    ranked = xs.factor_score(xs.ranks(factors, carried=(*xs.LABELS, "raw", "near_high_252")))
+    values = {k: F.round("raw" if k == "momentum_60" else k, 9) for k in _KINDS}
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("score")) for k, v in values.items()))
+    return ev.gathered_ic(xs.examples(ranked.withColumn("all", kinds), "all"), len(_KINDS))
 
 
 def affine_fit(spark, d):
@@ -107,15 +108,15 @@ def bootstrap_ic(spark, d):
 
 
 def candidate_table(spark, d):
-    return _rounded(ev.ic_table(ev.candidate_ic(_candidates(spark, d), len(_KINDS))), 6)
+    return _rounded(ev.ic_table(_candidate_ic(spark, d)), 6)
 
 
 def paired_ic(spark, d):
-    return _rounded(ev.paired_difference(ev.candidate_ic(_candidates(spark, d), len(_KINDS)), "score", "momentum_60"), 6)
+    return _rounded(ev.paired_difference(_candidate_ic(spark, d), "score", "momentum_60"), 6)
 
 
 def nested_selection(spark, d):
-    return _rounded(ev.nested_selection(ev.candidate_ic(_candidates(spark, d), len(_KINDS)), _KINDS), 6)
+    return _rounded(ev.nested_selection(_candidate_ic(spark, d), _KINDS), 6)
 
 
 def release_gates(spark, d):

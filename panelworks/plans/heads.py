@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelworks.operators import evaluation as ev
 from panelworks.operators import heads as hd
-from panelworks.plans.evaluation import _CAND, _KINDS, _SCORED, _candidates, _scored
+from panelworks.plans.evaluation import _CAND, _SCORED, _candidate_ic, _scored
 from panelworks.plans.panel import _rank, _rounded
 from panelworks.sources.store import materialised
 
@@ -59,7 +59,7 @@ def combined_forecasts(spark, d):
 
 
 def paired_interval(spark, d):
-    difference = ev.paired_difference(ev.candidate_ic(_candidates(spark, d), len(_KINDS)), "score", "momentum_60")
+    difference = ev.paired_difference(_candidate_ic(spark, d), "score", "momentum_60")
     return _rounded(ev.block_bootstrap(difference, "difference"), 6)
 
 
