@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.dates import on_days
+from panelworks.operators import cross_section as xs
 from panelworks.sources.store import written
 
 
@@ -124,6 +125,22 @@ def apply_label_patches(rows: DataFrame, patches: DataFrame) -> DataFrame:
     return met.withColumn("patched", fits).withColumn("fwd_return", F.when(F.col("patched"), F.col("_new")).otherwise(F.col("fwd_return"))).drop("_end", "_new")
 
 
+def patched_examples(factors: DataFrame, patches: DataFrame) -> DataFrame:
+    """The examples of ``factors`` (a row a date and security) with apply_label_patches done before horizons are unfolded.
+
+    A row meets its patches of all horizons once, so a quarter of the rows is dealt and sorted.
+    """
+    per = {h: F.col("horizon") == h for h in xs.HORIZONS}
+    wide = patches.groupBy("date", "security_id").agg(
+        *(F.max(F.when(at, F.col("label_end"))).alias(f"_end_{h}") for h, at in per.items()), *(F.max(F.when(at, F.col("new_fwd_return"))).alias(f"_new_{h}") for h, at in per.items())
+    )
+    met = factors.select("date", "security_id", *xs.LABELS).join(wide, ["date", "security_id"], "left")
+    fits = {h: F.col(f"fwd_return_{h}").isNull() & F.col(f"label_end_{h}").eqNullSafe(F.col(f"_end_{h}")) & F.col(f"_new_{h}").isNotNull() for h in xs.HORIZONS}
+    patched = F.create_map(*(x for h, fit in fits.items() for x in (F.lit(h), F.coalesce(fit, F.lit(False)))))
+    met = met.withColumns({"patched": patched} | {f"fwd_return_{h}": F.when(fit, F.col(f"_new_{h}")).otherwise(F.col(f"fwd_return_{h}")) for h, fit in fits.items()})
+    return xs.examples(met, "patched").withColumn("patched", F.col("patched")[F.col("horizon")])
+
+
 def violations(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
     """(rule, count): rows that break each rule, a boolean SQL expression that must hold; null breaks it."""
     each = F.array(*(F.struct(F.lit(n).alias("rule"), F.coalesce(F.expr(e), F.lit(False)).alias("holds")) for n, e in rules.items()))

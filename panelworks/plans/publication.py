@@ -53,11 +53,11 @@ def published_snapshots(spark, d):
 
 def training_snapshot(spark, d):
     """Examples with their label patches as a version; the entry counts the patched, by horizon, beside what was written."""
-    rows = xs.examples(_core(spark, d))
-    patches = rows.where("security_id % 6 = 0").select("date", "security_id", "horizon", F.when(F.col("security_id") % 12 == 0, F.col("label_end")).alias("label_end"), (F.col("horizon") / 100).alias("new_fwd_return"))
+    factors = _core(spark, d)
+    patches = xs.examples(factors.where("security_id % 6 = 0")).select("date", "security_id", "horizon", F.when(F.col("security_id") % 12 == 0, F.col("label_end")).alias("label_end"), (F.col("horizon") / 100).alias("new_fwd_return"))
     root, horizons = _place(spark, "training"), (1, 5, 20, 60)
     facts = {f"patched_{h}": f"count_if(patched AND horizon = {h})" for h in horizons}
-    entry = pb.publish(ql.apply_label_patches(rows, patches), root, "patched-1", ["date", "security_id", "horizon"], facts=facts, partitions=("horizon",))
+    entry = pb.publish(ql.patched_examples(factors, patches), root, "patched-1", ["date", "security_id", "horizon"], facts=facts, partitions=("horizon",))
     counted = F.create_map(*(x for h in horizons for x in (F.lit(h), F.lit(entry["facts"][f"patched_{h}"]))))
     out = pb.read(spark, root).groupBy("horizon").agg(F.count(F.lit(1)).alias("rows"), F.count_if("patched").alias("patched"), F.count("fwd_return").alias("labels"))
     return out.withColumn("entry_patched", counted[F.col("horizon")])

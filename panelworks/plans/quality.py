@@ -104,9 +104,9 @@ def appended_versions(spark, d):
 
 
 def label_patches(spark, d):
-    rows = xs.examples(_core(spark, d)).drop("status")
-    patches = rows.where("security_id % 6 = 0").select("date", "security_id", "horizon", F.when(F.col("security_id") % 12 == 0, F.col("label_end")).alias("label_end"), (F.col("horizon") / 100).alias("new_fwd_return"))
-    return _rounded(ql.apply_label_patches(rows, patches), 6)
+    factors = _core(spark, d)
+    patches = xs.examples(factors.where("security_id % 6 = 0")).select("date", "security_id", "horizon", F.when(F.col("security_id") % 12 == 0, F.col("label_end")).alias("label_end"), (F.col("horizon") / 100).alias("new_fwd_return"))
+    return _rounded(ql.patched_examples(factors, patches).drop("status"), 6)
 
 
 QUERIES = {f.__name__: f for f in (alias_closure, canonical_codes, reconciled_sources, fallback_source, gap_fills, universe_asof, listing_periods, observed_periods, reporting_currency, identity_classes, rule_violations, latest_versions, appended_versions, label_patches)}
