@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -62,6 +64,14 @@ def slices(batches, column: str, budget: int = 1 << 20):
             stop = max(start + 1, int(np.searchsorted(ends, base + budget, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    hand_back()
+
+
+def hand_back() -> None:
+    """Gives what this Python worker has freed back to the system: workers outlive tasks and stages, beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def free_name(columns: list[str], name: str) -> str:
