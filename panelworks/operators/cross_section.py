@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.windows import average_rank
@@ -13,13 +13,15 @@ INPUTS = ("momentum_60", "momentum_5", "volatility_20", "adv20_amount")
 LABELS = ("status", *(f"fwd_return_{h}" for h in HORIZONS), *(f"label_end_{h}" for h in HORIZONS))
 
 
-def ranks(factors: DataFrame, columns=INPUTS, carried: tuple[str, ...] = ()) -> DataFrame:
+def ranks(factors: DataFrame, columns=INPUTS, carried: tuple[str | Column, ...] = ()) -> DataFrame:
     """Percentile ranks of eligible rows per date: one exchange by date, and a sort for each column.
 
-    Columns ``carried`` (no ranked ones) come along as they are, so that ranks need not meet their rows again.
+    Columns ``carried`` (no ranked ones) come along as they are, so that ranks need not meet their rows again; expressions of
+    ranked columns are made from their values afterwards, and ``status`` is known, so neither is dealt and sorted.
     """
-    ok = factors.where("status = 'ok'").select("date", "security_id", *columns, *carried)
-    return ok.select("date", "security_id", *(average_rank(F.col(c), "date").alias(c) for c in columns), *carried)
+    ok = factors.where("status = 'ok'").select("date", "security_id", *columns, *(c for c in carried if isinstance(c, str) and c != "status"))
+    along = (F.lit("ok").alias(c) if isinstance(c, str) and c == "status" else c for c in carried)
+    return ok.select("date", "security_id", *(average_rank(F.col(c), "date").alias(c) for c in columns), *along)
 
 
 def factor_score(ranked: DataFrame) -> DataFrame:

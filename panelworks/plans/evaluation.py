@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelworks.operators import cross_section as xs
 from panelworks.operators import evaluation as ev
 from panelworks.operators import models as md
-from panelworks.plans.panel import _EXAMPLES, _FACTORS, _RANKS, _core, _rank, _rounded, _squashed
+from panelworks.plans.panel import _EXAMPLES, _FACTORS, _RANKS, _by_date, _core, _rank, _rounded, _squashed
 from panelworks.sources.store import materialised
 
 _WEIGHTS = {"momentum_60": 0.25, "momentum_5": -0.25, "volatility_20": -0.25, "adv20_amount": 0.25}
@@ -19,8 +19,8 @@ def _scored(spark, d):
     """Scored examples, written once per session and input folder."""
 
     def make():
-        factors = _core(spark, d).withColumn("sigma", F.col("volatility_20") / 252**0.5)
-        scores = xs.factor_score(xs.ranks(factors, carried=(*xs.LABELS, "sigma"))).where("score IS NOT NULL")
+        sigma = (F.col("volatility_20") / 252**0.5).alias("sigma")
+        scores = xs.factor_score(xs.ranks(_by_date(spark, d), carried=(*xs.LABELS, sigma))).where("score IS NOT NULL")
         rows = xs.examples(scores.withColumn("score", F.round("score", 9)), "score", "sigma")
         return rows.where("fwd_return IS NOT NULL AND sigma > 0").withColumn("scale", F.col("sigma") * F.sqrt("horizon"))
 
@@ -46,8 +46,8 @@ def _forecasts(spark, d):
 
 def _candidate_ic(spark, d):
     """Daily correlations of the candidates, whose scores of a key lie in one row from the start."""
-    factors = _core(spark, d).withColumn("raw", F.col("momentum_60"))  # the rank takes its name
-    ranked = xs.factor_score(xs.ranks(factors, carried=(*xs.LABELS, "raw", "near_high_252")))
+    raw = F.col("momentum_60").alias("raw")  # the rank takes its name
+    ranked = xs.factor_score(xs.ranks(_by_date(spark, d), carried=(*xs.LABELS, raw, "near_high_252")))
     values = {k: F.round("raw" if k == "momentum_60" else k, 9) for k in _KINDS}
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("score")) for k, v in values.items()))
     return ev.gathered_ic(xs.examples(ranked.withColumn("all", kinds), "all"), len(_KINDS))
@@ -70,7 +70,7 @@ def task_statuses(spark, d):
 
 
 def contributions(spark, d):
-    return _rounded(md.contributions(xs.ranks(_core(spark, d)), _WEIGHTS))
+    return _rounded(md.contributions(xs.ranks(_by_date(spark, d)), _WEIGHTS))
 
 
 def walk_forward(spark, d):

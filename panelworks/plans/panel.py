@@ -46,6 +46,7 @@ def _factors(spark, d):
     return materialised(spark, d, "factors", lambda: fe.price_factors(_panel(spark, d), _days(spark, d), _LEAST_ADV))
 
 
+_RANKED_A_TASK = 150_000  # rows of the core table; a rank holds a task's rows twice, before and after its sort
 _CORE = ("security_id", "date", "pos", "quoted", "close", "amount", *xs.INPUTS, "near_high_252", "status", *(f"fwd_return_{h}" for h in fe.HORIZONS), *(f"label_end_{h}" for h in fe.HORIZONS))
 
 
@@ -56,8 +57,14 @@ def _core(spark, d):
     return materialised(spark, d, "core", lambda: fe.price_factors(_panel(spark, d), _days(spark, d), _LEAST_ADV).select(*_CORE))
 
 
+def _by_date(spark, d):
+    """The same rows dealt by date for ranks: the more rows, the more partitions (a date's rows stay together), so that sorts keep to memory."""
+    rows = _core(spark, d)
+    return rows.repartition(src.deals(spark, rows.count(), _RANKED_A_TASK), "date")
+
+
 def _predictions(spark, d):
-    return xs.examples(xs.factor_score(xs.ranks(_core(spark, d), carried=xs.LABELS)), "score")
+    return xs.examples(xs.factor_score(xs.ranks(_by_date(spark, d), carried=xs.LABELS)), "score")
 
 
 def weekly_bars(spark, d):
@@ -88,7 +95,7 @@ def feature_coverage(spark, d):
 
 
 def factor_ranks(spark, d):
-    return _rounded(xs.factor_score(xs.ranks(_core(spark, d))))
+    return _rounded(xs.factor_score(xs.ranks(_by_date(spark, d))))
 
 
 def winsorised_momentum(spark, d):
@@ -113,7 +120,7 @@ def ic_summary(spark, d):
 
 
 def book_curve(spark, d):
-    scores = xs.factor_score(xs.ranks(_core(spark, d), carried=("fwd_return_1",)))
+    scores = xs.factor_score(xs.ranks(_by_date(spark, d), carried=("fwd_return_1",)))
     return _rounded(xs.curve(xs.book_returns(xs.top_n(scores, 5).withColumnRenamed("fwd_return_1", "fwd_return"))), 6)
 
 

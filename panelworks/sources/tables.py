@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task sorts at once where rows are dealt by a key: some 30 MB, whatever the table's size and the session's settings.
+ROWS_A_TASK = 250_000
+
+
+def deals(spark: SparkSession, rows: int, a_task: int = ROWS_A_TASK) -> int:
+    """Partitions for so many rows: as many as there are cores, and more as rows grow, so that a task's share stays the same."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // a_task))
+
+
 def scan_range(spark: SparkSession, path: str, start: str, end: str, columns: list[str], date: str = "date") -> DataFrame:
     """Projected rows of a date range [start, end); both reach the Parquet scan."""
     rows = spark.read.parquet(path).where((F.col(date) >= F.lit(start).cast("timestamp")) & (F.col(date) < F.lit(end).cast("timestamp")))
@@ -28,7 +37,8 @@ def bar_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bar per supplier and week of shipping; the price is the extended price per unit."""
     rows = _traded(spark, sf_dir).select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-    rows = rows.repartition("l_suppkey")  # hardly two rows of a bar lie together, so rows are dealt instead of partial bars
+    n = deals(spark, table(spark, sf_dir, "lineitem").count())  # from the footers; sessions with few partitions would sort, and spill, more with every row
+    rows = rows.repartition(n, "l_suppkey")  # hardly two rows of a bar lie together, so rows are dealt instead of partial bars
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     return (
