@@ -44,9 +44,20 @@ def monthly_targets(rows: DataFrame, least: int = 6) -> DataFrame:
 
 
 def sampled(rows: DataFrame, names: int = 256, seed: int = 7) -> DataFrame:
-    """At most ``names`` rows a date, chosen by a hash of seed, date and id: the same at every run and partitioning."""
+    """At most ``names`` rows a date, chosen by a hash of seed, date and id: the same at every run and partitioning.
+
+    A hash with more zeros in front comes before all with fewer, so counts by zeros tell how many zeros a date's chosen rows
+    have at least; only rows with as many are sorted, some multiple of ``names`` a date however many rows it has.
+    """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("date").cast("string"), F.col("security_id").cast("string")))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy(digest, "security_id"))).where(F.col("place") <= names)
+    hashed = rows.withColumn("_digest", digest).withColumn("_zeros", F.length("_digest") - F.length(F.ltrim("_digest", F.lit("0"))))
+    counts = hashed.groupBy("date", "_zeros").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("date").orderBy(F.desc("_zeros")).rowsBetween(Window.unboundedPreceding, -1))
+    least = counts.select(F.col("date").alias("_date"), "_zeros", before.alias("_before")).where(F.coalesce("_before", F.lit(0)) < names)
+    least = least.groupBy("_date").agg(F.min("_zeros").alias("_least"))
+    first = hashed.join(F.broadcast(least), F.col("date").eqNullSafe(F.col("_date")) & (F.col("_zeros") >= F.col("_least")))  # a row a date
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy("_digest", "security_id")))
+    return placed.where(F.col("place") <= names).select(*rows.columns, "place")
 
 
 def balanced_weights(rows: DataFrame, *by: str) -> DataFrame:
