@@ -12,6 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows that a task sorts at once where rows are dealt by a key: some 30 MB, whatever the table's size and the session's settings.
 ROWS_A_TASK = 250_000
+#: Spark's spark.shuffle.sort.bypassMergeThreshold: up to so many partitions a task deals the rows of its split without sorting them.
+UNSORTED = 200
 
 
 def deals(spark: SparkSession, rows: int, a_task: int = ROWS_A_TASK) -> int:
@@ -37,7 +39,8 @@ def bar_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bar per supplier and week of shipping; the price is the extended price per unit."""
     rows = _traded(spark, sf_dir).select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-    n = deals(spark, table(spark, sf_dir, "lineitem").count())  # from the footers; sessions with few partitions would sort, and spill, more with every row
+    count = table(spark, sf_dir, "lineitem").count()  # from the footers; sessions with few partitions would sort, and spill, more with every row
+    n = max(min(deals(spark, count), UNSORTED), deals(spark, count, 5 * ROWS_A_TASK))  # a sort of whole splits would spill too
     rows = rows.repartition(n, "l_suppkey")  # hardly two rows of a bar lie together, so rows are dealt instead of partial bars
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
