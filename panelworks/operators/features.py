@@ -15,6 +15,8 @@ from panelworks.functions.windows import at_least, last_n, ratio_to, sessions
 HORIZONS = (1, 5, 20, 60)
 ANNUAL = 252**0.5
 LEAST_SPREAD = 1e-14
+#: Amounts are summed in whole parts of so many to one: in doubles such sums are exact (up to 2^53), so equal sums are equal whatever the order of their rows.
+PARTS = 10_000.0
 # (column, highest power, sessions) of the sums that the factors are made of
 _SUMS = (("log_return", 2, (20, 60, 252)), ("return_1", 3, (20, 60)), ("close", 1, (20, 60, 252)), ("amount", 2, (20, 120)), ("volume", 2, (20,)), ("illiquid", 1, (20,)), ("down", 1, (60,)))
 
@@ -33,7 +35,7 @@ def price_factors(panel: DataFrame, days: DataFrame, least_adv: float = 0.0) ->
 
     ``panel`` is dense; ``days`` (date, pos) is the whole calendar, by which labels end also after a name's last bar.
     ``status``, the last that applies: ok, insufficient_history (under 60 quotes), below_liquidity_floor (mean amount under
-    ``least_adv``), no_trade_quote, data_issue (price missing or not valid).
+    ``least_adv``), no_trade_quote, data_issue (price missing or not valid). Mean amounts count amounts to four decimals.
     """
     w = sessions()
     quoted, valid = F.coalesce("quote_present", F.lit(False)), F.coalesce("data_valid", F.lit(False))
@@ -49,7 +51,8 @@ def price_factors(panel: DataFrame, days: DataFrame, least_adv: float = 0.0) ->
     wanted, powers = {}, {}
     for column, power, spans in _SUMS:
         for e in range(power + 1):
-            powers[f"{column}_{e}"] = F.when(F.col(column).isNotNull(), F.pow(column, F.lit(float(e))) if e != 1 else F.col(column).cast("double"))
+            plain = F.rint(F.col(column) * PARTS) if column == "amount" else F.col(column).cast("double")
+            powers[f"{column}_{e}"] = F.when(F.col(column).isNotNull(), F.pow(column, F.lit(float(e))) if e != 1 else plain)
             wanted |= {f"{column}_{e}_{n}": (f"{column}_{e}", "sum", n) for n in spans}
     wanted |= {"high_252": ("close", "max", 252), "low_252": ("close", "min", 252), "return_max_20": ("return_1", "max", 20)}
     base = rolling(base.withColumns(powers), wanted)
@@ -57,13 +60,16 @@ def price_factors(panel: DataFrame, days: DataFrame, least_adv: float = 0.0) ->
     def known(column, n, least, value):
         return F.when(F.col(f"{column}_0_{n}") >= least, value)
 
+    def middle_of(column, n):
+        return F.try_divide(F.col(f"{column}_1_{n}"), F.col(f"{column}_0_{n}") * PARTS if column == "amount" else F.col(f"{column}_0_{n}"))
+
     def mean(column, n, least):
-        return known(column, n, least, F.try_divide(F.col(f"{column}_1_{n}"), F.col(f"{column}_0_{n}")))
+        return known(column, n, least, middle_of(column, n))
 
     def moments(column, n):
         """Count, mean and central second moment."""
         count = F.col(f"{column}_0_{n}")
-        middle = F.try_divide(F.col(f"{column}_1_{n}"), count)
+        middle = middle_of(column, n)
         return count, middle, F.greatest(F.try_divide(F.col(f"{column}_2_{n}"), count) - middle * middle, F.lit(0.0))
 
     def deviation(column, n, least):
