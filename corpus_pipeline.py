@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from panelworks.llm import language, mixing, packing, passages, simhash
-from panelworks.llm.common import remove_folder, shared_folder, table
+from panelworks.llm.common import remove_folder, shared_folder, shuffles_removed, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        made = stage(spark, docs, sf_dir)
+        with shuffles_removed(spark):
+            made.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:  # its last reader is done
             remove_folder(spark, before)

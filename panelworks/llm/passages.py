@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ MIN_WORDS = 50
 MIN_SHINGLES = MIN_WORDS - SHINGLE + 1
 HASHES = 3
 SIMILARITY = 0.8
-BLOCK = 256
+BLOCK = 64  # words; a candidate is sent few beyond its reach
 SLACK = 12  # words between chained runs
 DRIFT = 6  # words put in or left out at one place
 THIN = 12  # of a shingle that comes again and again, one anchor in so many places; any two of them align the run
@@ -444,29 +445,47 @@ def _plain(column: str, times: int):
     return F.col(column) if times == 1 else F.expr(f"(`{column}` - pmod(`{column}`, {times})) DIV {times}")
 
 
+def _blocks_under(hull):
+    """The numbers of the other document's blocks in which a passage at a hull can lie."""
+    reach = REACH + DRIFT
+    low = F.greatest(F.lit(0), F.floor((hull["low"] - hull["diagonal"] - reach) / BLOCK))
+    return F.sequence(low, F.greatest(low, F.floor((hull["high"] - hull["diagonal"] + reach) / BLOCK)))
+
+
 def _with_candidates(docs: DataFrame, how: str, name: str, times: int = 1) -> DataFrame:
-    """docs joined with the column ``name``: per matched document its hulls and the blocks under them; rows of one doc_id never match."""
+    """docs joined with the column ``name``: per matched document its hulls and the blocks under them; rows of one doc_id never match.
+
+    The blocks are by far the most of it (candidates grow faster than documents do), so they are dealt once, by doc_id, and the
+    documents too: rows without doc_id stay out of both joins, so that one exchange serves both.
+    """
     linked = links(docs)
     pairs = stored(interval_candidates(linked).where(_plain("rep", times) < _plain("doc_id", times)), "pairs")
     discard(linked)
-    flat = pairs.select("doc_id", "rep", F.explode("hulls").alias("x")).select("doc_id", "rep", "x.*")
-    low = F.greatest(F.lit(0), F.floor((F.col("low") - F.col("diagonal") - REACH) / BLOCK))
-    high = F.greatest(low, F.floor((F.col("high") - F.col("diagonal") + REACH) / BLOCK))
-    need = flat.select("doc_id", "rep", F.explode(F.sequence(low, high)).alias("block")).distinct()
-    blocks = _blocks_of(docs, need.select("rep", "block"))
-    got = need.join(blocks, ["rep", "block"]).groupBy("doc_id", "rep").agg(F.collect_set(F.struct("block", "hashes")).alias("blocks"))  # repeated rows give equal blocks
-    reps = pairs.join(got, ["doc_id", "rep"]).groupBy("doc_id").agg(F.collect_list(F.struct("rep", "hulls", "blocks")).alias(name))
-    return docs.join(reps, "doc_id", how).select(*(f"`{c}`" for c in docs.columns), f"`{name}`")
-
-
-def _passages(text: str | None, reps: list[dict] | None) -> list[tuple[int, int, int, int, int, float]]:
+    need = pairs.select("doc_id", "rep", F.explode(F.array_distinct(F.flatten(F.transform("hulls", _blocks_under)))).alias("block"))
+    known = docs.where("doc_id IS NOT NULL")
+    blocks = _blocks_of(known, need.select("rep", "block"))
+    got = need.join(blocks, ["rep", "block"]).groupBy("doc_id").agg(F.collect_set(F.struct("rep", "block", "hashes")).alias("blocks"))  # repeated rows give equal blocks
+    reps = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("rep", "hulls")).alias("reps")).join(got, "doc_id")
+    reps = reps.select("doc_id", F.struct("reps", "blocks").alias(name))
+    met = known.join(reps, "doc_id", how).select(*(f"`{c}`" for c in docs.columns), f"`{name}`")
+    rest = docs.where("doc_id IS NULL").withColumn(name, F.lit(None).cast(reps.schema[name].dataType))
+    return met.unionByName(rest) if how == "left" else met
+
+
+def _passages(text: str | None, found_in: dict | None) -> list[tuple[int, int, int, int, int, float]]:
     """(start, words, rep, rep start, rep words, similarity) of one document; none lies inside another with the same rep."""
+    if not found_in:
+        return []
+    held = defaultdict(list)
+    for x in found_in["blocks"]:
+        held[x["rep"]].append((x["block"], x["hashes"]))
+    reps = [rep for rep in found_in["reps"] if rep["rep"] in held]
     if not reps:
         return []
     a = word_hashes(text).astype(np.uint32)
     parts, at, hulls, owners = [], 0, [], []  # stretches of adjacent blocks, one word apart, in one array
     for k, rep in enumerate(reps):
-        blocks, starts = sorted((x["block"], x["hashes"]) for x in rep["blocks"]), []
+        blocks, starts = sorted(held[rep["rep"]]), []
         for i, (block, raw) in enumerate(blocks):
             if not i or block != blocks[i - 1][0] + 1:
                 at += bool(parts)
@@ -477,7 +496,7 @@ def _passages(text: str | None, reps: list[dict] | None) -> list[tuple[int, int,
             at += len(raw) // 4
             starts[-1][2] = at
         for x in rep["hulls"]:
-            first = max(0, x["low"] - x["diagonal"] - REACH) // BLOCK
+            first = max(0, x["low"] - x["diagonal"] - REACH - DRIFT) // BLOCK
             block, begin, end = starts[bisect.bisect_right(starts, first, key=lambda s: s[0]) - 1]
             hulls.append((x["diagonal"] + block * BLOCK - begin, x["low"], x["high"], begin, end))
     b = np.frombuffer(b"".join(parts), np.uint32)
